@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from lucidframe.llm.common import c, fresh, shuffle_partitions
 
 SEED = "mix-1"
+BROADCAST_SOURCES = 2_000  # the table of sources is broadcast up to this many rows
 ALPHA = 0.5  # target weight of a source where none are given: rows ** ALPHA
 
 
@@ -64,16 +65,18 @@ def rates(docs: DataFrame, source: str = "source", weights: dict[str, float] | N
 def poisson_mix(docs: DataFrame, id_col: str = "doc_id", source: str = "source", text: str = "text", weights: dict[str, float] | None = None, size: float = 1.0, alpha: float = ALPHA, seed: str = SEED, copy_col: str | None = "copy") -> DataFrame:
     """docs replicated to the target weights and shuffled; copy_col, if given, numbers a row's copies from 0."""
     spark = docs.sparkSession
-    n_src, n_cdf, n_copy, n_key = fresh(docs, "mix_source", "mix_cdf", "mix_copy", "mix_key")
+    n_src, n_cdf, n_copy, n_key, n_u = fresh(docs, "mix_source", "mix_cdf", "mix_copy", "mix_key", "mix_u")
     per = rates(docs, source, weights, size, alpha).select(F.col("source").alias(n_src), F.col("cdf").alias(n_cdf))
+    known = per.limit(BROADCAST_SOURCES + 1).collect()
+    if len(known) <= BROADCAST_SOURCES:  # else a shuffled join, whose hot sources AQE splits
+        per = F.broadcast(spark.createDataFrame(known, per.schema))
     key = F.coalesce(c(id_col).cast("string"), F.lit(""))
-    joined = docs.join(per, c(source).eqNullSafe(c(n_src)))
-    times = F.size(F.filter(c(n_cdf), lambda x: x <= uniform(seed, key)))
+    joined = docs.withColumn(n_u, uniform(seed, key)).join(per, c(source).eqNullSafe(c(n_src)))
+    times = F.size(F.filter(c(n_cdf), lambda x: x <= c(n_u)))
     copies = joined.withColumn(n_copy, F.explode(F.when(times > 0, F.sequence(F.lit(0), times - 1))))
     spread = F.xxhash64(F.lit(seed), c(id_col), c(n_copy), c(text) if text in docs.columns else F.lit(""))
-    n = shuffle_partitions(spark)
     copies = copies.select(*[c(x) for x in docs.columns], c(n_copy), spread.alias(n_key))
-    mixed = copies.repartition(n, c(n_key)).sortWithinPartitions(c(n_key))
+    mixed = copies.repartition(shuffle_partitions(spark), c(n_key)).sortWithinPartitions(c(n_key))
     out = [c(x) for x in docs.columns]
     if copy_col:
         out.append(c(n_copy).alias(fresh(docs, copy_col)[0]))
