@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lucidframe.llm import bpe, mixing
+from lucidframe.llm import bpe, jaccard, mixing
 from lucidframe.llm.common import table
 
 
@@ -16,10 +16,17 @@ def op8_poisson_mix(spark, sf_dir):
     return mixing.poisson_mix(table(spark, sf_dir, "documents"))
 
 
+def op10_jaccard_join(spark, sf_dir):
+    """All pairs of documents whose word 3-gram sets have Jaccard 0.75 or more."""
+    return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op5_bpe": op5_bpe,
     "op8_poisson_mix": op8_poisson_mix,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 ORACLE_SQL = {
     "op8_poisson_mix": mixing.ORACLE_SQL,
+    "op10_jaccard_join": jaccard.oracle_sql(),
 }
