@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from lucidframe.llm import bpe, jaccard, mixing
+from lucidframe.llm import bpe, jaccard, mixing, quality
 from lucidframe.llm.common import table
 
 
+def op3_nbsvm_quality(spark, sf_dir):
+    """Score of every document by NB-SVM, fitted on a bounded sample of the labelled ones, and whether it is kept."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.classify(docs, model).select("doc_id", "score", "keep")
+
+
 def op5_bpe(spark, sf_dir):
     """Token ids of every document, and the text decoded from them."""
     return bpe.bpe_encode(table(spark, sf_dir, "documents"), decode=True)
@@ -22,6 +29,7 @@ def op10_jaccard_join(spark, sf_dir):
 
 
 QUERIES = {
+    "op3_nbsvm_quality": op3_nbsvm_quality,
     "op5_bpe": op5_bpe,
     "op8_poisson_mix": op8_poisson_mix,
     "op10_jaccard_join": op10_jaccard_join,
