@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+import uuid
 from pathlib import Path
 
 import numpy as np
@@ -30,6 +30,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet to the checkpoint folder and read again: lineage ends, and lost executors cost nothing."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -54,15 +63,6 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def is_small(df: DataFrame, limit: int) -> bool:
-    """Has df at most limit rows? Reads no more than limit + 1 of them; df should be a checkpoint."""
-    return df.limit(limit + 1).count() <= limit
-
-
-def text_list(column: pa.ChunkedArray | pa.Array) -> list:
-    return column.to_pylist()
-
-
 def list_array(parts: list[np.ndarray], kind: pa.DataType, valid: list[bool] | None = None) -> pa.ListArray:
     """A list column from one numpy array a row; rows where valid is false are null."""
     offsets = np.zeros(len(parts) + 1, np.int32)
@@ -70,28 +70,3 @@ def list_array(parts: list[np.ndarray], kind: pa.DataType, valid: list[bool] | N
     flat = np.concatenate(parts) if parts else np.empty(0)
     mask = None if valid is None or all(valid) else pa.array([not v for v in valid], pa.bool_())
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, kind), mask=mask)
-
-
-def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
-    """Consecutive rows of equal keys, over batch borders; holds one group at a time."""
-    held: list[pa.RecordBatch] = []
-    current: tuple | None = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [batch.column(batch.schema.get_field_index(k)) for k in keys]
-        change = np.zeros(batch.num_rows, bool)
-        change[0] = True
-        for col in columns:
-            v = col.to_numpy(zero_copy_only=False)
-            change[1:] |= v[1:] != v[:-1]
-        starts = [*np.flatnonzero(change).tolist(), batch.num_rows]
-        for a, b in zip(starts, starts[1:]):
-            key = tuple(col[a].as_py() for col in columns)
-            if held and key != current:
-                yield current, pa.Table.from_batches(held)
-                held = []
-            current = key
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield current, pa.Table.from_batches(held)

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from lucidframe.llm import bpe, jaccard, mixing, quality
+from lucidframe.llm import bpe, jaccard, mixing, pii, quality
 from lucidframe.llm.common import table
 
 
+def op2_skip_chain_pii(spark, sf_dir):
+    """Every document redacted, with its personal data and secrets."""
+    return pii.redact(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_nbsvm_quality(spark, sf_dir):
     """Score of every document by NB-SVM, fitted on a bounded sample of the labelled ones, and whether it is kept."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -29,6 +34,7 @@ def op10_jaccard_join(spark, sf_dir):
 
 
 QUERIES = {
+    "op2_skip_chain_pii": op2_skip_chain_pii,
     "op3_nbsvm_quality": op3_nbsvm_quality,
     "op5_bpe": op5_bpe,
     "op8_poisson_mix": op8_poisson_mix,
