@@ -41,7 +41,7 @@ from lucidframe.llm.tokens import U, mix, ngrams, pieces, words
 N = 3
 THRESHOLD = 0.75
 BAND = 2**0.5
-BROADCAST_IDS = 1_000_000  # classes among candidates up to which their ids are broadcast to the documents
+BROADCAST_ROWS = 250_000  # members of candidate groups up to which they are broadcast to the documents
 EPS = 1e-9
 
 
@@ -107,10 +107,6 @@ def keys_of(g: np.ndarray, t: float) -> np.ndarray:
     return out
 
 
-def k_of(n: np.ndarray, t: float) -> np.ndarray:
-    return np.floor((1 - t) / (1 + t) * (n + n / t) + EPS)
-
-
 def distinct(g: np.ndarray) -> np.ndarray:
     g = np.sort(g)
     return g[np.concatenate(([True], g[1:] != g[:-1]))] if len(g) else g
@@ -134,7 +130,7 @@ def as_long(x) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, n: int) -> DataFrame:
-    """doc, fp, fp2, size of every document with an n-gram; docs: doc, text."""
+    """doc, fp, fp2, size, low (least size of its band) of every document with an n-gram; docs: doc, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,10 +143,10 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
                     b.append(q)
                     size.append(len(g))
             ids = batch.column(0).take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(as_long(a)), pa.array(as_long(b)), pa.array(size, pa.int32())], ["doc", "fp", "fp2", "size"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(as_long(a)), pa.array(as_long(b)), pa.array(size, pa.int32()), pa.array([low(band_of(x)) for x in size], pa.int32())], ["doc", "fp", "fp2", "size", "low"])
 
     kind = docs.schema["doc"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc {kind}, fp long, fp2 long, size int")
+    return docs.mapInArrow(run, f"doc {kind}, fp long, fp2 long, size int, low int")
 
 
 def sketches(docs: DataFrame, n: int, t: float) -> DataFrame:
@@ -250,30 +246,38 @@ def intersections(members: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np
 
 def verifier(n: int, t: float):
     def verify(group: pa.Table) -> pa.Table:
-        """group: fp, text, partners (fp of larger ones); one row for each set."""
-        fps = group.column("fp").to_numpy()
-        members: list[np.ndarray] = []
+        """group: fp, fp2, text, partners (fp of larger ones); a row for each set, or more where ids repeat."""
+        own = list(zip(group.column("fp").to_pylist(), group.column("fp2").to_pylist()))
+        lists = group.column("partners").to_pylist()
+        members: dict[tuple[int, int], np.ndarray] = {}
+        partners: dict[tuple[int, int], list[int]] = {}
+        at = 0
         for chunk in group.column("text").chunks:
-            members += [g for _, g in sets(chunk, n)]
-        place = {f: i for i, f in enumerate(fps.tolist())}
-        a, b = [], []
-        for i, partners in enumerate(group.column("partners").to_pylist()):
-            for p in partners or ():
-                a.append(i)
-                b.append(place[p])
-        a, b = np.asarray(a, np.int64), np.asarray(b, np.int64)
-        both = intersections(members, a, b) if len(a) else np.empty(0, np.int64)
-        size = np.asarray([len(g) for g in members], np.int64)
-        union = size[a] + size[b] - both if len(a) else both
+            for i, g in sets(chunk, n):
+                key = own[at + i]
+                # an id may repeat with other texts: only a text whose set is the class's own counts
+                if key not in members and tuple(as_long(prints(g)).tolist()) == key:
+                    members[key], partners[key] = g, lists[at + i]
+            at += len(chunk)
+        keys = list(members)
+        place: dict[int, list[int]] = {}
+        for i, key in enumerate(keys):
+            place.setdefault(key[0], []).append(i)
+        ends = [(i, j) for i, key in enumerate(keys) for p in set(partners[key]) for j in place.get(p, ())]
+        a, b = np.asarray([e[0] for e in ends], np.int64), np.asarray([e[1] for e in ends], np.int64)
+        sized = np.asarray([len(members[k]) for k in keys], np.int64)
+        both = intersections([members[k] for k in keys], a, b) if len(a) else np.empty(0, np.int64)
+        union = sized[a] + sized[b] - both if len(a) else both
         keep = both >= t * union - EPS
-        j = both[keep] / union[keep]
-        return pa.table({"a": pa.array(fps[a[keep]], pa.int64()), "b": pa.array(fps[b[keep]], pa.int64()), "jaccard": pa.array(j, pa.float64())})
+        f = [np.asarray([k[x] for k in keys], np.int64) for x in (0, 1)]
+        out = [f[0][a[keep]], f[1][a[keep]], f[0][b[keep]], f[1][b[keep]], both[keep] / union[keep]]
+        return pa.table([pa.array(x) for x in out], names=["a", "a2", "b", "b2", "jaccard"])
 
     return verify
 
 
 def classes_and_pairs(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = N, t: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(fp, fp2, size, doc, docs) of each class of equal sets, and (a, b, jaccard) of fp; both checkpointed."""
+    """(fp, fp2, size, doc, docs) of each class of equal sets, and (a, a2, b, b2, jaccard) of their fp and fp2; both checkpointed."""
     if not 0.5 <= t < 1:
         raise ValueError("threshold must be in [0.5, 1)")
     spark = docs.sparkSession
@@ -281,54 +285,40 @@ def classes_and_pairs(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     ensure_checkpoint_dir(spark)
     docs = docs.select(c(id_col).alias("doc"), c(text).cast("string").alias("text")).where("doc is not null and text is not null")
     sig = signatures(docs, n)
-    classes = sig.groupBy("fp", "fp2").agg(F.first("size").alias("size"), F.min("doc").alias("doc"), F.array_sort(F.collect_set("doc")).alias("docs")).checkpoint()
+    classes = sig.groupBy("fp", "fp2").agg(F.first("size").alias("size"), F.first("low").alias("low"), F.min("doc").alias("doc"), F.array_sort(F.collect_set("doc")).alias("docs")).checkpoint()
     parts = shuffle_partitions(spark)
     rows = sketches(docs, n, t).repartition(parts, "key").sortWithinPartitions("key", "fp")
     pairs = rows.mapInArrow(paired, "a long, b long").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
-    size = classes.groupBy("fp").agg(F.min("size").alias("s"), F.max("size").alias("l"))
-    pairs = pairs.join(size.toDF("a", "sa", "la"), "a").join(size.toDF("b", "sb", "lb"), "b")
-    k = lambda x: F.floor((1 - t) / (1 + t) * (F.col(x) + F.col(x) / t) + EPS)
-    fits = (F.least("sa", "sb") >= t * F.greatest("la", "lb") - EPS) | (F.col("sa") < F.col("la")) | (F.col("sb") < F.col("lb"))
-    # the smaller set is at home and has k; the other's k as a guest is at least K of the two
-    apart = F.floor((1 - t) / (1 + t) * (F.col("la") + F.col("lb")) + EPS)
-    guest = F.floor((1 - t) / (1 + t) * (F.least("sa", "sb") + F.greatest("sa", "sb")) + EPS)
-    need = F.least(k("sa"), k("sb"), F.greatest(guest, F.lit(0))) + 1 - apart
-    pairs = pairs.where(fits & (F.col("shared") >= need)).select("a", "b").checkpoint()
+    # should two sets share the first 64 bits, the largest of either kind of size keeps the filter safe
+    size = classes.groupBy("fp").agg(F.min("size").alias("s"), F.max("size").alias("l"), F.max("low").alias("low"))
+    pairs = pairs.join(size.toDF("a", "sa", "la", "wa"), "a").join(size.toDF("b", "sb", "lb", "wb"), "b")
+    apart = lambda x, y: F.floor((1 - t) / (1 + t) * (x + y) + EPS)
+    small, large = F.least("sa", "sb"), F.greatest("la", "lb")
+    at_home = F.floor((1 - t) / t * small + EPS)
+    as_guest = F.when(F.col("wa") == F.col("wb"), at_home).otherwise(apart(F.greatest("wa", "wb") - 1, large))
+    fits = (small >= t * large - EPS) & (F.col("shared") >= F.least(at_home, as_guest) + 1 - apart(small, large))
+    unsure = (F.col("sa") < F.col("la")) | (F.col("sb") < F.col("lb"))
+    pairs = pairs.where(fits | unsure).select("a", "b").checkpoint()
 
     both = pairs.select("a", F.col("b").alias("o")).union(pairs.select(F.col("b"), F.col("a")))
     label = both.groupBy("a").agg(F.least(F.min("a"), F.min("o")).alias("label"))
     grouped = pairs.join(label.select("a", F.col("label").alias("ga")), "a").join(label.select(F.col("a").alias("b"), F.col("label").alias("gb")), "b")
     grouped = grouped.select(F.least("ga", "gb").alias("g"), F.greatest("ga", "gb").alias("h"), "a", "b")
-    member = grouped.groupBy("g", "h", F.col("a").alias("fp")).agg(F.collect_list("b").alias("partners")).unionByName(grouped.select("g", "h", F.col("b").alias("fp"), F.array().cast("array<long>").alias("partners")).distinct())
-    member = member.groupBy("g", "h", "fp").agg(F.flatten(F.collect_list("partners")).alias("partners"))
-
-    wanted = classes.join(label.select(F.col("a").alias("fp")), "fp", "left_semi").select("fp", "fp2", "doc")
-    small = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    texts = docs.join(F.broadcast(wanted) if small else wanted, "doc").select("doc", "fp", "fp2", "text")
-    # an id may repeat with other texts: only the text whose set is the class's own counts
-    texts = _own_set(texts, n).dropDuplicates(["fp", "fp2"])
-    rows = member.join(texts, "fp").select("g", "h", "fp", "fp2", "text", "partners")
-    found = rows.groupBy("g", "h").applyInArrow(verifier(n, t), "a long, b long, jaccard double")
+    ends = grouped.select("g", "h", F.col("a").alias("fp"), "b").union(grouped.select("g", "h", F.col("b"), F.lit(None).cast("long")))
+    member = ends.groupBy("g", "h", "fp").agg(F.collect_list("b").alias("partners"))
+    member = member.join(classes.select("fp", "fp2", "doc"), "fp").checkpoint()
+    n_rows, n_ids = member.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("partners")), F.lit(0))).first()
+    small = n_rows <= BROADCAST_ROWS and n_ids <= 8 * BROADCAST_ROWS
+    texts = docs.join(F.broadcast(member) if small else member, "doc").select("g", "h", "fp", "fp2", "partners", "text")
+    found = texts.groupBy("g", "h").applyInArrow(verifier(n, t), "a long, a2 long, b long, b2 long, jaccard double")
     return classes, found.distinct().checkpoint()
 
 
-def _own_set(texts: DataFrame, n: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()))
-            keep = np.zeros(batch.num_rows, bool)
-            for i, g in sets(batch.column(3), n):
-                keep[i] = tuple(as_long(prints(g)).tolist()) == own[i]
-            yield batch.filter(pa.array(keep))
-
-    return texts.mapInArrow(run, texts.schema)
-
-
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = N, t: float = THRESHOLD) -> DataFrame:
     """docs_a, docs_b, jaccard: see the module."""
     classes, pairs = classes_and_pairs(docs, id_col, text, n, t)
-    ids = classes.select("fp", "docs")
-    near = pairs.join(ids.toDF("a", "da"), "a").join(ids.toDF("b", "db"), "b")
+    ids = classes.select("fp", "fp2", "docs")
+    near = pairs.join(ids.toDF("a", "a2", "da"), ["a", "a2"]).join(ids.toDF("b", "b2", "db"), ["b", "b2"])
     first = F.col("da")[0] <= F.col("db")[0]
     near = near.select(F.when(first, F.col("da")).otherwise(F.col("db")).alias("docs_a"), F.when(first, F.col("db")).otherwise(F.col("da")).alias("docs_b"), "jaccard")
     same = classes.where(F.size("docs") > 1).select(F.col("docs").alias("docs_a"), F.col("docs").alias("docs_b"), F.lit(1.0).alias("jaccard"))
@@ -357,8 +347,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = N, t: float = THRESHOLD) -> DataFrame:
     """docs without the documents that have a near copy of smaller id in their group (rows of null id or text stay)."""
     classes, pairs = classes_and_pairs(docs, id_col, text, n, t)
-    rep = classes.select("fp", "doc")
-    near = pairs.join(rep.toDF("a", "da"), "a").join(rep.toDF("b", "db"), "b").select(F.col("da").alias("a"), F.col("db").alias("b"))
+    rep = classes.select("fp", "fp2", "doc")
+    near = pairs.join(rep.toDF("a", "a2", "da"), ["a", "a2"]).join(rep.toDF("b", "b2", "db"), ["b", "b2"]).select(F.col("da").alias("a"), F.col("db").alias("b"))
     copies = classes.where(F.size("docs") > 1).select(F.explode("docs").alias("a"), F.col("doc").alias("b")).where("a <> b")
     gone = components(near.union(copies)).where("node <> root").select("node")
     return docs.join(gone, c(id_col) == F.col("node"), "left_anti")
