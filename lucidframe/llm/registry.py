@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lucidframe.llm import bpe, jaccard, mixing, pii, quality
+from lucidframe.llm import bpe, htmltext, jaccard, licenses, mixing, pii, quality
 from lucidframe.llm.common import table
 
 
@@ -18,11 +18,21 @@ def op3_nbsvm_quality(spark, sf_dir):
     return quality.classify(docs, model).select("doc_id", "score", "keep")
 
 
+def op4_license_scan(spark, sf_dir):
+    """Every licence notice in every document, within bounded edits."""
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
 def op5_bpe(spark, sf_dir):
     """Token ids of every document, and the text decoded from them."""
     return bpe.bpe_encode(table(spark, sf_dir, "documents"), decode=True)
 
 
+def op6_html_density(spark, sf_dir):
+    """Main text of every page."""
+    return htmltext.html_text(table(spark, sf_dir, "pages"))
+
+
 def op8_poisson_mix(spark, sf_dir):
     """Documents replicated to source weights of rows ** 0.5 and shuffled."""
     return mixing.poisson_mix(table(spark, sf_dir, "documents"))
@@ -36,7 +46,9 @@ def op10_jaccard_join(spark, sf_dir):
 QUERIES = {
     "op2_skip_chain_pii": op2_skip_chain_pii,
     "op3_nbsvm_quality": op3_nbsvm_quality,
+    "op4_license_scan": op4_license_scan,
     "op5_bpe": op5_bpe,
+    "op6_html_density": op6_html_density,
     "op8_poisson_mix": op8_poisson_mix,
     "op10_jaccard_join": op10_jaccard_join,
 }
