@@ -1,10 +1,14 @@
 """N-gram Jaccard join by parity sketches: all pairs of documents whose sets of word n-grams have Jaccard >= t.
 
-Sketch. Every n-gram g of a set toggles one parity bit; the bits lie in m blocks, g's block being floor(m * hash(g)
-/ 2**64). A block has 2**64 virtual bits, kept as the XOR of its set bits' codes. One n-gram that only one of
+Sketch. Every n-gram g of a set toggles one parity bit; the bits lie in 2 m blocks, g's block being floor(m * hash(g)
+/ 2**64), plus m if g is frequent in the corpus. A block has 2**64 virtual bits, kept as the XOR of its set bits' codes. One n-gram that only one of
 two sets has changes one block, so the number of blocks that differ is a lower bound of the symmetric difference,
 and J >= t bounds that by K(a, b) = (1 - t) / (1 + t) * (a + b) for sizes a and b.
 
+Order. Frequent n-grams (counted over all documents) have the blocks at the end, so that a set emits blocks of its rare n-grams
+first, and passages or phrases that many documents share don't make them candidates. Which n-grams count as frequent changes
+the cost only: the join is exact for any choice.
+
 Pigeonhole. Sets are joined by size band. A band has one m, and bands are as wide as BAND; a set whose
 smaller partners may lie in the band below also takes part there as a guest. Each set emits its blocks in
 order until k + 1 of them are non-empty, k being the largest K with any partner there: two sets with J >= t then share
@@ -42,6 +46,9 @@ N = 3
 THRESHOLD = 0.75
 BAND = 2**0.5
 BROADCAST_ROWS = 250_000  # members of candidate groups up to which they are broadcast to the documents
+FREQUENT = 300_000  # n-grams whose blocks come last
+CHUNK = 2_000_000  # n-grams counted at a time
+OFTEN = 4  # documents of a chunk that an n-gram must occur in to be counted
 EPS = 1e-9
 
 
@@ -88,9 +95,10 @@ def blocks(j: int, t: float, wide: float = BAND) -> int:
     return b
 
 
-def sketch(g: np.ndarray, j: int, k: int, t: float) -> np.ndarray:
-    """Keys of the first k + 1 non-empty blocks of band j; g is sorted and distinct."""
-    block = ((g >> U(32)) * U(blocks(j, t))) >> U(32)
+def sketch(g: np.ndarray, far: np.ndarray, j: int, k: int, t: float) -> np.ndarray:
+    """Keys of the first k + 1 non-empty blocks of band j; g is distinct, sorted within the rare and then the frequent (far) ones."""
+    m = U(blocks(j, t))
+    block = (((g >> U(32)) * m) >> U(32)) + far * m
     starts = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
     stop = starts[k + 1] if len(starts) > k + 1 else len(g)
     starts = starts[: k + 1]
@@ -98,12 +106,17 @@ def sketch(g: np.ndarray, j: int, k: int, t: float) -> np.ndarray:
     return mix(code ^ mix(block[starts] * U(4096) + U(j)))
 
 
-def keys_of(g: np.ndarray, t: float) -> np.ndarray:
+def keys_of(g: np.ndarray, t: float, frequent: np.ndarray | None = None) -> np.ndarray:
     n = len(g)
+    far = np.zeros(n, np.uint64)
+    if frequent is not None and len(frequent):
+        often = frequent[np.minimum(np.searchsorted(frequent, g), len(frequent) - 1)] == g
+        g = np.concatenate((g[~often], g[often]))
+        far[n - int(often.sum()) :] = 1
     j = band_of(n)
-    out = sketch(g, j, most_apart(n, n / t, t), t)
+    out = sketch(g, far, j, most_apart(n, n / t, t), t)
     if j and n * t - EPS < low(j):
-        out = np.concatenate((out, sketch(g, j - 1, most_apart(low(j) - 1, n, t), t)))
+        out = np.concatenate((out, sketch(g, far, j - 1, most_apart(low(j) - 1, n, t), t)))
     return out
 
 
@@ -149,19 +162,51 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, f"doc {kind}, fp long, fp2 long, size int, low int")
 
 
-def sketches(docs: DataFrame, n: int, t: float) -> DataFrame:
+def frequent_ngrams(docs: DataFrame, n: int) -> np.ndarray:
+    """Sorted hashes of at most FREQUENT n-grams that occur in the most documents.
+
+    Every document is counted, in chunks; what is rare within each chunk is left out, so that little is shuffled.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        total = 0
+
+        def often() -> pa.RecordBatch:
+            g, k = np.unique(np.concatenate(held), return_counts=True)
+            g, k = g[k >= OFTEN], k[k >= OFTEN]
+            return pa.RecordBatch.from_arrays([pa.array(as_long(g)), pa.array(k.astype(np.int64))], ["g", "n"])
+
+        for batch in batches:
+            for _, g in sets(batch.column(1), n):
+                held.append(g)
+                total += len(g)
+                if total >= CHUNK:
+                    yield often()
+                    held, total = [], 0
+        if held:
+            yield often()
+
+    counts = docs.mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
+    rows = counts.orderBy(F.desc("n"), "g").limit(FREQUENT).select("g").toArrow().column("g").to_numpy()
+    return np.sort(rows.view(np.uint64))
+
+
+def sketches(docs: DataFrame, n: int, t: float, frequent: np.ndarray | None = None) -> DataFrame:
     """key, fp: a row for every emitted block."""
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def packed(keys: list, who: list) -> pa.RecordBatch:
             reps = np.repeat(np.asarray(who, np.uint64), [len(k) for k in keys])
             return pa.RecordBatch.from_arrays([pa.array(as_long(np.concatenate(keys))), pa.array(as_long(reps))], ["key", "fp"])
 
+        frequent = shared.value
         for batch in batches:
             keys, who, total = [], [], 0
             for _, g in sets(batch.column(1), n):
                 if len(g):
-                    keys.append(keys_of(g, t))
+                    keys.append(keys_of(g, t, frequent))
                     who.append(prints(g)[0])
                     total += len(keys[-1])
                     if total > 100_000:
@@ -287,7 +332,7 @@ def classes_and_pairs(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     sig = signatures(docs, n)
     classes = sig.groupBy("fp", "fp2").agg(F.first("size").alias("size"), F.first("low").alias("low"), F.min("doc").alias("doc"), F.array_sort(F.collect_set("doc")).alias("docs")).checkpoint()
     parts = shuffle_partitions(spark)
-    rows = sketches(docs, n, t).repartition(parts, "key").sortWithinPartitions("key", "fp")
+    rows = sketches(docs, n, t, frequent_ngrams(docs, n)).repartition(parts, "key").sortWithinPartitions("key", "fp")
     pairs = rows.mapInArrow(paired, "a long, b long").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
     # should two sets share the first 64 bits, the largest of either kind of size keeps the filter safe
     size = classes.groupBy("fp").agg(F.min("size").alias("s"), F.max("size").alias("l"), F.max("low").alias("low"))
