@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from lucidframe.llm import bpe, htmltext, jaccard, licenses, mixing, pii, quality
+from lucidframe.llm import bpe, htmltext, jaccard, licenses, media, mixing, pii, quality, warc
 from lucidframe.llm.common import table
 
 
+def op1_warc_reassembly(spark, sf_dir):
+    """Every page, cut into segmented WARC records of chunked responses, put together again."""
+    return warc.pages_reassembled(table(spark, sf_dir, "pages"))
+
+
 def op2_skip_chain_pii(spark, sf_dir):
     """Every document redacted, with its personal data and secrets."""
     return pii.redact(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -33,6 +38,11 @@ def op6_html_density(spark, sf_dir):
     return htmltext.html_text(table(spark, sf_dir, "pages"))
 
 
+def op7_media_tiles(spark, sf_dir):
+    """Tile and hash of an image made of each document's bytes."""
+    return media.media_columns(media.documents_as_images(table(spark, sf_dir, "documents")))
+
+
 def op8_poisson_mix(spark, sf_dir):
     """Documents replicated to source weights of rows ** 0.5 and shuffled."""
     return mixing.poisson_mix(table(spark, sf_dir, "documents"))
@@ -44,15 +54,18 @@ def op10_jaccard_join(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_warc_reassembly": op1_warc_reassembly,
     "op2_skip_chain_pii": op2_skip_chain_pii,
     "op3_nbsvm_quality": op3_nbsvm_quality,
     "op4_license_scan": op4_license_scan,
     "op5_bpe": op5_bpe,
     "op6_html_density": op6_html_density,
+    "op7_media_tiles": op7_media_tiles,
     "op8_poisson_mix": op8_poisson_mix,
     "op10_jaccard_join": op10_jaccard_join,
 }
 ORACLE_SQL = {
+    "op1_warc_reassembly": warc.ORACLE_SQL,
     "op8_poisson_mix": mixing.ORACLE_SQL,
     "op10_jaccard_join": jaccard.oracle_sql(),
 }
