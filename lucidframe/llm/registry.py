@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from lucidframe.llm import bpe, htmltext, jaccard, licenses, media, mixing, pii, quality, warc
+from pyspark.sql import functions as F
+
+from lucidframe.llm import bpe, htmltext, jaccard, licenses, media, mixing, pii, quality, vectors, warc
 from lucidframe.llm.common import table
 
 
@@ -48,6 +50,11 @@ def op8_poisson_mix(spark, sf_dir):
     return mixing.poisson_mix(table(spark, sf_dir, "documents"))
 
 
+def op9_subspace_near_vectors(spark, sf_dir):
+    """All pairs of embeddings with cosine 0.975 or more."""
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings")).withColumn("cosine", F.round("cosine", 6))
+
+
 def op10_jaccard_join(spark, sf_dir):
     """All pairs of documents whose word 3-gram sets have Jaccard 0.75 or more."""
     return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
@@ -62,10 +69,12 @@ QUERIES = {
     "op6_html_density": op6_html_density,
     "op7_media_tiles": op7_media_tiles,
     "op8_poisson_mix": op8_poisson_mix,
+    "op9_subspace_near_vectors": op9_subspace_near_vectors,
     "op10_jaccard_join": op10_jaccard_join,
 }
 ORACLE_SQL = {
     "op1_warc_reassembly": warc.ORACLE_SQL,
     "op8_poisson_mix": mixing.ORACLE_SQL,
+    "op9_subspace_near_vectors": vectors.ORACLE_SQL,
     "op10_jaccard_join": jaccard.oracle_sql(),
 }
