@@ -15,6 +15,9 @@ order until k + 1 of them are non-empty, k being the largest K with any partner
 an emitted non-empty block, and at least min(k_a, k_b) + 1 - K(a, b) of them, which prunes candidates by count.
 m is chosen so that a set of distinct hashes has too few non-empty blocks with probability below 1e-12.
 
+Blocks go to tasks by band and place, so that the many blocks which two near copies share meet in few tasks, and each task
+adds up its pairs before any is shuffled. How much each band emits is counted from all sets.
+
 Verification is exact: candidates are brought together by neighbourhood, so that the sets of one group of copies
 travel once, and the n-grams of all pairs are intersected. No pair or partner is capped.
 
@@ -49,8 +52,11 @@ BROADCAST_ROWS = 250_000  # members of candidate groups up to which they are bro
 FREQUENT = 300_000  # n-grams whose blocks come last
 CHUNK = 2_000_000  # n-grams counted at a time
 OFTEN = 4  # documents of a chunk that an n-gram must occur in to be counted
+PART = 44
 EPS = 1e-9
 
+Ranges = dict[int, tuple[float, float]]  # band: first task, number of tasks, in fractions
+
 
 def most_apart(a: float, b: float, t: float) -> int:
     """Largest symmetric difference of sets of sizes a and b with J >= t."""
@@ -95,7 +101,7 @@ def blocks(j: int, t: float, wide: float = BAND) -> int:
     return b
 
 
-def sketch(g: np.ndarray, far: np.ndarray, j: int, k: int, t: float) -> np.ndarray:
+def sketch(g: np.ndarray, far: np.ndarray, j: int, k: int, t: float, ranges: Ranges | None = None) -> np.ndarray:
     """Keys of the first k + 1 non-empty blocks of band j; g is distinct, sorted within the rare and then the frequent (far) ones."""
     m = U(blocks(j, t))
     block = (((g >> U(32)) * m) >> U(32)) + far * m
@@ -103,10 +109,14 @@ def sketch(g: np.ndarray, far: np.ndarray, j: int, k: int, t: float) -> np.ndarr
     stop = starts[k + 1] if len(starts) > k + 1 else len(g)
     starts = starts[: k + 1]
     code = np.bitwise_xor.reduceat(mix(g[:stop]), starts)
-    return mix(code ^ mix(block[starts] * U(4096) + U(j)))
+    code = mix(code ^ mix(block[starts] * U(4096) + U(j)))
+    first, width = (ranges or {}).get(j, (0.0, 1.0))
+    part = (first + width * np.minimum((block[starts] % m).astype(float) / (0.9 * float(m)), 0.999)).astype(np.uint64)
+    return (part << U(PART)) | (code >> U(64 - PART))
 
 
-def keys_of(g: np.ndarray, t: float, frequent: np.ndarray | None = None) -> np.ndarray:
+def keys_of(g: np.ndarray, t: float, frequent: np.ndarray | None = None, ranges: Ranges | None = None) -> np.ndarray:
+    """Keys of all blocks that a set emits: the task in the high bits, then PART bits of band, block and content."""
     n = len(g)
     far = np.zeros(n, np.uint64)
     if frequent is not None and len(frequent):
@@ -114,9 +124,9 @@ def keys_of(g: np.ndarray, t: float, frequent: np.ndarray | None = None) -> np.n
         g = np.concatenate((g[~often], g[often]))
         far[n - int(often.sum()) :] = 1
     j = band_of(n)
-    out = sketch(g, far, j, most_apart(n, n / t, t), t)
+    out = sketch(g, far, j, most_apart(n, n / t, t), t, ranges)
     if j and n * t - EPS < low(j):
-        out = np.concatenate((out, sketch(g, far, j - 1, most_apart(low(j) - 1, n, t), t)))
+        out = np.concatenate((out, sketch(g, far, j - 1, most_apart(low(j) - 1, n, t), t, ranges)))
     return out
 
 
@@ -192,7 +202,24 @@ def frequent_ngrams(docs: DataFrame, n: int) -> np.ndarray:
     return np.sort(rows.view(np.uint64))
 
 
-def sketches(docs: DataFrame, n: int, t: float, frequent: np.ndarray | None = None) -> DataFrame:
+def task_ranges(classes: DataFrame, t: float, parts: int) -> Ranges:
+    """Tasks of each band, by what its sets emit; one row a band is collected."""
+    guest = F.col("size") * t - EPS < F.col("low")
+    rows = classes.groupBy("low").agg(F.sum(F.floor(F.col("size") * ((1 - t) / t)) + 1).alias("home"), F.sum(F.when(guest, F.floor((F.col("size") + F.col("low")) * ((1 - t) / (1 + t))) + 1).otherwise(0)).alias("guest")).collect()
+    weight: dict[int, float] = {}
+    for r in rows:
+        j = band_of(r.low)
+        weight[j] = weight.get(j, 0) + r.home
+        if j:
+            weight[j - 1] = weight.get(j - 1, 0) + r.guest
+    total, at, out = sum(weight.values()) or 1, 0.0, {}
+    for j in sorted(weight):
+        out[j] = (at, weight[j] / total * (parts - 1e-6))
+        at += out[j][1]
+    return out
+
+
+def sketches(docs: DataFrame, n: int, t: float, frequent: np.ndarray | None = None, ranges: Ranges | None = None) -> DataFrame:
     """key, fp: a row for every emitted block."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
@@ -206,7 +233,7 @@ def sketches(docs: DataFrame, n: int, t: float, frequent: np.ndarray | None = No
             keys, who, total = [], [], 0
             for _, g in sets(batch.column(1), n):
                 if len(g):
-                    keys.append(keys_of(g, t, frequent))
+                    keys.append(keys_of(g, t, frequent, ranges))
                     who.append(prints(g)[0])
                     total += len(keys[-1])
                     if total > 100_000:
@@ -218,49 +245,106 @@ def sketches(docs: DataFrame, n: int, t: float, frequent: np.ndarray | None = No
     return docs.mapInArrow(run, "key long, fp long")
 
 
-def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All pairs a < b of different fp within each run of equal keys; rows are sorted by key, fp."""
-    most = 200_000
+class Pairs:
+    """Pairs and how often each was added, summed up whenever many are held."""
+
+    def __init__(self, most: int = 4_000_000):
+        self.most = most
+        self.clear()
+
+    def clear(self) -> None:
+        self.fps = np.empty(0, np.int64)  # by local number
+        self.order = np.empty(0, np.int64)  # local numbers in the order of their fp
+        self.held: list[np.ndarray] = []
+        self.n = 0
+        self.code, self.count = np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def local(self, fp: np.ndarray) -> np.ndarray:
+        u = np.unique(fp)
+        known = self.fps[self.order]
+        at = np.searchsorted(known, u)
+        new = u if not len(known) else u[known[np.minimum(at, len(known) - 1)] != u]
+        if len(new):
+            self.fps = np.concatenate((self.fps, new))
+            self.order = np.argsort(self.fps, kind="stable")
+            known = self.fps[self.order]
+        return self.order[np.searchsorted(known, fp)]
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        self.held.append((a << 32) | b)
+        self.n += len(a)
+        if self.n >= self.most:
+            self.sum()
+
+    def sum(self) -> None:
+        if not self.held:
+            return
+        code, count = np.unique(np.concatenate(self.held), return_counts=True)
+        self.held, self.n = [], 0
+        if len(self.code):
+            code, count = np.concatenate((self.code, code)), np.concatenate((self.count, count))
+            by = np.argsort(code, kind="stable")
+            code, count = code[by], count[by]
+            first = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
+            code, count = code[first], np.add.reduceat(count, first)
+        self.code, self.count = code, count
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        self.sum()
+        for s in range(0, len(self.code), 100_000):
+            code = self.code[s : s + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(self.fps[code >> 32]), pa.array(self.fps[code & 0xFFFFFFFF]), pa.array(self.count[s : s + 100_000])], ["a", "b", "n"])
+        self.clear()
 
-    def out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    def emit(key: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """a, b, n: the pairs a < b of different fp within runs of equal keys and their number of runs; rows are sorted by key, fp."""
+    pairs = Pairs()
+
+    def take(key: np.ndarray, fp: np.ndarray) -> None:
         new = np.concatenate(([True], (key[1:] != key[:-1]) | (fp[1:] != fp[:-1])))
         key, fp = key[new], fp[new]
         starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         lengths = np.diff(np.append(starts, len(key)))
-        for n in np.unique(lengths[lengths > 1]):
+        several = lengths > 1
+        if not several.any():
+            return
+        kept = np.repeat(several, lengths)
+        fp, lengths = pairs.local(fp[kept]), lengths[several]
+        starts = np.cumsum(lengths) - lengths
+        for n in np.unique(lengths):
             at = starts[lengths == n]
             if n <= 400:
                 i, j = np.triu_indices(n, 1)
-                step = max(1, most // len(i))
+                step = max(1, 1_000_000 // len(i))
                 for s in range(0, len(at), step):
                     base = at[s : s + step, None]
-                    yield out(fp[(base + i).ravel()], fp[(base + j).ravel()])
+                    pairs.add(fp[(base + i).ravel()], fp[(base + j).ravel()])
             else:
                 for s in at:
                     run = fp[s : s + n]
                     for i in range(n - 1):
-                        yield out(np.full(n - 1 - i, run[i]), run[i + 1 :])
+                        pairs.add(np.full(n - 1 - i, run[i]), run[i + 1 :])
 
-    held_k, held_f = np.empty(0, np.int64), np.empty(0, np.int64)
     parts: list[tuple[np.ndarray, np.ndarray]] = []
+    held = 0
     for batch in batches:
         key, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         if not len(key):
             continue
         parts.append((key, fp))
-        if key[0] == key[-1] and parts[0][0][0] == key[0]:
-            continue  # one run goes on
+        held += len(key)
+        if held < 100_000 or parts[0][0][0] == key[-1]:
+            continue  # few rows, or one run goes on
         key, fp = (np.concatenate([p[x] for p in parts]) for x in (0, 1))
         last = int(np.searchsorted(key, key[-1]))
-        parts = [(key[last:], fp[last:])]
-        if last:
-            yield from emit(key[:last], fp[:last])
+        parts, held = [(key[last:], fp[last:])], len(key) - last
+        take(key[:last], fp[:last])
+        if len(pairs.code) > pairs.most:
+            yield from pairs.flush()
     if parts:
-        held_k, held_f = (np.concatenate([p[x] for p in parts]) for x in (0, 1))
-        yield from emit(held_k, held_f)
+        take(*(np.concatenate([p[x] for p in parts]) for x in (0, 1)))
+    yield from pairs.flush()
 
 
 def intersections(members: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -332,8 +416,9 @@ def classes_and_pairs(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     sig = signatures(docs, n)
     classes = sig.groupBy("fp", "fp2").agg(F.first("size").alias("size"), F.first("low").alias("low"), F.min("doc").alias("doc"), F.array_sort(F.collect_set("doc")).alias("docs")).checkpoint()
     parts = shuffle_partitions(spark)
-    rows = sketches(docs, n, t, frequent_ngrams(docs, n)).repartition(parts, "key").sortWithinPartitions("key", "fp")
-    pairs = rows.mapInArrow(paired, "a long, b long").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    rows = sketches(docs, n, t, frequent_ngrams(docs, n), task_ranges(classes, t, parts))
+    rows = rows.repartitionById(parts, F.shiftrightunsigned("key", PART).cast("int")).sortWithinPartitions("key", "fp")
+    pairs = rows.mapInArrow(paired, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("shared"))
     # should two sets share the first 64 bits, the largest of either kind of size keeps the filter safe
     size = classes.groupBy("fp").agg(F.min("size").alias("s"), F.max("size").alias("l"), F.max("low").alias("low"))
     pairs = pairs.join(size.toDF("a", "sa", "la", "wa"), "a").join(size.toDF("b", "sb", "lb", "wb"), "b")
