@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lucidframe.plans import relational
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang = 'en'").groupBy("source").count()
+    return relational.queries()["agg_basic"](spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return relational.queries()
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return relational.oracle_sql()
