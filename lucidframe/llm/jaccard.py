@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lucidframe.llm.common import c, ensure_checkpoint_dir, ensure_workers, shuffle_partitions
+from lucidframe.llm.common import c, ensure_checkpoint_dir, ensure_workers, fresh, shuffle_partitions
 from lucidframe.llm.tokens import U, mix, ngrams, pieces, words
 
 N = 3
@@ -438,8 +438,8 @@ def classes_and_pairs(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     member = ends.groupBy("g", "h", "fp").agg(F.collect_list("b").alias("partners"))
     member = member.join(classes.select("fp", "fp2", "doc"), "fp").checkpoint()
     n_rows, n_ids = member.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("partners")), F.lit(0))).first()
-    small = n_rows <= BROADCAST_ROWS and n_ids <= 8 * BROADCAST_ROWS
-    texts = docs.join(F.broadcast(member) if small else member, "doc").select("g", "h", "fp", "fp2", "partners", "text")
+    fits_memory = n_rows <= BROADCAST_ROWS and n_ids <= 8 * BROADCAST_ROWS
+    texts = docs.join(F.broadcast(member) if fits_memory else member, "doc").select("g", "h", "fp", "fp2", "partners", "text")
     found = texts.groupBy("g", "h").applyInArrow(verifier(n, t), "a long, a2 long, b long, b2 long, jaccard double")
     return classes, found.distinct().checkpoint()
 
@@ -480,8 +480,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int
     rep = classes.select("fp", "fp2", "doc")
     near = pairs.join(rep.toDF("a", "a2", "da"), ["a", "a2"]).join(rep.toDF("b", "b2", "db"), ["b", "b2"]).select(F.col("da").alias("a"), F.col("db").alias("b"))
     copies = classes.where(F.size("docs") > 1).select(F.explode("docs").alias("a"), F.col("doc").alias("b")).where("a <> b")
-    gone = components(near.union(copies)).where("node <> root").select("node")
-    return docs.join(gone, c(id_col) == F.col("node"), "left_anti")
+    (node,) = fresh(docs, "jaccard_node")
+    gone = components(near.union(copies)).where("node <> root").select(F.col("node").alias(node))
+    return docs.join(gone, c(id_col) == c(node), "left_anti")
 
 
 def oracle_sql(n: int = N, t: float = THRESHOLD) -> str:
