@@ -1,6 +1,6 @@
 """Personal data and secrets by a skip-chain conditional random field.
 
-Nodes are the candidate tokens: white-space tokens with a digit or "@", or a run of 16 capitals. All other tokens are fixed to
+Nodes are the candidate tokens: white-space tokens with a digit or "@", or of 16 capitals at least. All other tokens are fixed to
 the label O, which cuts the chain into short pieces exactly. Neighbouring candidates are joined by chain
 edges; skip edges join each mention to the next one in the document that repeats it (same text, or same digits) or
 resembles it (same mail domain, same network). Labels are O and the kinds of entity. Loopy sum-product message passing over all edges of
@@ -51,7 +51,11 @@ _assign = re.compile(r"([A-Za-z][\w.-]*)[\"']?[=:][\"']?(?=[^/\s])")
 _credential = re.compile(r"pass|pwd|secret|token|key|auth|cred", re.I)
 _mail = re.compile(r"[\w.+%-]+@[\w-]+(?:\.[\w-]+)+\Z")
 _ip = re.compile(r"(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})\Z")
+_marked = re.compile(r"[0-9@]")
+_capitals = re.compile(r"[A-Z0-9]{16,}")
 _digits = re.compile(r"\D+")
+_phones = re.compile(r"(?<!\S)(?:\+\d{1,3} )?\(\d{2,4}\) \d{3,4}(?:-| )\d{3,5}(?!\S)|(?<!\S)\+\d{1,3}(?: \d{2,4}){2,4}(?!\S)|(?<!\S)\d{3} \d{3}-\d{4}(?!\S)")
+CONTEXT = frozenset("version commit sha256 sha1 md5 hash order figure page blob size id n phone tel call fax email mail card visa ssn iban ip host server".split())
 _edge = re.compile(r"^\W+|\W+$")
 
 
@@ -98,11 +102,11 @@ def own_features(core: str, key: str | None) -> list[str]:
             f.append("first:" + core[0])
             f.append("luhn" if luhn(core) else "noluhn")
     elif re.fullmatch(r"[0-9A-Fa-f]+", core) and n >= 12:
-        f += ["hex", f"hex:{n // 8}"]
+        f = ["bias", "hex", f"hex:{n // 8}"]  # which characters a random string has says nothing
     elif re.fullmatch(r"[A-Z0-9]+", core) and n >= 12:
-        f += ["capitals", f"capitals:{n}", "begin:" + core[:4]]
+        f = ["bias", "capitals", f"capitals:{n}", "begin:" + core[:4], "withdigits" if digits else "lettersonly"]
     elif re.fullmatch(r"[\w+/=.-]+", core) and n >= 16 and digits and re.search("[A-Za-z]", core):
-        f.append("blob")
+        f = ["bias", "uuid" if re.fullmatch(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}", core) else "blob"]
     if re.fullmatch(r"\d{4}(?:[ -]\d{4}){3}", core):
         f.append("cardform")
     if re.fullmatch(r"\d{3}-\d{2}-\d{4}", core):
@@ -166,16 +170,26 @@ def candidates(texts: pa.Array) -> tuple[list[Node], np.ndarray, np.ndarray]:
             lo, core = lo + 1, core[1:]
         if core.endswith(")") and "(" not in core:
             core = _edge.sub("", core)
-        if not core:
+        if not core or not (_marked.search(core) or _capitals.fullmatch(core)):
             continue
         f = own_features(core, key)
-        f += ["prev:" + one[:20], "prev2:" + two[:20], "next:" + word(i + 1, d)[:20]]
+        f += [name + w for name, w in (("prev:", one), ("prev2:", two), ("next:", word(i + 1, d))) if w in CONTEXT]
         s0 = s + len(token[:lo].encode())
         nodes.append(Node(d, i, s0, s0 + len(core.encode()), core, f))
-    for x, y in zip(nodes, nodes[1:]):
-        if y.at == x.at + 1 and x.doc == y.doc:
-            x.features.append("right:" + shape(y.core)[:12])
-            y.features.append("left:" + shape(x.core)[:12])
+    # numbers that together read as a telephone number
+    i = 0
+    while i < len(nodes):
+        j = i + 1
+        while j < len(nodes) and nodes[j].doc == nodes[i].doc and nodes[j].at == nodes[j - 1].at + 1:
+            j += 1
+        if j > i + 1:
+            run = " ".join(x.core for x in nodes[i:j])
+            for m in _phones.finditer(run):
+                if 7 <= len(_digits.sub("", m[0])) <= 15:
+                    first = run.count(" ", 0, m.start())
+                    for x in nodes[i + first : i + first + m[0].count(" ") + 1]:
+                        x.features.append("phonerun")
+        i = j
     return nodes, data, at
 
 
@@ -264,9 +278,9 @@ def _generated(rng: random.Random, n: int) -> list[list[tuple[str, str]]]:
         if kind == "CARD":
             return [(card(), kind)]
         if kind == "IP":
-            return [(".".join(str(rng.randint(1, 255)) for _ in range(4)), kind)]
+            return [(".".join(str(rng.randint(0, rng.choice([9, 99, 255, 255]))) for _ in range(4)), kind)]
         if kind == "KEY":
-            return [(rng.choice(["AKIA", "ASIA", "AKIA"]) + pick(upper, 16), kind)]
+            return [(rng.choice(["AKIA", "ASIA", "AKIA"]) + pick(upper if rng.random() < 0.7 else upper[:26], 16), kind)]
         if kind == "SSN":
             return [(f"{num(3)}-{num(2)}-{num(4)}", kind)]
         if kind == "IBAN":
@@ -282,9 +296,9 @@ def _generated(rng: random.Random, n: int) -> list[list[tuple[str, str]]]:
             [
                 lambda: [str(rng.randint(1900, 2030))], lambda: [str(rng.randint(0, 99999))], lambda: [f"{rng.randint(1990, 2030)}-{num(2)}-{num(2)}"], lambda: [f"{num(2)}/{num(2)}/{rng.randint(1990, 2030)}"],
                 lambda: [f"{num(2)}:{num(2)}"], lambda: [f"{num(2)}:{num(2)}:{num(2)}"], lambda: [f"${num(1)},{num(3)}.{num(2)}"], lambda: [f"{num(2)}.{num(1)}%"], lambda: ["version", f"{num(1)}.{num(1)}.{num(2)}"], lambda: [f"v{num(1)}.{num(2)}.{num(1)}"],
-                lambda: [f"{num(1)}th"], lambda: ["commit", pick(hexes, 40)], lambda: ["sha256", pick(hexes, 64)], lambda: ["md5:" + pick(hexes, 32)], lambda: ["#" + pick(hexes, 6)], lambda: [f"978-{num(1)}-{num(4)}-{num(4)}-{num(1)}"],
+                lambda: [f"{num(1)}th"], lambda: ["commit", pick(hexes, 40)], *[lambda: [pick(hexes, rng.randint(12, 64))], lambda: [pick(hexes, rng.choice([16, 18, 20, 24, 32, 40]))]] * 2, lambda: ["sha256", pick(hexes, 64)], lambda: ["md5:" + pick(hexes, 32)], lambda: ["#" + pick(hexes, 6)], lambda: [f"978-{num(1)}-{num(4)}-{num(4)}-{num(1)}"],
                 lambda: ["order", num(10)], lambda: ["id=" + num(6)], lambda: ["n", "=", num(4)], lambda: [f"{num(2)}-{num(2)}"], lambda: [f"https://{word()}.example.com/{num(5)}"], lambda: ["figure", num(1)], lambda: [f"{word()}-{num(2)}"],
-                lambda: ["size:", num(5)], lambda: [f"{num(1)}.{num(3)}.{num(3)}"], lambda: [f"({num(2)})"], lambda: [f"[{num(1)}]"], lambda: [pick(upper[:26], 17)], lambda: [pick(upper[:26], 2) + num(3)], lambda: [pick(hexes, 8) + "-" + pick(hexes, 4) + "-4" + pick(hexes, 3) + "-a" + pick(hexes, 3) + "-" + pick(hexes, 12)],
+                lambda: ["size:", num(5)], lambda: [f"{num(1)}.{num(3)}.{num(3)}"], lambda: [f"({num(2)})"], lambda: [f"[{num(1)}]"], lambda: [pick(upper[:26], rng.randint(12, 26))], lambda: [pick(upper[:26], 20)], lambda: [pick(upper[:26], 2) + num(3)], lambda: [pick(hexes, 8) + "-" + pick(hexes, 4) + "-4" + pick(hexes, 3) + "-a" + pick(hexes, 3) + "-" + pick(hexes, 12)],
                 lambda: [num(20)], lambda: [f"{num(3)}.{num(3)}.{num(3)},{num(2)}"], lambda: ["@" + word() + num(2)], lambda: [f"{num(4)}-{num(4)}"], lambda: [f"{num(1)},{num(3)},{num(3)}"], lambda: [f"+{num(1)}%"], lambda: ["blob", pick(upper.lower() + upper, 30)], lambda: [f"{word()}{num(1)}@"], lambda: [f"{num(3)}.{num(3)}.{num(3)}.{300 + int(num(2))}"],
             ]
         )()
@@ -362,13 +376,12 @@ def trained(n: int = 3000, seed: int = 3, rounds: int = 120) -> Field:
     a, b, kind = edges(nodes)
     size, pair = len(KINDS), np.zeros((3, len(KINDS), len(KINDS)))
     share = np.bincount(y, minlength=size) / len(y)
-    chain = np.ones((size, size)) * 2
-    np.add.at(chain, (y[a[kind == 0]], y[b[kind == 0]]), 1)
-    pair[0] = 0.5 * np.log(chain / chain.sum() / np.outer(share, share))
-    for t in (1, 2):
-        agree = (y[a[kind == t]] == y[b[kind == t]]).sum() + 1
-        other = (kind == t).sum() - agree + 3
-        pair[t] = np.eye(size) * min(4.0, max(0.0, np.log(agree / other)))
+    # how much likelier two labels are on an edge than apart from each other; chain edges are weighted by half
+    for t, strength in ((0, 0.5), (1, 1.0), (2, 1.0)):
+        seen = np.full((size, size), 0.5 if t else 2.0)
+        np.add.at(seen, (y[a[kind == t]], y[b[kind == t]]), 1)
+        seen = seen + seen.T if t else seen
+        pair[t] = strength * np.log(seen / seen.sum() / np.outer(share, share))
     return Field(vocabulary, w.astype(float), pair)
 
 

@@ -57,7 +57,7 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, ...]:
     data, at = raw(texts)
     if not len(data):
         e = np.empty(0, np.int64)
-        return e, e.astype(np.uint64), e.astype(bool), e, np.zeros(len(at), np.int64)
+        return e, e.astype(np.uint64), e.astype(bool), e.astype(np.uint64), np.zeros(len(at), np.int64)
     kind = _KIND[data]
     new = np.empty(len(data), bool)
     new[0] = True
@@ -68,7 +68,7 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, ...]:
     doc = np.repeat(np.arange(len(at) - 1), np.diff(first))
     if not len(start):
         e = np.empty(0, np.int64)
-        return e, e.astype(np.uint64), e.astype(bool), e, first
+        return e, e.astype(np.uint64), e.astype(bool), e.astype(np.uint64), first
     up, down = powers(len(data) + 1)
     h = mix(np.add.reduceat(_LOWER[data] * up[: len(data)], start) * down[start])
     word = kind[start] == 1
@@ -133,8 +133,8 @@ class Model:
         return known, r, wr
 
 
-def descend(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, cost: np.ndarray, n: int, epochs: int = EPOCHS, seed: int = 5) -> np.ndarray:
-    """Weights of min |w|^2 / 2 + sum cost_i max(0, 1 - y_i w.x_i) by dual coordinate descent with shrinking of settled rows."""
+def descend(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, cost: np.ndarray, n: int, epochs: int = EPOCHS, seed: int = 5, tolerance: float = 1e-3) -> np.ndarray:
+    """Weights of min |w|^2 / 2 + sum cost_i max(0, 1 - y_i w.x_i) by dual coordinate descent."""
     w, alpha = np.zeros(n), np.zeros(len(rows))
     square = np.array([v @ v for v in values])
     rng = np.random.default_rng(seed)
@@ -150,7 +150,7 @@ def descend(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, cos
                 w[f] += (a - alpha[i]) * y[i] * v
                 moved = max(moved, abs(a - alpha[i]))
                 alpha[i] = a
-        if moved < 1e-3:
+        if moved < tolerance:
             break
     return w
 
