@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lucidframe.plans import relational
+from lucidframe.plans import relational, semantic
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relational.queries()["agg_basic"](spark, sf_dir)
+    """English documents that mention a licence, by the semantic filter."""
+    return semantic.engine(spark, sf_dir).sql("SELECT doc_id, source, n_chars FROM documents WHERE lang = 'en' AND text MEANS 'has a mail address'")
 
 
 def queries() -> dict:
-    return relational.queries()
+    return relational.queries() | semantic.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return relational.oracle_sql()
+    return relational.oracle_sql() | semantic.oracle_sql()
