@@ -6,7 +6,7 @@ r = log((a + p) / |a + p|) - log((a + q) / |a + q|), p and q counting the good a
 divided by its norm. A linear model with hinge loss is fitted by dual coordinate descent, and its weights are interpolated
 with their mean magnitude.
 
-The model is fitted on at most SAMPLE labelled rows, taken by hash of their id (the bound is a parameter); every row is scored, on
+The model is fitted on at most SAMPLE labelled rows, taken by hash of their id, and SAMPLE_FEATURES features of theirs (the bounds are parameters); every row is scored, on
 its whole text.
 
 Defined results: a null or empty text has no feature and the model's intercept as score; a null id is scored and never
@@ -29,6 +29,7 @@ from lucidframe.llm.common import c, ensure_workers, fresh
 from lucidframe.llm.tokens import CODE, STEP, U, IS_WORD, mix, pieces, powers, raw
 
 SAMPLE = 4_000
+SAMPLE_FEATURES = 20_000_000  # the sample ends early where its texts have more features than this together
 BITS = 21  # word features are hashed to 2 ** BITS buckets
 SHAPES = 1 << 12  # shape features to these
 SMOOTH = 1.0
@@ -201,8 +202,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text: str, la
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.astype(np.int32).tobytes() for x in out], pa.binary())], ["id", "y", "f"])
 
     kind = texts.schema["id"].dataType.simpleString()
-    rows = sorted(texts.mapInArrow(run, f"id {kind}, y int, f binary").collect(), key=lambda r: (str(r.id), r.f))
-    return [np.frombuffer(r.f, np.int32) for r in rows], np.array([r.y == 1 for r in rows], bool)
+    found, good, total = [], [], 0
+    for r in texts.mapInArrow(run, f"id {kind}, y int, f binary").orderBy(F.xxhash64("id"), "id", "f").toLocalIterator():
+        total += len(r.f) // 4
+        if found and total > SAMPLE_FEATURES:
+            break
+        found.append(np.frombuffer(r.f, np.int32))
+        good.append(r.y == 1)
+    return found, np.array(good, bool)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Model | None:
