@@ -17,6 +17,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,7 +25,8 @@ from pyspark.sql import DataFrame
 
 from lucidframe.llm.common import c, ensure_workers
 
-_tag = re.compile(r"<(?:!--.*?(?:-->|\Z)|(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[!?][^>]*>)", re.S)
+# no tag holds a "<", so that an open quote costs no more than its own tag
+_tag = re.compile(r"<(?:!--.*?(?:-->|\Z)|(/?)([A-Za-z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+'|[\"'])*+)>|[!?][^>]*>)", re.S)
 _space = re.compile(r"\s+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("script style template noscript textarea title".split())
@@ -40,7 +42,14 @@ class Tree:
         self.tag, self.parent, self.texts = ["#root"], [-1], []
         self.body = 0
         stack = [0]
+        opened: Counter = Counter()  # elements of each name on the stack
         at = 0
+
+        def cut(i: int) -> None:
+            for x in stack[i:]:
+                opened[self.tag[x]] -= 1
+            del stack[i:]
+
         for m in _tag.finditer(page):
             if m.start() < at:
                 continue
@@ -52,22 +61,20 @@ class Tree:
                 continue
             name = name.lower()
             if m[1]:
-                for i in range(len(stack) - 1, 0, -1):
-                    if self.tag[stack[i]] == name:
-                        del stack[i:]
-                        break
+                if opened[name]:
+                    cut(next(i for i in range(len(stack) - 1, 0, -1) if self.tag[stack[i]] == name))
                 continue
             if name == "html":
                 continue
             if name == "body":
                 if self.body:
                     continue
-                del stack[1:]
+                cut(1)
             elif name == "p" or name in BLOCK and name not in ("br", "html"):
                 for i in range(len(stack) - 1, 0, -1):
                     t = self.tag[stack[i]]
                     if t == "p":
-                        del stack[i:]
+                        cut(i)
                         break
                     if t in BLOCK:
                         break
@@ -75,7 +82,7 @@ class Tree:
                     for i in range(len(stack) - 1, 0, -1):
                         t = self.tag[stack[i]]
                         if t in CLOSES[name]:
-                            del stack[i:]
+                            cut(i)
                             break
                         if t in SCOPE:
                             break
@@ -89,6 +96,7 @@ class Tree:
                 at = end.end() if end else len(page)
             elif name not in VOID and not m[3].endswith("/"):
                 stack.append(node)
+                opened[name] += 1
         if at < len(page):
             self.texts.append((stack[-1], page[at:]))
 
