@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from lucidframe.llm.common import c, ensure_workers
 
 # no tag holds a "<", so that an open quote costs no more than its own tag
-_tag = re.compile(r"<(?:!--.*?(?:-->|\Z)|(/?)([A-Za-z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+'|[\"'])*+)>|[!?][^>]*>)", re.S)
+_tag = re.compile(r"<(?:!--.*?(?:-->|\Z)|(/?)([A-Za-z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+'|[\"'])*+)>|[!?][^<>]*+>)", re.S)
 _space = re.compile(r"\s+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("script style template noscript textarea title".split())
