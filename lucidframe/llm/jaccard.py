@@ -9,7 +9,7 @@ Order. Frequent n-grams (counted over all documents) have the blocks at the end,
 first, and passages or phrases that many documents share don't make them candidates. Which n-grams count as frequent changes
 the cost only: the join is exact for any choice.
 
-Pigeonhole. Sets are joined by size band. A band has one m, and bands are as wide as BAND; a set whose
+Pigeonhole. Sets are joined by size band. A band has one m, and its ends have the ratio BAND (1 / t, if that is more); a set whose
 smaller partners may lie in the band below also takes part there as a guest. Each set emits its blocks in
 order until k + 1 of them are non-empty, k being the largest K with any partner there: two sets with J >= t then share
 an emitted non-empty block, and at least min(k_a, k_b) + 1 - K(a, b) of them, which prunes candidates by count.
@@ -63,7 +63,12 @@ def most_apart(a: float, b: float, t: float) -> int:
     return int(math.floor((1 - t) / (1 + t) * (a + b) + EPS))
 
 
-def band_of(n: int, wide: float = BAND) -> int:
+def width(t: float) -> float:
+    """Ratio of a band's ends: partners lie in neighbouring bands at most."""
+    return max(BAND, 1 / t)
+
+
+def band_of(n: int, wide: float) -> int:
     j = int(math.log(n) / math.log(wide))
     while low(j, wide) > n:
         j -= 1
@@ -72,14 +77,15 @@ def band_of(n: int, wide: float = BAND) -> int:
     return j
 
 
-def low(j: int, wide: float = BAND) -> int:
+def low(j: int, wide: float) -> int:
     """Smallest size of band j."""
     return max(1, math.ceil(wide**j - EPS))
 
 
 @functools.lru_cache(None)
-def blocks(j: int, t: float, wide: float = BAND) -> int:
+def blocks(j: int, t: float) -> int:
     """m of band j: as few blocks as leave enough of them non-empty."""
+    wide = width(t)
     sizes = {low(j, wide), low(j + 1, wide), math.ceil(low(j + 1, wide) / t)}
 
     def enough(m: int) -> bool:
@@ -123,10 +129,11 @@ def keys_of(g: np.ndarray, t: float, frequent: np.ndarray | None = None, ranges:
         often = frequent[np.minimum(np.searchsorted(frequent, g), len(frequent) - 1)] == g
         g = np.concatenate((g[~often], g[often]))
         far[n - int(often.sum()) :] = 1
-    j = band_of(n)
+    wide = width(t)
+    j = band_of(n, wide)
     out = sketch(g, far, j, most_apart(n, n / t, t), t, ranges)
-    if j and n * t - EPS < low(j):
-        out = np.concatenate((out, sketch(g, far, j - 1, most_apart(low(j) - 1, n, t), t, ranges)))
+    if j and n * t - EPS < low(j, wide):
+        out = np.concatenate((out, sketch(g, far, j - 1, most_apart(low(j, wide) - 1, n, t), t, ranges)))
     return out
 
 
@@ -152,8 +159,9 @@ def as_long(x) -> np.ndarray:
     return np.asarray(x, np.uint64).view(np.int64)
 
 
-def signatures(docs: DataFrame, n: int) -> DataFrame:
+def signatures(docs: DataFrame, n: int, t: float) -> DataFrame:
     """doc, fp, fp2, size, low (least size of its band) of every document with an n-gram; docs: doc, text."""
+    wide = width(t)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,7 +174,7 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
                     b.append(q)
                     size.append(len(g))
             ids = batch.column(0).take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(as_long(a)), pa.array(as_long(b)), pa.array(size, pa.int32()), pa.array([low(band_of(x)) for x in size], pa.int32())], ["doc", "fp", "fp2", "size", "low"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(as_long(a)), pa.array(as_long(b)), pa.array(size, pa.int32()), pa.array([low(band_of(x, wide), wide) for x in size], pa.int32())], ["doc", "fp", "fp2", "size", "low"])
 
     kind = docs.schema["doc"].dataType.simpleString()
     return docs.mapInArrow(run, f"doc {kind}, fp long, fp2 long, size int, low int")
@@ -208,7 +216,7 @@ def task_ranges(classes: DataFrame, t: float, parts: int) -> Ranges:
     rows = classes.groupBy("low").agg(F.sum(F.floor(F.col("size") * ((1 - t) / t)) + 1).alias("home"), F.sum(F.when(guest, F.floor((F.col("size") + F.col("low")) * ((1 - t) / (1 + t))) + 1).otherwise(0)).alias("guest")).collect()
     weight: dict[int, float] = {}
     for r in rows:
-        j = band_of(r.low)
+        j = band_of(r.low, width(t))
         weight[j] = weight.get(j, 0) + r.home
         if j:
             weight[j - 1] = weight.get(j - 1, 0) + r.guest
@@ -413,7 +421,7 @@ def classes_and_pairs(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     ensure_workers(spark)
     ensure_checkpoint_dir(spark)
     docs = docs.select(c(id_col).alias("doc"), c(text).cast("string").alias("text")).where("doc is not null and text is not null")
-    sig = signatures(docs, n)
+    sig = signatures(docs, n, t)
     classes = sig.groupBy("fp", "fp2").agg(F.first("size").alias("size"), F.first("low").alias("low"), F.min("doc").alias("doc"), F.array_sort(F.collect_set("doc")).alias("docs")).checkpoint()
     parts = shuffle_partitions(spark)
     rows = sketches(docs, n, t, frequent_ngrams(docs, n), task_ranges(classes, t, parts))

@@ -65,6 +65,14 @@ def test_all_pairs_as_by_brute_force(spark, t):
     assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+@pytest.mark.parametrize("t", [0.5, 0.6, 0.75, 0.9])
+def test_every_ratio_of_sizes(spark, t):
+    base = [f"p{i}" for i in range(400)]
+    sizes = [*range(1, 40), *range(40, 130, 3), *range(130, 401, 11)]
+    rows = [(k, " ".join(base[:k]), None, 0) for k in sizes]
+    assert expanded(J.jaccard_join(spark.createDataFrame(rows, SCHEMA), t=t).collect()).keys() == brute(rows, t).keys()
+
+
 def test_order_of_frequent_ngrams_changes_no_result(spark, monkeypatch):
     rows = corpus(5)
     df = spark.createDataFrame(rows, SCHEMA)
