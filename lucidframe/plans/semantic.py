@@ -182,12 +182,15 @@ ALL: dict[str, tuple] = {
     "prefilter_keep": (prefilter_keep, "SELECT doc_id FROM documents WHERE contains(text, 'token')"),
     "unindexed_passthrough": (unindexed_passthrough, "SELECT doc_id FROM documents WHERE lang <> 'de' AND contains(text, 'token') AND text NOT IN (SELECT text FROM documents WHERE lang = 'de')"),
     "index_refresh": (index_refresh, "SELECT count(DISTINCT text) AS docs FROM documents"),
-    "recall_calibrated": (recall_calibrated, None),
+    "recall_calibrated": (recall_calibrated, "SELECT doc_id FROM documents WHERE contains(text, 'token')"),
     "relevance_topk": (
         by_sql("SELECT doc_id, text RELEVANCE TO 'token' AS score FROM documents WHERE text LIKE '%token%' ORDER BY score DESC, doc_id LIMIT 5", True, words=200_000),
-        None,
+        "SELECT doc_id, 1.0::DOUBLE AS score FROM documents WHERE contains(text, 'token') ORDER BY doc_id LIMIT 5",
+    ),
+    "relevance_score_column": (
+        by_sql("SELECT doc_id, relevance(text, 'token') AS score FROM documents ORDER BY relevance(text, 'token') DESC, doc_id LIMIT 3", True, words=200_000),
+        "SELECT doc_id, 1.0::DOUBLE AS score FROM documents WHERE contains(text, 'token') ORDER BY doc_id LIMIT 3",
     ),
-    "relevance_score_column": (by_sql("SELECT doc_id, relevance(text, 'license') AS score FROM documents ORDER BY relevance(text, 'license') DESC, doc_id LIMIT 3", True, words=200_000), None),
     "meaning_group_by": (by_sql("SELECT topic, count(*) AS n FROM documents GROUP BY MEANING OF text INTO 5 AS topic", True, words=200_000), None),
     "meaning_auto_k": (meaning_auto_k, None),
     "semantic_distinct": (by_sql("SELECT SEMANTIC DISTINCT ON (text) doc_id FROM documents ORDER BY doc_id WITH SIMILARITY 0.95", True, words=200_000), f"SELECT min(doc_id) AS doc_id FROM documents GROUP BY {THEME}"),
