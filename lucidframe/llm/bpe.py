@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,8 @@ from lucidframe.llm.common import c, ensure_workers, list_array
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# the same on ASCII texts, in the standard library's faster engine
+ASCII_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
 REMEMBERED = 300_000  # pretokens a worker's table holds before it starts anew
 
 
@@ -41,6 +44,7 @@ class BPE:
                     self.ranks[base64.b64decode(token)] = int(rank)
         self.strings = {v: k for k, v in self.ranks.items()}
         self.find = regex.compile(pattern).findall
+        self.find_ascii = re.compile(ASCII_PATTERN, re.A).findall if pattern == PATTERN else self.find
         self.known: dict[str, tuple[int, ...]] = {}
 
     def merge(self, piece: bytes) -> list[int]:
@@ -83,7 +87,7 @@ class BPE:
 
     def encode(self, text: str) -> list[int]:
         known, out = self.known, []
-        for piece in self.find(text):
+        for piece in self.find_ascii(text) if text.isascii() else self.find(text):
             ids = known.get(piece)
             if ids is None:
                 if len(known) >= REMEMBERED:

@@ -27,6 +27,15 @@ def test_encodes_like_a_public_tokenizer_and_decodes_back():
         assert own.decode(ids) == t
 
 
+def test_ascii_texts_are_cut_alike():
+    own, rng = bpe.BPE(), random.Random(9)
+    every = "".join(map(chr, range(128)))
+    for _ in range(3000):
+        t = "".join(rng.choice(every if rng.random() < 0.5 else " \n'abAB12.,\tstlvermd") for _ in range(rng.randint(0, 40)))
+        assert own.find_ascii(t) == own.find(t)
+    assert own.find_ascii(every) == own.find(every)
+
+
 def test_merge_without_the_whole_token_is_greedy_by_rank():
     own = bpe.BPE()
 
