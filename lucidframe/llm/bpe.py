@@ -132,6 +132,7 @@ def bpe_encode(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path
                 if decode:
                     columns.append(pa.array([None if x is None else bpe.decode(x) for x in found], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tokens", "n_tokens", "text"][: len(columns)])
+        bpe.known = {}  # workers live on: the next stage needs the memory
 
     return docs.select(c(id_col).alias("doc_id"), c(text).cast("string").alias("text")).mapInArrow(run, schema)
 

@@ -256,7 +256,7 @@ def sketches(docs: DataFrame, n: int, t: float, frequent: np.ndarray | None = No
 class Pairs:
     """Pairs and how often each was added, summed up whenever many are held."""
 
-    def __init__(self, most: int = 4_000_000):
+    def __init__(self, most: int = 1_000_000):
         self.most = most
         self.clear()
 
@@ -324,7 +324,7 @@ def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = starts[lengths == n]
             if n <= 400:
                 i, j = np.triu_indices(n, 1)
-                step = max(1, 1_000_000 // len(i))
+                step = max(1, 250_000 // len(i))
                 for s in range(0, len(at), step):
                     base = at[s : s + step, None]
                     pairs.add(fp[(base + i).ravel()], fp[(base + j).ravel()])
@@ -348,7 +348,7 @@ def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = int(np.searchsorted(key, key[-1]))
         parts, held = [(key[last:], fp[last:])], len(key) - last
         take(key[:last], fp[:last])
-        if len(pairs.code) > pairs.most:
+        if len(pairs.code) > 2 * pairs.most:
             yield from pairs.flush()
     if parts:
         take(*(np.concatenate([p[x] for p in parts]) for x in (0, 1)))
