@@ -24,6 +24,7 @@ from lucidframe.operators.index import FETCH, FLOOR, PER_DOC, SEPARATOR, Index,
 from lucidframe.operators.types import Field, SemanticType, unit_key
 
 SAMPLE = 64
+PER_MISS = 4
 MEANS, CLASSIFY, RELEVANCE, CLUSTER, EXTRACT = "means-v2", "classify-v1", "relevance-v1", "cluster-v1", "extract-v1"
 SIMILARITY = 0.9
 CENTRAL = 5
@@ -75,10 +76,10 @@ def sem_filter(ctx: Semantic, df: DataFrame, text: Column, condition: str, index
         passed = _decided(ctx, asked, condition).where("value = 'true'").select("h")
         return rows.join(passed, rows[h] == passed["h"], "left_semi").drop(h)
     if recall is None:
-        hits = evidence(search(ctx, index, condition))
+        hits, labels = evidence(search(ctx, index, condition, fetch=None)), None
     else:
-        everything = search(ctx, index, condition, floor=None)
-        floor = calibrate(ctx, asked, condition, index, everything, recall)
+        everything = search(ctx, index, condition, fetch=None, floor=None)
+        floor, labels = calibrate(ctx, asked, condition, index, everything, recall)
         hits = evidence(everything.where(F.col("score") >= floor))
     hits = ctx.stored(hits, "evidence")
     members = index.members(ctx)
@@ -89,6 +90,8 @@ def sem_filter(ctx: Semantic, df: DataFrame, text: Column, condition: str, index
     ctx.counters.update({"index_hits": n_near, "passthrough_rows": n_unknown, "rows_pruned": n - n_near - n_unknown})
     on_excerpts = _decided(ctx, near.select(F.col("e").alias("h"), F.col("excerpts").alias("input")).dropDuplicates(["h"]), condition, True)
     passed = near.join(on_excerpts.where("value = 'true'").select(F.col("h").alias("e")), "e", "left_semi").select("h")
+    if labels is not None:  # a verdict on the whole text stands
+        passed = passed.join(labels, "h", "left_anti").unionByName(labels.where("value = 'true'").select("h"))
     passed = passed.unionByName(_decided(ctx, unknown, condition).where("value = 'true'").select("h"))
     return rows.join(passed, rows[h] == passed["h"], "left_semi").drop(h)
 
@@ -107,17 +110,33 @@ def threshold_for(target: float, scored: list[float], unindexed: int, lost: int,
     return threshold, (sum(s >= threshold for s in order) + unindexed) / total
 
 
-def calibrate(ctx: Semantic, asked: DataFrame, condition: str, index: Index, hits: DataFrame, target: float) -> float:
-    """The threshold from a labelled sample of at most SAMPLE texts, the least hashes first."""
-    sample = ctx.stored(asked.orderBy("h").limit(SAMPLE), "sample")
+def positives_for(target: float) -> float:
+    """Positives that a sample needs for the target share: PER_MISS for each share that may be missed; no number is enough for all."""
+    return math.inf if target >= 1 else math.ceil(PER_MISS / (1 - target) - 1e-9)
+
+
+def calibrate(ctx: Semantic, asked: DataFrame, condition: str, index: Index, hits: DataFrame, target: float) -> tuple[float, DataFrame]:
+    """The threshold from a labelled sample, and its labels (h, value).
+
+    The sample is the texts of the least hashes: SAMPLE at first, then four times as many until enough of them are positive or all are labelled.
+    """
+    texts = asked.count()
+    size = SAMPLE if target < 1 else max(SAMPLE, texts)
+    while True:
+        sample = ctx.stored(asked.orderBy("h").limit(size) if size < texts else asked, "sample")
+        decided = ctx.stored(_decided(ctx, sample, condition, counter="calibration_model_calls"), "labels")
+        labels = decided.where("value = 'true'").select("h")
+        if size >= texts or labels.count() >= positives_for(target):
+            break
+        size *= 4
     ctx.counters["calibration_sampled_rows"] += sample.count()
-    labels = _decided(ctx, sample, condition, counter="calibration_model_calls").where("value = 'true'").select("h")
     best = hits.groupBy("h").agg(F.max("score").alias("score"))
-    rows = labels.join(best, "h", "left").join(index.members(ctx).withColumn("member", F.lit(True)), "h", "left").select("score", "member").collect()
-    scored = [r.score for r in rows if r.score is not None]
-    lost = sum(r.score is None and bool(r.member) for r in rows)
-    threshold, ctx.counters["estimated_recall"] = threshold_for(target, scored, len(rows) - len(scored) - lost, lost)
-    return threshold
+    rows = labels.join(best, "h", "left").join(index.members(ctx).withColumn("member", F.lit(True)), "h", "left").groupBy("score", "member").count().collect()
+    scored = [r.score for r in rows if r.score is not None for _ in range(r["count"])]
+    lost = sum(r["count"] for r in rows if r.score is None and r.member)
+    unindexed = sum(r["count"] for r in rows if r.score is None and not r.member)
+    threshold, ctx.counters["estimated_recall"] = threshold_for(target, scored, unindexed, lost)
+    return threshold, decided.select("h", "value")
 
 
 def sem_classify(ctx: Semantic, df: DataFrame, text: Column, conditions: list[str], names: list[str], guard: Column | None = None) -> DataFrame:

@@ -180,3 +180,17 @@ def test_stream(spark, e, tmp_path):
     q = filter_stream(e.ctx, stream, F.col("body"), "angry", f"{tmp_path}/out", f"{tmp_path}/state")
     q.awaitTermination(120)
     assert [r.id for r in spark.read.parquet(f"{tmp_path}/out").collect()] == [1]
+
+
+def test_index_prefilter_has_no_cap_and_calibration_grows(spark, e):
+    # 300 texts of the condition's own vector, 100 farther ones (two themes) that hold it too, 200 without it
+    texts = [f"price {i}" for i in range(300)] + [f"price ship {i}" for i in range(100)] + [f"dull {i}" for i in range(200)]
+    spark.createDataFrame(list(enumerate(texts)), "id long, body string").createOrReplaceTempView("many")
+    e.sql("CREATE SEMANTIC INDEX ON many(body)")
+    assert {r[0] for r in rows(e, "SELECT id FROM many WHERE body MEANS 'price'")} == set(range(400))
+    assert calls(e) == 400
+    # a rare condition, with the same vector as most texts
+    e.ctx.model = Mock(needles={"far": ["ship 7"]}, themes=["price", "ship"])
+    want = {i for i, x in enumerate(texts) if "ship 7" in x}
+    assert {r[0] for r in rows(e, "SELECT id FROM many WHERE body MEANS 'far' WITH RECALL 1.0")} == want
+    assert e.ctx.counters["estimated_recall"] == 1.0
