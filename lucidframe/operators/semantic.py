@@ -197,17 +197,15 @@ def sem_classify(ctx: Semantic, df: DataFrame, text: Column, conditions: list[st
     return out.drop(h, f"{h}on", f"{h}v", *[f"{h}c{i}" for i in range(n)])
 
 
-def sem_rank(ctx: Semantic, df: DataFrame, text: Column, query: str, limit: int, index: Index, name: str = "score") -> DataFrame:
-    """Rows whose text is among the candidates nearest to the query, with the model's score in [0, 1]; null where it failed."""
-    candidates = max(4 * limit, 32)
-    ctx.plan.append(f"SemanticRank [{query}] <= {candidates} model calls")
+def sem_rank(ctx: Semantic, df: DataFrame, text: Column, query: str, index: Index, name: str = "score") -> DataFrame:
+    """Rows whose text the index has, with the model's score in [0, 1] of its nearest excerpts; null where it failed."""
+    ctx.plan.append(f"SemanticRank [{query}] every indexed text of the rows is scored")
     if ctx.dry:
         return df.withColumn(name, F.lit(None).cast("double"))
-    hits = search(ctx, index, query, fetch=candidates * PER_DOC, floor=None)
-    best = ctx.stored(evidence(hits).orderBy(F.desc("score"), "h").limit(candidates).select("h", "excerpts"), "candidates")
     rows, h = _hashed(df, text)
     there = rows.select(F.col(h).alias("h")).where("h is not null").distinct()
-    requests = best.join(there, "h", "left_semi").select("h", doc_hash(F.col("excerpts")).alias("e"), F.col("excerpts").alias("input"))
+    best = ctx.stored(evidence(search(ctx, index, query, fetch=None, floor=None).join(there, "h", "left_semi")).select("h", "excerpts"), "candidates")
+    requests = best.select("h", doc_hash(F.col("excerpts")).alias("e"), F.col("excerpts").alias("input"))
     ctx.counters["unindexed_rows"] += there.join(index.members(ctx), "h", "left_anti").count()
     store = Verdicts(ctx)
     known = store.read(query, "relevance", RELEVANCE)

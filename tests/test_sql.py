@@ -194,3 +194,15 @@ def test_index_prefilter_has_no_cap_and_calibration_grows(spark, e):
     want = {i for i, x in enumerate(texts) if "ship 7" in x}
     assert {r[0] for r in rows(e, "SELECT id FROM many WHERE body MEANS 'far' WITH RECALL 1.0")} == want
     assert e.ctx.counters["estimated_recall"] == 1.0
+
+
+def test_rank_scores_all_rows_that_pass_where(spark, e):
+    # 60 texts of one vector, the best by the model's score are farther from the query than they
+    texts = [f"price {i}" for i in range(60)] + ["price ship last"] * 2 + [f"dull {i}" for i in range(9)]
+    spark.createDataFrame(list(enumerate(texts)), "id long, body string").createOrReplaceTempView("ranked")
+    e.sql("CREATE SEMANTIC INDEX ON ranked(body)")
+    assert rows(e, "SELECT id FROM ranked ORDER BY body RELEVANCE TO 'price' DESC, id LIMIT 3") == [(0,), (1,), (2,)]
+    assert rows(e, "SELECT id FROM ranked ORDER BY body RELEVANCE TO 'price last' DESC, id LIMIT 2") == [(60,), (61,)]
+    calls(e)
+    assert rows(e, "SELECT id FROM ranked WHERE body LIKE 'dull%' ORDER BY body RELEVANCE TO 'price' DESC, id LIMIT 4") == [(62,), (63,), (64,), (65,)]
+    assert calls(e) == 0
