@@ -1,187 +1,223 @@
-"""N-gram Jaccard join by parity sketches: all pairs of documents whose sets of word n-grams have Jaccard >= t.
+"""N-gram Jaccard join by parity sketches: which documents have sets of word n-grams with Jaccard >= t, and their classes.
 
-Sketch. Every n-gram g of a set toggles one parity bit; the bits lie in 2 m blocks, g's block being floor(m * hash(g)
-/ 2**64), plus m if g is frequent in the corpus. A block has 2**64 virtual bits, kept as the XOR of its set bits' codes. One n-gram that only one of
-two sets has changes one block, so the number of blocks that differ is a lower bound of the symmetric difference,
-and J >= t bounds that by K(a, b) = (1 - t) / (1 + t) * (a + b) for sizes a and b.
+Sketch. Every n-gram g of a set toggles a parity bit; the bits lie in blocks (2**BLOCK_BITS of them for n-grams that are rare in the
+corpus, as many after these for frequent ones), and a block of 2**64 virtual bits is kept as the XOR of its set bits' codes. Only non-empty blocks
+are materialised. An n-gram that only one of two sets has changes one block, so the blocks that differ bound the symmetric difference
+from below, and split by side: a block of a that differs from b's holds one of a's own n-grams or was hit by one of b's.
 
-Order. Frequent n-grams (counted over all documents) have the blocks at the end, so that a set emits blocks of its rare n-grams
-first, and passages or phrases that many documents share don't make them candidates. Which n-grams count as frequent changes
-the cost only: the join is exact for any choice.
+Pigeonhole. J >= t leaves a at most A = (|a| - t |b|) / (1 + t) n-grams that b lacks, and b at most B, likewise; A <= (1 - t) |a| for every
+partner. Each set emits its non-empty blocks in one order for all sets until it has p = (1 - t) s + s / 32 + X + 1 of them
+(all, if s <= 32), X bounding the blocks of one set that the other's n-grams hit (more are less likely than 1e-11). Whichever of two similar sets stops
+first has at most A + X (or B + X) blocks that differ, so they share min(p_a - A, p_b - B) - X emitted blocks at least; pairs that share
+fewer are no candidates.
 
-Pigeonhole. Sets are joined by size band. A band has one m, and its ends have the ratio BAND (1 / t, if that is more); a set whose
-smaller partners may lie in the band below also takes part there as a guest. Each set emits its blocks in
-order until k + 1 of them are non-empty, k being the largest K with any partner there: two sets with J >= t then share
-an emitted non-empty block, and at least min(k_a, k_b) + 1 - K(a, b) of them, which prunes candidates by count.
-m is chosen so that a set of distinct hashes has too few non-empty blocks with probability below 1e-12.
+Size bands. A block's sets are ordered by size and a set meets only those of its band, from its own size to 1 / t times that.
 
-Blocks go to tasks by band and place, so that the many blocks which two near copies share meet in few tasks, and each task
-adds up its pairs before any is shuffled. How much each band emits is counted from all sets.
+Order. Frequent n-grams (counted over all documents) come last, so that passages which many documents share make no candidates while rarer
+n-grams do. What counts as frequent changes cost only. The sets of an n-gram that thousands of different sets hold are dealt to cells, and each
+two cells meet in a task of their own: no task holds all pairs of a hot n-gram.
 
-Verification is exact: candidates are brought together by neighbourhood, so that the sets of one group of copies
-travel once, and the n-grams of all pairs are intersected. No pair or partner is capped.
+Verification is exact: the candidates of a neighbourhood are brought together in buckets of bounded numbers and sizes, two buckets at
+a time, and their n-grams intersected. A bucket pair gives sums of links and a local forest, never its pairs. No pair or partner is capped.
 
-Sets that are equal are one class from the start (thousands of copies cost no pairs); the class is known by 128 bits.
+Sets that are equal are one class from the start (thousands of copies cost no pairs); the class is known by 116 bits.
 
-Result: docs_a, docs_b, jaccard. Every document of docs_a has this Jaccard with every one of docs_b. A class of
-several documents also has a row with docs_a = docs_b, jaccard 1: each pair within it.
+Result of jaccard_join: a row for each document: doc_id, class_id, links. Documents are linked if any of their sets have J >= t; class_id is the least
+id among all documents reached over links, links the number of other documents linked directly (exact copies included).
+Result of jaccard_pairs: doc_a, doc_b, jaccard of the linked classes of equal sets, each by its least id.
 
-Defined results: a null id or null text takes no part; a text without a word has no n-grams and no partner; a text of fewer
-than n words has one n-gram, all its words; rows that repeat an id count once, with each of its different sets;
-texts of any length count whole; an empty table gives an empty result; other columns are ignored.
+Defined results: rows of null id are left out; a null text, or one without a word, has no n-grams, no links and its own id as class; a text of fewer
+than n words has one n-gram, all its words; rows that repeat an id with equal sets count once, with different sets the links of each add
+up and its classes join where it is their least id; ties (equal Jaccard, equal sizes) don't matter, as nothing is ranked; texts of any length count whole; an
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import functools
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lucidframe.llm.common import c, ensure_checkpoint_dir, ensure_workers, fresh, shuffle_partitions
+from lucidframe.llm.common import c, ensure_checkpoint_dir, ensure_workers, fresh
 from lucidframe.llm.tokens import U, mix, ngrams, pieces, words
 
 N = 3
-THRESHOLD = 0.75
-BAND = 2**0.5
-BROADCAST_ROWS = 250_000  # members of candidate groups up to which they are broadcast to the documents
+THRESHOLD = 0.5
+BLOCK_BITS = 40
+BROADCAST_MB = 64  # candidate members up to this size are broadcast to the documents; beyond, both are shuffled
 FREQUENT = 300_000  # n-grams whose blocks come last
 CHUNK = 2_000_000  # n-grams counted at a time
-OFTEN = 4  # documents of a chunk that an n-gram must occur in to be counted
-PART = 44
+OFTEN = 4  # sets of a chunk that an n-gram must occur in to be counted
+HOT = 4_000  # sets of a cell of a frequent n-gram
+TASK_ROWS = 4_000_000  # emitted blocks of a task
+BUCKET, BUCKET_GRAMS = 256, 1_000_000  # sets and n-grams of a bucket that verification loads
+CODES = 64  # size classes of a doubling
+PART = 44  # low bits of a key: 42 of content, 2 of the side
 EPS = 1e-9
 
-Ranges = dict[int, tuple[float, float]]  # band: first task, number of tasks, in fractions
 
-
-def most_apart(a: float, b: float, t: float) -> int:
-    """Largest symmetric difference of sets of sizes a and b with J >= t."""
-    return int(math.floor((1 - t) / (1 + t) * (a + b) + EPS))
-
-
-def width(t: float) -> float:
-    """Ratio of a band's ends: partners lie in neighbouring bands at most."""
-    return max(BAND, 1 / t)
-
-
-def band_of(n: int, wide: float) -> int:
-    j = int(math.log(n) / math.log(wide))
-    while low(j, wide) > n:
-        j -= 1
-    while low(j + 1, wide) <= n:
-        j += 1
-    return j
-
-
-def low(j: int, wide: float) -> int:
-    """Smallest size of band j."""
-    return max(1, math.ceil(wide**j - EPS))
-
-
-@functools.lru_cache(None)
-def blocks(j: int, t: float) -> int:
-    """m of band j: as few blocks as leave enough of them non-empty."""
-    wide = width(t)
-    sizes = {low(j, wide), low(j + 1, wide), math.ceil(low(j + 1, wide) / t)}
-
-    def enough(m: int) -> bool:
-        for s in sizes:
-            x = s / m
-            mean = m * -math.expm1(-x)
-            sd = math.sqrt(max(0.0, m * (math.exp(-x) - (1 + x) * math.exp(-2 * x))))
-            need = most_apart(s, s / t, t) if s < low(j + 1, wide) + 1 else most_apart(s, low(j + 1, wide), t)
-            if mean - 7 * sd < need + 1 and m < 2**31:
-                return False
-        return True
-
-    a, b = 1, 2
-    while not enough(b):
-        a, b = b, b * 2
-    while b - a > 1:
-        mid = (a + b) // 2
-        a, b = (a, mid) if enough(mid) else (mid, b)
-    return b
-
-
-def sketch(g: np.ndarray, far: np.ndarray, j: int, k: int, t: float, ranges: Ranges | None = None) -> np.ndarray:
-    """Keys of the first k + 1 non-empty blocks of band j; g is distinct, sorted within the rare and then the frequent (far) ones."""
-    m = U(blocks(j, t))
-    block = (((g >> U(32)) * m) >> U(32)) + far * m
-    starts = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
-    stop = starts[k + 1] if len(starts) > k + 1 else len(g)
-    starts = starts[: k + 1]
-    code = np.bitwise_xor.reduceat(mix(g[:stop]), starts)
-    code = mix(code ^ mix(block[starts] * U(4096) + U(j)))
-    first, width = (ranges or {}).get(j, (0.0, 1.0))
-    part = (first + width * np.minimum((block[starts] % m).astype(float) / (0.9 * float(m)), 0.999)).astype(np.uint64)
-    return (part << U(PART)) | (code >> U(64 - PART))
-
-
-def keys_of(g: np.ndarray, t: float, frequent: np.ndarray | None = None, ranges: Ranges | None = None) -> np.ndarray:
-    """Keys of all blocks that a set emits: the task in the high bits, then PART bits of band, block and content."""
-    n = len(g)
-    far = np.zeros(n, np.uint64)
-    if frequent is not None and len(frequent):
-        often = frequent[np.minimum(np.searchsorted(frequent, g), len(frequent) - 1)] == g
-        g = np.concatenate((g[~often], g[often]))
-        far[n - int(often.sum()) :] = 1
-    wide = width(t)
-    j = band_of(n, wide)
-    out = sketch(g, far, j, most_apart(n, n / t, t), t, ranges)
-    if j and n * t - EPS < low(j, wide):
-        out = np.concatenate((out, sketch(g, far, j - 1, most_apart(low(j, wide) - 1, n, t), t, ranges)))
-    return out
-
-
-def distinct(g: np.ndarray) -> np.ndarray:
-    g = np.sort(g)
-    return g[np.concatenate(([True], g[1:] != g[:-1]))] if len(g) else g
-
-
-def sets(texts: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, sorted distinct n-gram hashes) of each text."""
-    for a, part in pieces(texts):
-        grams, first = ngrams(words(part), n)
-        for i in range(len(part)):
-            yield a + i, distinct(grams[first[i] : first[i + 1]])
-
-
-def prints(g: np.ndarray) -> tuple[int, int]:
-    """128 bits that stand for the set."""
-    return int(mix(g + U(1)).sum(dtype=np.uint64)), int(mix(g ^ U(0x9E3779B97F4A7C15)).sum(dtype=np.uint64))
-
-
-def as_long(x) -> np.ndarray:
-    return np.asarray(x, np.uint64).view(np.int64)
-
-
-def signatures(docs: DataFrame, n: int, t: float) -> DataFrame:
-    """doc, fp, fp2, size, low (least size of its band) of every document with an n-gram; docs: doc, text."""
-    wide = width(t)
+def hits(s: float, t: float) -> int:
+    """X: blocks of a set of size s that n-grams of a partner, or of its own, hit besides."""
+    if s <= 64:
+        return 1
+    mean = s * s / t / 2**BLOCK_BITS
+    return math.ceil(mean + 10 * math.sqrt(mean)) + 2
+
+
+def emitted(s: np.ndarray, t: float) -> np.ndarray:
+    """p: blocks that sets of sizes s emit."""
+    mean = s.astype(float) ** 2 / t / 2**BLOCK_BITS
+    x = np.where(s <= 64, 1, np.ceil(mean + 10 * np.sqrt(mean)) + 2)
+    return np.where(s <= 32, s, np.floor((1 - t) * s + EPS) + s // 32 + x + 1).astype(np.int64)
+
+
+def enough(a: Column, b: Column, shared: Column, t: float) -> Column:
+    """Whether two sets, known by fingerprints, share as many emitted blocks as similar ones must."""
+
+    def bounds(fp: Column) -> tuple[Column, Column]:
+        code = F.shiftright(fp, 52).cast("double")
+        low, high = (F.ceil(F.pow(F.lit(2.0), (code + k) / CODES) - 1e-6).cast("double") for k in (0, 1))
+        return low, F.greatest(low, high - 1)
+
+    def least(low: Column, high: Column) -> Column:
+        mean = high * high / (t * 2**BLOCK_BITS)
+        x = F.when(high <= 64, 1.0).otherwise(F.ceil(mean + 10 * F.sqrt(mean)) + 2.0)
+        return F.when(high <= 32, low - 2).otherwise(F.least((1 - t) * low + low / 32 - 1, low - 2 * x))
+
+    (la, ha), (lb, hb) = bounds(a), bounds(b)
+    need = F.least(least(la, ha) - (ha - t * lb) / (1 + t), least(lb, hb) - (hb - t * la) / (1 + t))
+    return (shared >= need - EPS) & (F.least(ha, hb) >= t * F.greatest(la, lb) - EPS)
+
+
+def distinct_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct n-gram hashes of each text, one after the other, and where each text's begin (one more for the end)."""
+    g, first = ngrams(words(texts), n)
+    for i in np.flatnonzero(np.diff(first) > 1):
+        g[first[i] : first[i + 1]].sort()
+    new = np.ones(len(g), bool)
+    if len(g):
+        new[1:] = g[1:] != g[:-1]
+        new[first[:-1][np.diff(first) > 0]] = True
+    return g[new], np.concatenate(([0], np.cumsum(new)))[first]
+
+
+def size_code(s: np.ndarray) -> np.ndarray:
+    return np.floor(np.log2(s) * CODES + EPS).astype(np.uint64)
+
+
+def prints(g: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two fingerprints of every non-empty set; the first has the set's size class in its high bits."""
+    sizes = np.diff(at)
+    at, sizes = at[:-1][sizes > 0], sizes[sizes > 0]
+    if not len(at):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    fp = (size_code(sizes) << U(52)) | (np.add.reduceat(mix(g + U(1)), at) >> U(12))
+    return fp.view(np.int64), np.add.reduceat(mix(g ^ U(0x9E3779B97F4A7C15)), at).view(np.int64)
+
+
+class Frequent:
+    """Sorted hashes of the frequent n-grams, and into how many cells the sets of each are dealt."""
+
+    def __init__(self, grams: np.ndarray, counts: np.ndarray):
+        order = np.argsort(grams)
+        self.grams, self.cells = grams[order], np.maximum(1, -(-counts[order] // HOT))
+        self.near = np.zeros(1 << 22, bool)
+        self.near[self.grams >> U(42)] = True
+
+    def find(self, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in g of frequent n-grams, and their cells."""
+        at = np.flatnonzero(self.near[g >> U(42)])
+        if not len(at):
+            return at, at
+        where = np.minimum(np.searchsorted(self.grams, g[at]), len(self.grams) - 1)
+        ok = self.grams[where] == g[at]
+        return at[ok], self.cells[where[ok]]
+
+
+def block_keys(g: np.ndarray, at: np.ndarray, fp: np.ndarray, t: float, frequent: Frequent | None, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(key, fp) of the blocks that non-empty sets emit: the task in the high bits, content, and the side of a cell."""
+    sizes = np.diff(at)
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    far, cells = np.zeros(len(g), bool), None
+    if frequent is not None and len(frequent.grams):
+        where, r = frequent.find(g)
+        if len(where):
+            far[where] = True
+            cells = np.ones(len(g), np.int64)
+            cells[where] = r
+            rare = np.cumsum(~far)
+            before = np.concatenate(([0], rare))[at]  # rare ones before each set
+            own = np.diff(before)
+            to = np.where(far, at[doc] + own[doc] + (np.arange(len(g)) - at[doc]) - (rare - before[doc]), at[doc] + rare - before[doc] - 1)
+            g2, far2, cells2 = np.empty_like(g), np.empty_like(far), np.empty_like(cells)
+            g2[to], far2[to], cells2[to] = g, far, cells
+            g, far, cells = g2, far2, cells2
+    block = (g >> U(64 - BLOCK_BITS)) | (far.astype(np.uint64) << U(BLOCK_BITS))
+    new = np.ones(len(g), bool)
+    new[1:] = (block[1:] != block[:-1]) | (doc[1:] != doc[:-1])
+    rank = np.cumsum(new)
+    keep = rank - rank[at[doc]] < emitted(sizes, t)[doc]
+    g, block, doc, new = g[keep], block[keep], doc[keep], new[keep]
+    starts = np.flatnonzero(new)
+    h = mix(np.bitwise_xor.reduceat(mix(g), starts) ^ mix(block[starts] + U(1)))
+    fp = fp[doc[starts]]
+    side = np.zeros(len(h), np.uint64)
+    if cells is not None and (r := np.maximum.reduceat(cells[keep], starts)).max() > 1:
+        one = r == 1
+        hot, rh, fh = h[~one], r[~one], fp[~one]
+        reps = np.repeat(np.arange(len(hot)), rh)
+        v = np.arange(len(reps)) - np.repeat(np.cumsum(rh) - rh, rh)
+        u = (mix(fh.view(np.uint64)) % rh.astype(np.uint64)).astype(np.int64)[reps]
+        lo, hi = np.minimum(u, v).astype(np.uint64), np.maximum(u, v).astype(np.uint64)
+        h = np.concatenate((h[one], mix(hot[reps] + lo * U(0x9E3779B97F4A7C15) + hi * U(0xC2B2AE3D27D4EB4F) + U(1))))
+        fp = np.concatenate((fp[one], fh[reps]))
+        side = np.concatenate((side[one], np.where(u == v, 0, np.where(u < v, 1, 2)).astype(np.uint64)))
+    part = ((h >> U(32)) * U(parts)) >> U(32)
+    return ((part << U(PART)) | ((mix(h) >> U(22)) << U(2)) | side).view(np.int64), fp
+
+
+def signatures(docs: DataFrame, n: int) -> DataFrame:
+    """doc, fp, fp2, size of every document; fp and fp2 are null where it has no n-gram. docs: doc, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, a, b, size = [], [], [], []
-            for i, g in sets(batch.column(1), n):
-                if len(g):
-                    p, q = prints(g)
-                    rows.append(i)
-                    a.append(p)
-                    b.append(q)
-                    size.append(len(g))
-            ids = batch.column(0).take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(as_long(a)), pa.array(as_long(b)), pa.array(size, pa.int32()), pa.array([low(band_of(x, wide), wide) for x in size], pa.int32())], ["doc", "fp", "fp2", "size", "low"])
+            for a, part in pieces(batch.column(1)):
+                g, at = distinct_sets(part, n)
+                size = np.diff(at)
+                some = size > 0
+                out = [np.zeros(len(part), np.int64) for _ in range(2)]
+                for x, y in zip(out, prints(g, at)):
+                    x[some] = y
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(part)), *(pa.array(x, mask=~some) for x in out), pa.array(size, pa.int64())], ["doc", "fp", "fp2", "size"])
 
     kind = docs.schema["doc"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc {kind}, fp long, fp2 long, size int, low int")
+    return docs.mapInArrow(run, f"doc {kind}, fp long, fp2 long, size long")
 
 
-def frequent_ngrams(docs: DataFrame, n: int) -> np.ndarray:
-    """Sorted hashes of at most FREQUENT n-grams that occur in the most documents.
+def different_sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(n-grams, where each set begins, fp) of a task's sets; of equal sets that a task meets, the first only."""
+    seen: set[tuple[int, int]] = set()
+    for batch in batches:
+        for _, part in pieces(batch.column(1)):
+            g, at = distinct_sets(part, n)
+            fp, fp2 = prints(g, at)
+            size = np.diff(at)
+            size = size[size > 0]
+            new = np.zeros(len(fp), bool)
+            for i, key in enumerate(zip(fp.tolist(), fp2.tolist())):
+                if key not in seen:
+                    seen.add(key)
+                    new[i] = True
+            if new.any():
+                yield g[np.repeat(new, size)], np.concatenate(([0], np.cumsum(size[new]))), fp[new]
+
+
+def frequent_ngrams(docs: DataFrame, n: int) -> Frequent:
+    """At most FREQUENT n-grams that occur in the most sets.
 
     Every document is counted, in chunks; what is rare within each chunk is left out, so that little is shuffled.
     """
@@ -191,66 +227,38 @@ def frequent_ngrams(docs: DataFrame, n: int) -> np.ndarray:
         total = 0
 
         def often() -> pa.RecordBatch:
-            g, k = np.unique(np.concatenate(held), return_counts=True)
-            g, k = g[k >= OFTEN], k[k >= OFTEN]
-            return pa.RecordBatch.from_arrays([pa.array(as_long(g)), pa.array(k.astype(np.int64))], ["g", "n"])
-
-        for batch in batches:
-            for _, g in sets(batch.column(1), n):
-                held.append(g)
-                total += len(g)
-                if total >= CHUNK:
-                    yield often()
-                    held, total = [], 0
+            g = np.sort(np.concatenate(held))
+            at = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
+            k = np.diff(np.append(at, len(g)))
+            g, k = g[at[k >= OFTEN]], k[k >= OFTEN]
+            return pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(k.astype(np.int64))], ["g", "n"])
+
+        for g, _, _ in different_sets(batches, n):
+            held.append(g)
+            total += len(g)
+            if total >= CHUNK:
+                yield often()
+                held, total = [], 0
         if held:
             yield often()
 
     counts = docs.mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
-    rows = counts.orderBy(F.desc("n"), "g").limit(FREQUENT).select("g").toArrow().column("g").to_numpy()
-    return np.sort(rows.view(np.uint64))
-
-
-def task_ranges(classes: DataFrame, t: float, parts: int) -> Ranges:
-    """Tasks of each band, by what its sets emit; one row a band is collected."""
-    guest = F.col("size") * t - EPS < F.col("low")
-    rows = classes.groupBy("low").agg(F.sum(F.floor(F.col("size") * ((1 - t) / t)) + 1).alias("home"), F.sum(F.when(guest, F.floor((F.col("size") + F.col("low")) * ((1 - t) / (1 + t))) + 1).otherwise(0)).alias("guest")).collect()
-    weight: dict[int, float] = {}
-    for r in rows:
-        j = band_of(r.low, width(t))
-        weight[j] = weight.get(j, 0) + r.home
-        if j:
-            weight[j - 1] = weight.get(j - 1, 0) + r.guest
-    total, at, out = sum(weight.values()) or 1, 0.0, {}
-    for j in sorted(weight):
-        out[j] = (at, weight[j] / total * (parts - 1e-6))
-        at += out[j][1]
-    return out
-
-
-def sketches(docs: DataFrame, n: int, t: float, frequent: np.ndarray | None = None, ranges: Ranges | None = None) -> DataFrame:
-    """key, fp: a row for every emitted block."""
+    rows = counts.orderBy(F.desc("n"), "g").limit(FREQUENT).toArrow()
+    return Frequent(rows.column("g").to_numpy().view(np.uint64), rows.column("n").to_numpy())
+
+
+def blocks(docs: DataFrame, n: int, t: float, frequent: Frequent, parts: int) -> DataFrame:
+    """key, fp: a row for every block that a set emits, sorted within its task."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def packed(keys: list, who: list) -> pa.RecordBatch:
-            reps = np.repeat(np.asarray(who, np.uint64), [len(k) for k in keys])
-            return pa.RecordBatch.from_arrays([pa.array(as_long(np.concatenate(keys))), pa.array(as_long(reps))], ["key", "fp"])
+        for g, at, fp in different_sets(batches, n):
+            key, who = block_keys(g, at, fp, t, shared.value, parts)
+            for s in range(0, len(key), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(key[s : s + 100_000]), pa.array(who[s : s + 100_000])], ["key", "fp"])
 
-        frequent = shared.value
-        for batch in batches:
-            keys, who, total = [], [], 0
-            for _, g in sets(batch.column(1), n):
-                if len(g):
-                    keys.append(keys_of(g, t, frequent, ranges))
-                    who.append(prints(g)[0])
-                    total += len(keys[-1])
-                    if total > 100_000:
-                        yield packed(keys, who)
-                        keys, who, total = [], [], 0
-            if keys:
-                yield packed(keys, who)
-
-    return docs.mapInArrow(run, "key long, fp long")
+    rows = docs.mapInArrow(run, "key long, fp long")
+    return rows.repartitionById(parts, F.shiftrightunsigned("key", PART).cast("int")).sortWithinPartitions("key", "fp")
 
 
 class Pairs:
@@ -305,60 +313,85 @@ class Pairs:
         self.clear()
 
 
-def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """a, b, n: the pairs a < b of different fp within runs of equal keys and their number of runs; rows are sorted by key, fp."""
-    pairs = Pairs()
-
-    def take(key: np.ndarray, fp: np.ndarray) -> None:
-        new = np.concatenate(([True], (key[1:] != key[:-1]) | (fp[1:] != fp[:-1])))
-        key, fp = key[new], fp[new]
-        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        lengths = np.diff(np.append(starts, len(key)))
-        several = lengths > 1
-        if not several.any():
-            return
-        kept = np.repeat(several, lengths)
-        fp, lengths = pairs.local(fp[kept]), lengths[several]
-        starts = np.cumsum(lengths) - lengths
-        for n in np.unique(lengths):
-            at = starts[lengths == n]
-            if n <= 400:
-                i, j = np.triu_indices(n, 1)
-                step = max(1, 250_000 // len(i))
-                for s in range(0, len(at), step):
-                    base = at[s : s + step, None]
-                    pairs.add(fp[(base + i).ravel()], fp[(base + j).ravel()])
-            else:
-                for s in at:
-                    run = fp[s : s + n]
-                    for i in range(n - 1):
-                        pairs.add(np.full(n - 1 - i, run[i]), run[i + 1 :])
-
-    parts: list[tuple[np.ndarray, np.ndarray]] = []
-    held = 0
-    for batch in batches:
-        key, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        if not len(key):
-            continue
-        parts.append((key, fp))
-        held += len(key)
-        if held < 100_000 or parts[0][0][0] == key[-1]:
-            continue  # few rows, or one run goes on
-        key, fp = (np.concatenate([p[x] for p in parts]) for x in (0, 1))
-        last = int(np.searchsorted(key, key[-1]))
-        parts, held = [(key[last:], fp[last:])], len(key) - last
-        take(key[:last], fp[:last])
-        if len(pairs.code) > 2 * pairs.most:
-            yield from pairs.flush()
-    if parts:
-        take(*(np.concatenate([p[x] for p in parts]) for x in (0, 1)))
-    yield from pairs.flush()
+def pairing(t: float):
+    """a, b, n: the pairs a < b of different fp within blocks of equal content and their number of blocks; rows are sorted by key, fp."""
+    window = math.ceil(-math.log2(t) * CODES) + 1
+
+    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = Pairs()
+
+        def across(one: np.ndarray, two: np.ndarray) -> None:
+            """Pairs of two cells of a hot n-gram, both in the order of fp."""
+            code, near = one >> 52, pairs.local(two)
+            at = pairs.local(one)
+            lo, hi = np.searchsorted(two >> 52, code - window), np.searchsorted(two >> 52, code + window, "right")
+            for i in range(len(one)):
+                less = two[lo[i] : hi[i]] < one[i]
+                other, own = near[lo[i] : hi[i]], np.full(hi[i] - lo[i], at[i])
+                pairs.add(np.where(less, other, own), np.where(less, own, other))
+
+        def take(key: np.ndarray, fp: np.ndarray) -> None:
+            new = np.concatenate(([True], (key[1:] != key[:-1]) | (fp[1:] != fp[:-1])))
+            key, fp = key[new], fp[new]
+            base, side = key >> 2, key & 3
+            starts = np.flatnonzero(np.concatenate(([True], base[1:] != base[:-1])))
+            lengths = np.diff(np.append(starts, len(key)))
+            cells = side[starts + lengths - 1] > 0
+            for s, n in zip(starts[cells], lengths[cells]):
+                k = s + int(np.searchsorted(side[s : s + n], 2))
+                if s < k < s + n:
+                    across(fp[s:k], fp[k : s + n])
+            several = (lengths > 1) & ~cells
+            if not several.any():
+                return
+            kept = np.repeat(several, lengths)
+            code = fp[kept] >> 52
+            fp, lengths = pairs.local(fp[kept]), lengths[several]
+            starts = np.cumsum(lengths) - lengths
+            for n in np.unique(lengths):
+                at = starts[lengths == n]
+                if n <= 400:
+                    i, j = np.triu_indices(n, 1)
+                    step = max(1, 250_000 // len(i))
+                    for s in range(0, len(at), step):
+                        base = at[s : s + step, None]
+                        a, b = (base + i).ravel(), (base + j).ravel()
+                        near = code[b] - code[a] <= window
+                        pairs.add(fp[a[near]], fp[b[near]])
+                else:
+                    for s in at:
+                        run, sized = fp[s : s + n], code[s : s + n]
+                        stop = np.searchsorted(sized, sized + window, "right")
+                        for i in range(n - 1):
+                            pairs.add(np.full(stop[i] - 1 - i, run[i]), run[i + 1 : stop[i]])
+
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        held = 0
+        for batch in batches:
+            key, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if not len(key):
+                continue
+            parts.append((key, fp))
+            held += len(key)
+            if held < 100_000 or parts[0][0][0] >> 2 == key[-1] >> 2:
+                continue  # few rows, or one block goes on
+            key, fp = (np.concatenate([p[x] for p in parts]) for x in (0, 1))
+            last = int(np.searchsorted(key, key[-1] >> 2 << 2))
+            parts, held = [(key[last:], fp[last:])], len(key) - last
+            take(key[:last], fp[:last])
+            if len(pairs.code) > 2 * pairs.most:
+                yield from pairs.flush()
+        if parts:
+            take(*(np.concatenate([p[x] for p in parts]) for x in (0, 1)))
+        yield from pairs.flush()
+
+    return paired
 
 
 def intersections(members: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Sizes of the intersections of members a[i] and b[i]."""
     out = np.zeros(len(a), np.int64)
-    total = sum(len(g) for g in members)
+    total = sum(map(len, members))
     if len(a) * 2.5e-5 < len(members) ** 2 * total / 4 / 2e10 or len(a) < 8:
         for i, (x, y) in enumerate(zip(a, b)):
             p, q = members[x], members[y]
@@ -381,86 +414,121 @@ def intersections(members: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np
     return product[a, b].astype(np.int64)
 
 
-def verifier(n: int, t: float):
+def verifier(n: int, t: float, as_pairs: bool):
     def verify(group: pa.Table) -> pa.Table:
-        """group: fp, fp2, text, partners (fp of larger ones); a row for each set, or more where ids repeat."""
+        """group: fp, fp2, doc, copies, partners (fp of some), text; a row for each set, or more where ids repeat."""
         own = list(zip(group.column("fp").to_pylist(), group.column("fp2").to_pylist()))
         lists = group.column("partners").to_pylist()
         members: dict[tuple[int, int], np.ndarray] = {}
-        partners: dict[tuple[int, int], list[int]] = {}
-        at = 0
+        row: list[int] = []
+        first = 0
         for chunk in group.column("text").chunks:
-            for i, g in sets(chunk, n):
-                key = own[at + i]
-                # an id may repeat with other texts: only a text whose set is the class's own counts
-                if key not in members and tuple(as_long(prints(g)).tolist()) == key:
-                    members[key], partners[key] = g, lists[at + i]
-            at += len(chunk)
+            for a, part in pieces(chunk):
+                g, at = distinct_sets(part, n)
+                filled = np.flatnonzero(np.diff(at) > 0)
+                for i, key in zip(filled, zip(*(x.tolist() for x in prints(g, at)))):
+                    # an id may repeat with other texts: only a text whose set is the class's own counts
+                    if key == own[first + a + i] and key not in members:
+                        members[key] = g[at[i] : at[i + 1]]
+                        row.append(first + a + int(i))
+            first += len(chunk)
         keys = list(members)
         place: dict[int, list[int]] = {}
         for i, key in enumerate(keys):
             place.setdefault(key[0], []).append(i)
-        ends = [(i, j) for i, key in enumerate(keys) for p in set(partners[key]) for j in place.get(p, ())]
+        ends = [(i, j) for i in range(len(keys)) for p in set(lists[row[i]] or ()) for j in place.get(p, ())]
         a, b = np.asarray([e[0] for e in ends], np.int64), np.asarray([e[1] for e in ends], np.int64)
         sized = np.asarray([len(members[k]) for k in keys], np.int64)
         both = intersections([members[k] for k in keys], a, b) if len(a) else np.empty(0, np.int64)
         union = sized[a] + sized[b] - both if len(a) else both
         keep = both >= t * union - EPS
-        f = [np.asarray([k[x] for k in keys], np.int64) for x in (0, 1)]
-        out = [f[0][a[keep]], f[1][a[keep]], f[0][b[keep]], f[1][b[keep]], both[keep] / union[keep]]
-        return pa.table([pa.array(x) for x in out], names=["a", "a2", "b", "b2", "jaccard"])
+        a, b = a[keep], b[keep]
+        doc = group.column("doc").take(pa.array(row, pa.int64()))
+        if as_pairs:
+            return pa.table([doc.take(pa.array(a)), doc.take(pa.array(b)), pa.array(both[keep] / union[keep])], names=["a", "b", "jaccard"])
+        copies = group.column("copies").to_numpy()[row]
+        links = np.zeros(len(keys), np.int64)
+        np.add.at(links, a, copies[b])
+        np.add.at(links, b, copies[a])
+        root = list(range(len(keys)))
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        for x, y in zip(a.tolist(), b.tolist()):
+            x, y = find(x), find(y)
+            if x != y:
+                root[y] = x
+        roots = pa.array([find(x) for x in range(len(keys))], pa.int64())
+        linked = pa.array(np.flatnonzero(links), pa.int64())
+        out = [pa.array([k[x] for k in keys], pa.int64()) for x in (0, 1)] + [doc, doc.take(roots), pa.array(links)]
+        return pa.table([x.take(linked) for x in out], names=["fp", "fp2", "doc", "root", "links"])
 
     return verify
 
 
-def classes_and_pairs(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = N, t: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(fp, fp2, size, doc, docs) of each class of equal sets, and (a, a2, b, b2, jaccard) of their fp and fp2; both checkpointed."""
-    if not 0.5 <= t < 1:
-        raise ValueError("threshold must be in [0.5, 1)")
-    spark = docs.sparkSession
-    ensure_workers(spark)
-    ensure_checkpoint_dir(spark)
-    docs = docs.select(c(id_col).alias("doc"), c(text).cast("string").alias("text")).where("doc is not null and text is not null")
-    sig = signatures(docs, n, t)
-    classes = sig.groupBy("fp", "fp2").agg(F.first("size").alias("size"), F.first("low").alias("low"), F.min("doc").alias("doc"), F.array_sort(F.collect_set("doc")).alias("docs")).checkpoint()
-    parts = shuffle_partitions(spark)
-    rows = sketches(docs, n, t, frequent_ngrams(docs, n), task_ranges(classes, t, parts))
-    rows = rows.repartitionById(parts, F.shiftrightunsigned("key", PART).cast("int")).sortWithinPartitions("key", "fp")
-    pairs = rows.mapInArrow(paired, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("shared"))
-    # should two sets share the first 64 bits, the largest of either kind of size keeps the filter safe
-    size = classes.groupBy("fp").agg(F.min("size").alias("s"), F.max("size").alias("l"), F.max("low").alias("low"))
-    pairs = pairs.join(size.toDF("a", "sa", "la", "wa"), "a").join(size.toDF("b", "sb", "lb", "wb"), "b")
-    apart = lambda x, y: F.floor((1 - t) / (1 + t) * (x + y) + EPS)
-    small, large = F.least("sa", "sb"), F.greatest("la", "lb")
-    at_home = F.floor((1 - t) / t * small + EPS)
-    as_guest = F.when(F.col("wa") == F.col("wb"), at_home).otherwise(apart(F.greatest("wa", "wb") - 1, large))
-    fits = (small >= t * large - EPS) & (F.col("shared") >= F.least(at_home, as_guest) + 1 - apart(small, large))
-    unsure = (F.col("sa") < F.col("la")) | (F.col("sb") < F.col("lb"))
-    pairs = pairs.where(fits | unsure).select("a", "b").checkpoint()
-
-    both = pairs.select("a", F.col("b").alias("o")).union(pairs.select(F.col("b"), F.col("a")))
-    label = both.groupBy("a").agg(F.least(F.min("a"), F.min("o")).alias("label"))
-    grouped = pairs.join(label.select("a", F.col("label").alias("ga")), "a").join(label.select(F.col("a").alias("b"), F.col("label").alias("gb")), "b")
-    grouped = grouped.select(F.least("ga", "gb").alias("g"), F.greatest("ga", "gb").alias("h"), "a", "b")
+def prepared(docs: DataFrame, id_col: str, text: str, t: float) -> DataFrame:
+    if not 0 < t < 1:
+        raise ValueError("threshold must be between 0 and 1")
+    ensure_workers(docs.sparkSession)
+    ensure_checkpoint_dir(docs.sparkSession)
+    return docs.select(c(id_col).alias("doc"), c(text).cast("string").alias("text")).where("doc is not null")
+
+
+def class_rows(sig: DataFrame) -> DataFrame:
+    """fp, fp2, size, doc (the least), copies (ids) of each class of equal sets."""
+    once = sig.where("fp is not null").dropDuplicates(["fp", "fp2", "doc"])
+    return once.groupBy("fp", "fp2").agg(F.first("size").alias("size"), F.min("doc").alias("doc"), F.count(F.lit(1)).alias("copies")).checkpoint()
+
+
+def verified(docs: DataFrame, classes: DataFrame, n: int, t: float, as_pairs: bool = False) -> DataFrame:
+    """fp, fp2, doc, root, links (a part of each) of the linked classes; or their pairs. docs: doc, text."""
+    sc = docs.sparkSession.sparkContext
+    docs = docs.where("text is not null")
+    rows = classes.agg(F.sum(F.col("size") * ((1 - t) + 1 / 32) + 5)).first()[0] or 0
+    parts = min(1 << 19, max(math.ceil(rows / TASK_ROWS), sc.defaultParallelism))
+    pairs = blocks(docs, n, t, frequent_ngrams(docs, n), parts).mapInArrow(pairing(t), "a long, b long, n long")
+    pairs = pairs.groupBy("a", "b").agg(F.sum("n").alias("n")).where(enough(F.col("a"), F.col("b"), F.col("n"), t)).select("a", "b").checkpoint()
+
+    # a set's neighbourhood is that of its least neighbour; large ones are cut into buckets
+    both = pairs.union(pairs.select("b", "a")).toDF("a", "o")
+    label = both.groupBy("a").agg(F.least("a", F.min("o")).alias("label"))
+    grams = F.pow(F.lit(2.0), (F.shiftright("a", 52) + 1) / CODES)
+    large = label.groupBy("label").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BUCKET), F.ceil(F.sum(grams) / BUCKET_GRAMS)).alias("buckets")).where("buckets > 1")
+    node = label.join(large, "label", "left").select("a", F.xxhash64("label", F.pmod(F.xxhash64("a"), F.coalesce("buckets", F.lit(1)))).alias("g")).checkpoint()
+    grouped = pairs.join(node.toDF("a", "ga"), "a").join(node.toDF("b", "gb"), "b").select(F.least("ga", "gb").alias("g"), F.greatest("ga", "gb").alias("h"), "a", "b")
     ends = grouped.select("g", "h", F.col("a").alias("fp"), "b").union(grouped.select("g", "h", F.col("b"), F.lit(None).cast("long")))
     member = ends.groupBy("g", "h", "fp").agg(F.collect_list("b").alias("partners"))
-    member = member.join(classes.select("fp", "fp2", "doc"), "fp").checkpoint()
+    member = member.join(classes.select("fp", "fp2", "doc", "copies"), "fp").checkpoint()
     n_rows, n_ids = member.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("partners")), F.lit(0))).first()
-    fits_memory = n_rows <= BROADCAST_ROWS and n_ids <= 8 * BROADCAST_ROWS
-    texts = docs.join(F.broadcast(member) if fits_memory else member, "doc").select("g", "h", "fp", "fp2", "partners", "text")
-    found = texts.groupBy("g", "h").applyInArrow(verifier(n, t), "a long, a2 long, b long, b2 long, jaccard double")
-    return classes, found.distinct().checkpoint()
+    fits = n_rows * 100 + n_ids * 8 <= BROADCAST_MB * 1_000_000
+    texts = docs.join(F.broadcast(member) if fits else member, "doc").select("g", "h", "fp", "fp2", "doc", "copies", "partners", "text")
+    kind = docs.schema["doc"].dataType.simpleString()
+    return texts.groupBy("g", "h").applyInArrow(verifier(n, t, as_pairs), f"a {kind}, b {kind}, jaccard double" if as_pairs else f"fp long, fp2 long, doc {kind}, root {kind}, links long")
+
+
+def jaccard_pairs(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = N, t: float = THRESHOLD) -> DataFrame:
+    """doc_a, doc_b, jaccard of linked classes of equal sets: see the module."""
+    docs = prepared(docs, id_col, text, t)
+    found = verified(docs, class_rows(signatures(docs, n)), n, t, as_pairs=True)
+    return found.select(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b"), "jaccard")
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = N, t: float = THRESHOLD) -> DataFrame:
-    """docs_a, docs_b, jaccard: see the module."""
-    classes, pairs = classes_and_pairs(docs, id_col, text, n, t)
-    ids = classes.select("fp", "fp2", "docs")
-    near = pairs.join(ids.toDF("a", "a2", "da"), ["a", "a2"]).join(ids.toDF("b", "b2", "db"), ["b", "b2"])
-    first = F.col("da")[0] <= F.col("db")[0]
-    near = near.select(F.when(first, F.col("da")).otherwise(F.col("db")).alias("docs_a"), F.when(first, F.col("db")).otherwise(F.col("da")).alias("docs_b"), "jaccard")
-    same = classes.where(F.size("docs") > 1).select(F.col("docs").alias("docs_a"), F.col("docs").alias("docs_b"), F.lit(1.0).alias("jaccard"))
-    return near.unionByName(same)
+    """doc_id, class_id, links: see the module."""
+    docs = prepared(docs, id_col, text, t)
+    sig = signatures(docs, n).checkpoint()
+    classes = class_rows(sig)
+    found = verified(docs, classes, n, t).checkpoint()
+    links = found.groupBy("fp", "fp2").agg(F.sum("links").alias("linked"))
+    roots = components(found.select("doc", "root"), "doc", "root")
+    several = classes.join(links, ["fp", "fp2"], "left").where("copies > 1 or linked is not null")
+    several = several.join(roots.select(F.col("node").alias("doc"), F.col("root").alias("class")), "doc", "left")
+    several = several.select("fp", "fp2", F.coalesce("class", "doc").alias("class_id"), (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("links"))
+    out = sig.dropDuplicates(["fp", "fp2", "doc"]).join(several, ["fp", "fp2"], "left")
+    return out.groupBy(F.col("doc").alias("doc_id")).agg(F.min(F.coalesce("class_id", "doc")).alias("class_id"), F.sum(F.coalesce("links", F.lit(0))).alias("links"))
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -483,26 +551,26 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = N, t: float = THRESHOLD) -> DataFrame:
-    """docs without the documents that have a near copy of smaller id in their group (rows of null id or text stay)."""
-    classes, pairs = classes_and_pairs(docs, id_col, text, n, t)
-    rep = classes.select("fp", "fp2", "doc")
-    near = pairs.join(rep.toDF("a", "a2", "da"), ["a", "a2"]).join(rep.toDF("b", "b2", "db"), ["b", "b2"]).select(F.col("da").alias("a"), F.col("db").alias("b"))
-    copies = classes.where(F.size("docs") > 1).select(F.explode("docs").alias("a"), F.col("doc").alias("b")).where("a <> b")
+    """docs without the documents whose class has a document of smaller id (rows of null id or text stay)."""
     (node,) = fresh(docs, "jaccard_node")
-    gone = components(near.union(copies)).where("node <> root").select(F.col("node").alias(node))
+    gone = jaccard_join(docs, id_col, text, n, t).where("class_id <> doc_id").select(F.col("doc_id").alias(node))
     return docs.join(gone, c(id_col) == c(node), "left_anti")
 
 
 def oracle_sql(n: int = N, t: float = THRESHOLD) -> str:
-    """Brute force over an index of all n-grams."""
+    """Brute force over an index of all n-grams, and the closure of what it links."""
     return f"""
-WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
-g AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) < {n} THEN [array_to_string(w, ' ')] ELSE [array_to_string(w[i:i + {n - 1}], ' ') FOR i IN range(1, len(w) - {n} + 2)] END)) AS g FROM w WHERE len(w) > 0),
-cls AS (SELECT g, list_sort(list(DISTINCT doc_id)) AS docs FROM g GROUP BY g),
-num AS (SELECT row_number() OVER () AS k, docs, len(g) AS n, g FROM cls),
-idx AS MATERIALIZED (SELECT k, n, unnest(g) AS x FROM num),
-hit AS (SELECT a.k AS ka, b.k AS kb, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS inter FROM idx a JOIN idx b ON a.x = b.x AND a.k < b.k AND least(a.n, b.n) >= {t} * greatest(a.n, b.n) - 1e-9 GROUP BY ALL)
-SELECT CASE WHEN a.docs[1] <= b.docs[1] THEN a.docs ELSE b.docs END AS docs_a, CASE WHEN a.docs[1] <= b.docs[1] THEN b.docs ELSE a.docs END AS docs_b, inter::DOUBLE / (na + nb - inter) AS jaccard
-FROM hit JOIN num a ON a.k = ka JOIN num b ON b.k = kb WHERE inter >= {t} * (na + nb - inter) - 1e-9
-UNION ALL SELECT docs, docs, 1.0::DOUBLE FROM cls WHERE len(docs) > 1
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+g AS MATERIALIZED (SELECT DISTINCT doc_id, list_sort(list_distinct(CASE WHEN len(w) < {n} THEN [array_to_string(w, ' ')] ELSE [array_to_string(w[i:i + {n - 1}], ' ') FOR i IN range(1, len(w) - {n} + 2)] END)) AS g FROM w WHERE len(w) > 0),
+cls AS MATERIALIZED (SELECT g, min(doc_id) AS doc, count(*) AS copies, row_number() OVER () AS k FROM g GROUP BY g),
+idx AS MATERIALIZED (SELECT k, len(g) AS n, unnest(g) AS x FROM cls),
+hit AS (SELECT a.k AS ka, b.k AS kb, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS inter FROM idx a JOIN idx b ON a.x = b.x AND a.k < b.k AND least(a.n, b.n) >= {t} * greatest(a.n, b.n) - 1e-9 GROUP BY ALL),
+near AS MATERIALIZED (SELECT ka, kb FROM hit WHERE inter >= {t} * (na + nb - inter) - 1e-9),
+edge AS MATERIALIZED (SELECT ka AS u, kb AS v FROM near UNION ALL SELECT kb, ka FROM near),
+linked AS (SELECT u AS k, sum(c.copies) AS n FROM edge JOIN cls c ON c.k = v GROUP BY u),
+hop AS MATERIALIZED (SELECT DISTINCT a.doc AS u, b.doc AS v FROM edge JOIN cls a ON a.k = u JOIN cls b ON b.k = v),
+reach AS (SELECT u AS node, v AS other FROM hop UNION SELECT node, v FROM reach JOIN hop ON hop.u = reach.other),
+root AS (SELECT node, least(node, min(other)) AS root FROM reach GROUP BY node),
+own AS (SELECT g.doc_id, coalesce(root, doc) AS class_id, copies - 1 + coalesce(linked.n, 0) AS links FROM g JOIN cls ON cls.g = g.g LEFT JOIN linked ON linked.k = cls.k LEFT JOIN root ON root.node = cls.doc)
+SELECT d.doc_id, min(coalesce(class_id, d.doc_id)) AS class_id, coalesce(sum(links), 0)::BIGINT AS links FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL) d LEFT JOIN own ON own.doc_id = d.doc_id GROUP BY d.doc_id
 """

@@ -56,7 +56,7 @@ def op9_subspace_near_vectors(spark, sf_dir):
 
 
 def op10_jaccard_join(spark, sf_dir):
-    """All pairs of documents whose word 3-gram sets have Jaccard 0.75 or more."""
+    """Class and number of links of every document, over links of Jaccard 0.5 or more between word 3-gram sets."""
     return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
 
 

@@ -28,15 +28,30 @@ def brute(rows, t=J.THRESHOLD, n=3):
     return out
 
 
-def expanded(rows):
-    out = {}
-    for a, b, j in rows:
-        for x in a:
-            for y in b:
-                if x != y:
-                    key = (min(x, y), max(x, y))
-                    out[key] = max(out.get(key, 0), j)
-    return out
+def joined(rows, t=J.THRESHOLD, n=3):
+    """doc_id: (class_id, links); rows that repeat an id must have equal texts."""
+    ids = {i for i, *_ in rows if i is not None}
+    root, links = {i: i for i in ids}, dict.fromkeys(ids, 0)
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in brute(rows, t, n):
+        links[a] += 1
+        links[b] += 1
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {i: (find(i), links[i]) for i in ids}
+
+
+def result(df, **how):
+    out = J.jaccard_join(df, **how)
+    assert out.columns == ["doc_id", "class_id", "links"]
+    rows = out.collect()
+    assert len(rows) == len({r.doc_id for r in rows})
+    return {r.doc_id: (r.class_id, r.links) for r in rows}
 
 
 def corpus(seed=1, groups=40):
@@ -56,13 +71,17 @@ def corpus(seed=1, groups=40):
     return rows
 
 
-@pytest.mark.parametrize("t", [0.6, 0.75, 0.9])
-def test_all_pairs_as_by_brute_force(spark, t):
+@pytest.mark.parametrize("t", [0.3, 0.5, 0.75, 0.9])
+def test_classes_links_and_pairs_as_by_brute_force(spark, t):
     rows = corpus()
-    found = J.jaccard_join(spark.createDataFrame(rows, SCHEMA), t=t).collect()
-    got, want = expanded(found), brute(rows, t)
-    assert got.keys() == want.keys()
-    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = brute(rows, t)
+    assert result(df, t=t) == joined(rows, t) and len(want) > 50
+    least = {}
+    for i, x, *_ in sorted(rows):
+        least.setdefault(grams(x), i)
+    got = {(r.doc_a, r.doc_b): r.jaccard for r in J.jaccard_pairs(df, t=t).collect()}
+    assert got == pytest.approx({k: j for k, j in want.items() if j < 1 and set(k) <= set(least.values())})
 
 
 @pytest.mark.parametrize("t", [0.5, 0.6, 0.75, 0.9])
@@ -70,55 +89,77 @@ def test_every_ratio_of_sizes(spark, t):
     base = [f"p{i}" for i in range(400)]
     sizes = [*range(1, 40), *range(40, 130, 3), *range(130, 401, 11)]
     rows = [(k, " ".join(base[:k]), None, 0) for k in sizes]
-    assert expanded(J.jaccard_join(spark.createDataFrame(rows, SCHEMA), t=t).collect()).keys() == brute(rows, t).keys()
+    got = {(r.doc_a, r.doc_b) for r in J.jaccard_pairs(spark.createDataFrame(rows, SCHEMA), t=t).collect()}
+    assert got == brute(rows, t).keys()
 
 
-def test_order_of_frequent_ngrams_changes_no_result(spark, monkeypatch):
+def test_what_changes_the_plan_changes_no_result(spark, monkeypatch):
     rows = corpus(5)
-    df = spark.createDataFrame(rows, SCHEMA)
-    monkeypatch.setattr(J, "frequent_ngrams", lambda docs, n: np.empty(0, np.uint64))
-    assert expanded(J.jaccard_join(df).collect()).keys() == brute(rows).keys()
-    monkeypatch.setattr(J, "BROADCAST_ROWS", 0)
-    assert expanded(J.jaccard_join(df).collect()).keys() == brute(rows).keys()
+    df, want = spark.createDataFrame(rows, SCHEMA), joined(rows)
+    for name, value in (("BROADCAST_MB", 0), ("BUCKET", 3), ("BUCKET_GRAMS", 500), ("HOT", 2), ("OFTEN", 1), ("CHUNK", 300), ("TASK_ROWS", 1000)):
+        monkeypatch.setattr(J, name, value)
+    assert result(df) == want
+    monkeypatch.setattr(J, "frequent_ngrams", lambda docs, n: J.Frequent(np.empty(0, np.uint64), np.empty(0, np.int64)))
+    assert result(df) == want
+
+
+def test_cells_of_a_hot_ngram_meet_once():
+    fp = np.sort(np.random.default_rng(4).integers(0, 2**50, 300))
+    g, at = np.tile(np.array([7 << 50], np.uint64), 300), np.arange(301)
+    key, who = J.block_keys(g, at, fp, 0.5, J.Frequent(g[:1], np.array([300 * J.HOT // 40])), 9)
+    assert len(key) > 300 * 7
+    order = np.lexsort((who, key))
+    got = [p for b in J.pairing(0.5)(iter([pa.RecordBatch.from_arrays([pa.array(key[order]), pa.array(who[order])], ["key", "fp"])])) for p in zip(*(c.to_pylist() for c in b.columns))]
+    assert sorted(got) == [(int(fp[i]), int(fp[j]), 1) for i in range(300) for j in range(i + 1, 300)]
 
 
 def test_nulls_empty_texts_ties_and_repeated_rows(spark):
     same = "one two three four five six"
     rows = [(1, same, None, 1), (1, same, None, 1), (2, same.upper(), None, 2), (None, same, None, 3), (3, None, None, 3), (4, "", None, 4), (5, " !? ", None, 4), (6, "one", None, 4), (7, "One.", None, 5), (8, "one two", None, 5), (9, "one two three four five six seven", None, 1)]
-    found = J.jaccard_join(spark.createDataFrame(rows, SCHEMA)).collect()
-    assert expanded(found) == pytest.approx({(1, 2): 1.0, (6, 7): 1.0, (1, 9): 0.8, (2, 9): 0.8})
-    kept = J.keep_one(spark.createDataFrame(rows, SCHEMA))
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert result(df) == {1: (1, 2), 2: (1, 2), 3: (3, 0), 4: (4, 0), 5: (5, 0), 6: (6, 1), 7: (6, 1), 8: (8, 0), 9: (1, 2)}
+    assert [tuple(r) for r in J.jaccard_pairs(df).collect()] == [(1, 9, 0.8)]
+    kept = J.keep_one(df)
     assert kept.columns == ["doc_id", "text", "node", "a"]
     assert sorted((r.doc_id if r.doc_id is not None else -1) for r in kept.collect()) == [-1, 1, 1, 3, 4, 5, 6, 8]
 
 
 def test_an_id_with_two_texts(spark):
     rows = [(1, "a b c d e f g h", None, 0), (1, "p q r s t u v w", None, 0), (2, "p q r s t u v w", None, 0), (3, "a b c d e f g h i", None, 0)]
-    assert expanded(J.jaccard_join(spark.createDataFrame(rows, SCHEMA)).collect()).keys() == {(1, 2), (1, 3)}
+    assert result(spark.createDataFrame(rows, SCHEMA)) == {1: (1, 2), 2: (1, 1), 3: (1, 1)}
 
 
 def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
-    assert J.jaccard_join(empty).count() == 0
+    assert J.jaccard_join(empty).count() == J.jaccard_pairs(empty).count() == 0
     assert J.keep_one(empty).count() == 0
 
 
 def test_very_long_texts(spark):
     rng = random.Random(3)
     long = [f"v{rng.randrange(10**6)}" for _ in range(60_000)]
-    rows = [(1, " ".join(long), None, 0), (2, " ".join(long[:-2000]), None, 0), (3, " ".join(long[:30_000]), None, 0)]
-    assert expanded(J.jaccard_join(spark.createDataFrame(rows, SCHEMA)).collect()).keys() == {(1, 2)}
+    rows = [(1, " ".join(long), None, 0), (2, " ".join(long[:-2000]), None, 0), (3, " ".join(long[:29_000]), None, 0)]
+    assert result(spark.createDataFrame(rows, SCHEMA)) == {1: (1, 1), 2: (1, 1), 3: (3, 0)}
 
 
 def test_groups_of_many_copies(spark):
     base = [f"k{i}" for i in range(150)]
     rows = [(i, " ".join(base), None, 0) for i in range(500)] + [(1000 + i, " ".join(base[:i] + ["new"] + base[i + 1 :]), None, 0) for i in range(0, 150, 2)]
     df = spark.createDataFrame(rows, SCHEMA)
-    pairs = expanded(J.jaccard_join(df).collect())
-    assert len(pairs) == 575 * 574 // 2
+    assert result(df) == {i: (0, 574) for i, *_ in rows}
     assert [r.doc_id for r in J.keep_one(df).collect()] == [0]
 
 
+def test_its_sql_on_near_copies(spark):
+    import duckdb
+
+    rows = corpus(9)
+    documents = pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "text": [r[1] for r in rows]})
+    con = duckdb.connect()
+    con.register("documents", documents)
+    assert {r[0]: r[1:] for r in con.sql(J.oracle_sql()).fetchall()} == joined(rows) == result(spark.createDataFrame(rows, SCHEMA))
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5, 5)]
@@ -140,7 +181,7 @@ def test_components(spark):
 
 def test_pairs_are_summed_over_batches():
     rng = np.random.default_rng(1)
-    key = np.sort(rng.integers(0, 3000, 20_000))
+    key = np.sort(rng.integers(0, 3000, 20_000)) * 4
     fp = rng.integers(-50, 50, 20_000)
     order = np.lexsort((fp, key))
     key, fp = key[order], fp[order]
@@ -152,7 +193,7 @@ def test_pairs_are_summed_over_batches():
                 want[u[j], u[i]] = want.get((u[j], u[i]), 0) + 1
     batches = [pa.RecordBatch.from_arrays([pa.array(key[i : i + 700]), pa.array(fp[i : i + 700])], ["key", "fp"]) for i in range(0, 20_000, 700)]
     got = {}
-    for b in J.paired(iter(batches)):
+    for b in J.pairing(0.5)(iter(batches)):
         for x, y, n in zip(*(col.to_pylist() for col in b.columns)):
             got[x, y] = got.get((x, y), 0) + n
     assert got == want

@@ -4,7 +4,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline as CP
-from lucidframe.llm import bpe, jaccard, mixing, pii, quality
+from lucidframe.llm import bpe, mixing, pii, quality
 from lucidframe.llm.common import table
 from tests.llm.test_bpe_mixing import poisson
 from tests.llm.test_jaccard import brute
@@ -108,4 +108,17 @@ def test_stages_of_an_empty_table(spark, folder):
 
 
 def test_one_of_each_group_stays(spark):
-    assert jaccard.THRESHOLD == 0.75 and CP.ORACLE_SQL is None
+    rng = random.Random(4)
+    rows = []
+    for g in range(12):
+        base = [f"g{g}w{k}" for k in range(40)]
+        for k in range(1 + g % 4):
+            doc = base[:]
+            doc[rng.randrange(40)] = f"other{g}{k}"
+            rows.append((g * 10 + k, " ".join(doc if k else base), "en", "a", 0))
+            if k == 2:
+                rows.append((g * 10 + 5, " ".join(doc), "en", "b", 0))
+    rng.shuffle(rows)
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, DOC_a long")
+    kept = CP.near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [g * 10 for g in range(12)]
