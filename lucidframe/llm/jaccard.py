@@ -14,11 +14,15 @@ fewer are no candidates.
 Size bands. A block's sets are ordered by size and a set meets only those of its band, from its own size to 1 / t times that.
 
 Order. Frequent n-grams (counted over all documents) come last, so that passages which many documents share make no candidates while rarer
-n-grams do. What counts as frequent changes cost only. The sets of an n-gram that thousands of different sets hold are dealt to cells, and each
-two cells meet in a task of their own: no task holds all pairs of a hot n-gram.
+n-grams do. What counts as frequent changes cost only.
 
-Verification is exact: the candidates of a neighbourhood are brought together in buckets of bounded numbers and sizes, two buckets at
-a time, and their n-grams intersected. A bucket pair gives sums of links and a local forest, never its pairs. No pair or partner is capped.
+Candidates. A block of up to SMALL sets gives its pairs, whose shared blocks are counted. A block of more gives a star: each set with the block's first set,
+so that a large group costs rows in proportion to its sets. Stars whose centres are candidates of each other are merged, and all pairs within
+a merged star are candidates. A block that more than HOT sets hold is dealt to cells, of which each two meet in a task of their own.
+
+Verification is exact: the candidates of a neighbourhood, or the sets of a star, are brought together in buckets of bounded numbers and sizes, two buckets at
+a time, and their n-grams intersected. A pair that meets in several stars counts in the first. A bucket pair gives sums of links and a local
+forest, never its pairs. No pair or partner is capped.
 
 Sets that are equal are one class from the start (thousands of copies cost no pairs); the class is known by 116 bits.
 
@@ -42,21 +46,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lucidframe.llm.common import c, ensure_checkpoint_dir, ensure_workers, fresh
+from lucidframe.llm.common import c, components, ensure_checkpoint_dir, ensure_workers, fresh
 from lucidframe.llm.tokens import U, mix, ngrams, pieces, words
 
 N = 3
 THRESHOLD = 0.5
 BLOCK_BITS = 40
-BROADCAST_MB = 64  # candidate members up to this size are broadcast to the documents; beyond, both are shuffled
+BROADCAST_MB = 32  # candidate members up to this size are broadcast to the documents; beyond, both are shuffled
 FREQUENT = 300_000  # n-grams whose blocks come last
 CHUNK = 2_000_000  # n-grams counted at a time
 OFTEN = 4  # sets of a chunk that an n-gram must occur in to be counted
-HOT = 4_000  # sets of a cell of a frequent n-gram
-TASK_ROWS = 4_000_000  # emitted blocks of a task
+SMALL = 16  # sets of a block up to which it gives pairs
+HOT = 1_000_000  # sets of a cell of a frequent n-gram
+TASK_ROWS = 2_000_000  # emitted blocks of a task
 BUCKET, BUCKET_GRAMS = 256, 1_000_000  # sets and n-grams of a bucket that verification loads
 CODES = 64  # size classes of a doubling
-PART = 44  # low bits of a key: 42 of content, 2 of the side
+PART = 44  # low bits of a key, of content
 EPS = 1e-9
 
 
@@ -139,7 +144,7 @@ class Frequent:
 
 
 def block_keys(g: np.ndarray, at: np.ndarray, fp: np.ndarray, t: float, frequent: Frequent | None, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """(key, fp) of the blocks that non-empty sets emit: the task in the high bits, content, and the side of a cell."""
+    """(key, fp) of the blocks that non-empty sets emit: the task in the high bits, then content."""
     sizes = np.diff(at)
     doc = np.repeat(np.arange(len(sizes)), sizes)
     far, cells = np.zeros(len(g), bool), None
@@ -165,7 +170,6 @@ def block_keys(g: np.ndarray, at: np.ndarray, fp: np.ndarray, t: float, frequent
     starts = np.flatnonzero(new)
     h = mix(np.bitwise_xor.reduceat(mix(g), starts) ^ mix(block[starts] + U(1)))
     fp = fp[doc[starts]]
-    side = np.zeros(len(h), np.uint64)
     if cells is not None and (r := np.maximum.reduceat(cells[keep], starts)).max() > 1:
         one = r == 1
         hot, rh, fh = h[~one], r[~one], fp[~one]
@@ -173,11 +177,11 @@ def block_keys(g: np.ndarray, at: np.ndarray, fp: np.ndarray, t: float, frequent
         v = np.arange(len(reps)) - np.repeat(np.cumsum(rh) - rh, rh)
         u = (mix(fh.view(np.uint64)) % rh.astype(np.uint64)).astype(np.int64)[reps]
         lo, hi = np.minimum(u, v).astype(np.uint64), np.maximum(u, v).astype(np.uint64)
-        h = np.concatenate((h[one], mix(hot[reps] + lo * U(0x9E3779B97F4A7C15) + hi * U(0xC2B2AE3D27D4EB4F) + U(1))))
-        fp = np.concatenate((fp[one], fh[reps]))
-        side = np.concatenate((side[one], np.where(u == v, 0, np.where(u < v, 1, 2)).astype(np.uint64)))
+        met = u != v
+        h = np.concatenate((h[one], mix(hot[reps] + lo * U(0x9E3779B97F4A7C15) + hi * U(0xC2B2AE3D27D4EB4F) + U(1))[met]))
+        fp = np.concatenate((fp[one], fh[reps][met]))
     part = ((h >> U(32)) * U(parts)) >> U(32)
-    return ((part << U(PART)) | ((mix(h) >> U(22)) << U(2)) | side).view(np.int64), fp
+    return ((part << U(PART)) | (mix(h) >> U(64 - PART))).view(np.int64), fp
 
 
 def signatures(docs: DataFrame, n: int) -> DataFrame:
@@ -248,7 +252,7 @@ def frequent_ngrams(docs: DataFrame, n: int) -> Frequent:
 
 
 def blocks(docs: DataFrame, n: int, t: float, frequent: Frequent, parts: int) -> DataFrame:
-    """key, fp: a row for every block that a set emits, sorted within its task."""
+    """key, fp: a row for every block that a set emits, in TASK_ROWS a task about."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,165 +262,115 @@ def blocks(docs: DataFrame, n: int, t: float, frequent: Frequent, parts: int) ->
                 yield pa.RecordBatch.from_arrays([pa.array(key[s : s + 100_000]), pa.array(who[s : s + 100_000])], ["key", "fp"])
 
     rows = docs.mapInArrow(run, "key long, fp long")
-    return rows.repartitionById(parts, F.shiftrightunsigned("key", PART).cast("int")).sortWithinPartitions("key", "fp")
-
-
-class Pairs:
-    """Pairs and how often each was added, summed up whenever many are held."""
-
-    def __init__(self, most: int = 1_000_000):
-        self.most = most
-        self.clear()
-
-    def clear(self) -> None:
-        self.fps = np.empty(0, np.int64)  # by local number
-        self.order = np.empty(0, np.int64)  # local numbers in the order of their fp
-        self.held: list[np.ndarray] = []
-        self.n = 0
-        self.code, self.count = np.empty(0, np.int64), np.empty(0, np.int64)
-
-    def local(self, fp: np.ndarray) -> np.ndarray:
-        u = np.unique(fp)
-        known = self.fps[self.order]
-        at = np.searchsorted(known, u)
-        new = u if not len(known) else u[known[np.minimum(at, len(known) - 1)] != u]
-        if len(new):
-            self.fps = np.concatenate((self.fps, new))
-            self.order = np.argsort(self.fps, kind="stable")
-            known = self.fps[self.order]
-        return self.order[np.searchsorted(known, fp)]
-
-    def add(self, a: np.ndarray, b: np.ndarray) -> None:
-        self.held.append((a << 32) | b)
-        self.n += len(a)
-        if self.n >= self.most:
-            self.sum()
-
-    def sum(self) -> None:
-        if not self.held:
-            return
-        code, count = np.unique(np.concatenate(self.held), return_counts=True)
-        self.held, self.n = [], 0
-        if len(self.code):
-            code, count = np.concatenate((self.code, code)), np.concatenate((self.count, count))
-            by = np.argsort(code, kind="stable")
-            code, count = code[by], count[by]
-            first = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
-            code, count = code[first], np.add.reduceat(count, first)
-        self.code, self.count = code, count
-
-    def flush(self) -> Iterator[pa.RecordBatch]:
-        self.sum()
-        for s in range(0, len(self.code), 100_000):
-            code = self.code[s : s + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(self.fps[code >> 32]), pa.array(self.fps[code & 0xFFFFFFFF]), pa.array(self.count[s : s + 100_000])], ["a", "b", "n"])
-        self.clear()
-
-
-def pairing(t: float):
-    """a, b, n: the pairs a < b of different fp within blocks of equal content and their number of blocks; rows are sorted by key, fp."""
+    return rows.repartitionById(parts, F.shiftrightunsigned("key", PART).cast("int"))
+
+
+def counted(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of numbers below 2**32, and how often each occurs."""
+    code = np.sort(np.concatenate([(x << 32) | y for x, y in zip(a, b)])) if a else np.empty(0, np.int64)
+    at = np.flatnonzero(np.concatenate((np.ones(min(1, len(code)), bool), code[1:] != code[:-1])))
+    return code[at] >> 32, code[at] & 0xFFFFFFFF, np.diff(np.append(at, len(code)))
+
+
+def candidates(key: np.ndarray, fp: np.ndarray, t: float) -> Iterator[pa.RecordBatch]:
+    """a, b, n, star: pairs a < b of sets that share n small blocks; the centre and each set of large ones, n blocks each."""
     window = math.ceil(-math.log2(t) * CODES) + 1
 
-    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = Pairs()
-
-        def across(one: np.ndarray, two: np.ndarray) -> None:
-            """Pairs of two cells of a hot n-gram, both in the order of fp."""
-            code, near = one >> 52, pairs.local(two)
-            at = pairs.local(one)
-            lo, hi = np.searchsorted(two >> 52, code - window), np.searchsorted(two >> 52, code + window, "right")
-            for i in range(len(one)):
-                less = two[lo[i] : hi[i]] < one[i]
-                other, own = near[lo[i] : hi[i]], np.full(hi[i] - lo[i], at[i])
-                pairs.add(np.where(less, other, own), np.where(less, own, other))
-
-        def take(key: np.ndarray, fp: np.ndarray) -> None:
-            new = np.concatenate(([True], (key[1:] != key[:-1]) | (fp[1:] != fp[:-1])))
-            key, fp = key[new], fp[new]
-            base, side = key >> 2, key & 3
-            starts = np.flatnonzero(np.concatenate(([True], base[1:] != base[:-1])))
-            lengths = np.diff(np.append(starts, len(key)))
-            cells = side[starts + lengths - 1] > 0
-            for s, n in zip(starts[cells], lengths[cells]):
-                k = s + int(np.searchsorted(side[s : s + n], 2))
-                if s < k < s + n:
-                    across(fp[s:k], fp[k : s + n])
-            several = (lengths > 1) & ~cells
-            if not several.any():
-                return
-            kept = np.repeat(several, lengths)
-            code = fp[kept] >> 52
-            fp, lengths = pairs.local(fp[kept]), lengths[several]
-            starts = np.cumsum(lengths) - lengths
-            for n in np.unique(lengths):
-                at = starts[lengths == n]
-                if n <= 400:
-                    i, j = np.triu_indices(n, 1)
-                    step = max(1, 250_000 // len(i))
-                    for s in range(0, len(at), step):
-                        base = at[s : s + step, None]
-                        a, b = (base + i).ravel(), (base + j).ravel()
-                        near = code[b] - code[a] <= window
-                        pairs.add(fp[a[near]], fp[b[near]])
-                else:
-                    for s in at:
-                        run, sized = fp[s : s + n], code[s : s + n]
-                        stop = np.searchsorted(sized, sized + window, "right")
-                        for i in range(n - 1):
-                            pairs.add(np.full(stop[i] - 1 - i, run[i]), run[i + 1 : stop[i]])
-
-        parts: list[tuple[np.ndarray, np.ndarray]] = []
-        held = 0
-        for batch in batches:
-            key, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            if not len(key):
-                continue
-            parts.append((key, fp))
-            held += len(key)
-            if held < 100_000 or parts[0][0][0] >> 2 == key[-1] >> 2:
-                continue  # few rows, or one block goes on
-            key, fp = (np.concatenate([p[x] for p in parts]) for x in (0, 1))
-            last = int(np.searchsorted(key, key[-1] >> 2 << 2))
-            parts, held = [(key[last:], fp[last:])], len(key) - last
-            take(key[:last], fp[:last])
-            if len(pairs.code) > 2 * pairs.most:
-                yield from pairs.flush()
+    def packed(a: list[np.ndarray], b: list[np.ndarray], star: bool) -> Iterator[pa.RecordBatch]:
+        x, y, n = counted(a, b)
+        for s in range(0, len(x), 100_000):
+            part = slice(s, s + 100_000)
+            yield pa.RecordBatch.from_arrays([pa.array(names[x[part]]), pa.array(names[y[part]]), pa.array(n[part].astype(np.int64)), pa.array(np.full(len(x[part]), star))], ["a", "b", "n", "star"])
+
+    order = np.argsort(key)
+    key, fp = key[order], fp[order]
+    same = key[1:] == key[:-1]
+    several = np.zeros(len(key), bool)
+    several[1:] = same
+    several[:-1] |= same
+    key, fp = key[several], fp[several]
+    order = np.lexsort((fp, key))
+    key, fp = key[order], fp[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (fp[1:] != fp[:-1])
+    key, fp = key[new], fp[new]
+    names, fp = np.unique(fp, return_inverse=True)  # numbers in the order of fp
+    code = names >> 52
+    starts = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), bool), key[1:] != key[:-1])))
+    lengths = np.diff(np.append(starts, len(key)))
+    a, b, held = [], [], 0
+    for n in range(2, SMALL + 1):
+        at = starts[lengths == n]
+        i, j = np.triu_indices(n, 1)
+        step = max(1, 1_000_000 // len(i))
+        for s in range(0, len(at), step):
+            base = at[s : s + step, None]
+            x, y = fp[(base + i).ravel()], fp[(base + j).ravel()]
+            near = code[y] - code[x] <= window
+            a.append(x[near])
+            b.append(y[near])
+            held += len(a[-1])
+            if held > 4_000_000:
+                yield from packed(a, b, False)
+                a, b, held = [], [], 0
+    yield from packed(a, b, False)
+    large = lengths > SMALL
+    if large.any():
+        yield from packed([np.repeat(fp[starts[large]], lengths[large])], [fp[np.repeat(large, lengths)]], True)
+
+
+def meeting(t: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
         if parts:
-            take(*(np.concatenate([p[x] for p in parts]) for x in (0, 1)))
-        yield from pairs.flush()
-
-    return paired
+            key, fp = (np.concatenate([x[k] for x in parts]) for k in (0, 1))
+            parts.clear()
+            yield from candidates(key, fp, t)
+
+    return run
+
+
+def products(members: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all members with each other."""
+    n = len(members)
+    grams = np.concatenate(members)
+    row = np.repeat(np.arange(n), [len(g) for g in members])
+    order = np.argsort(grams, kind="stable")
+    grams, row = grams[order], row[order]
+    new = np.concatenate(([True], grams[1:] != grams[:-1]))
+    col = np.cumsum(new) - 1
+    often = np.diff(np.append(np.flatnonzero(new), len(grams)))[col] > 1  # the others are in no intersection of two
+    row, col = row[often], np.cumsum(new[often]) - 1
+    out = np.zeros((n, n), np.float32)
+    width = max(256, min(16384, 8_000_000 // n))
+    for s in range(0, int(col[-1]) + 1 if len(col) else 0, width):
+        lo, hi = np.searchsorted(col, [s, s + width])
+        dense = np.zeros((n, min(width, int(col[-1]) + 1 - s)), np.float32)
+        dense[row[lo:hi], col[lo:hi] - s] = 1
+        out += dense @ dense.T
+    return out
 
 
 def intersections(members: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Sizes of the intersections of members a[i] and b[i]."""
+    if len(a) > 4 * len(members):
+        return products(members)[a, b].astype(np.int64)
     out = np.zeros(len(a), np.int64)
-    total = sum(map(len, members))
-    if len(a) * 2.5e-5 < len(members) ** 2 * total / 4 / 2e10 or len(a) < 8:
-        for i, (x, y) in enumerate(zip(a, b)):
-            p, q = members[x], members[y]
-            if len(p) > len(q):
-                p, q = q, p
-            at = np.searchsorted(q, p)
-            out[i] = int((q[np.minimum(at, len(q) - 1)] == p).sum())
-        return out
-    _, col = np.unique(np.concatenate(members), return_inverse=True)
-    row = np.repeat(np.arange(len(members)), [len(g) for g in members])
-    order = np.argsort(col, kind="stable")
-    row, col = row[order], col[order]
-    width = max(1, min(16384, 40_000_000 // max(1, len(members))))
-    product = np.zeros((len(members), len(members)), np.float32)
-    for s in range(0, int(col[-1]) + 1, width):
-        lo, hi = np.searchsorted(col, [s, s + width])
-        dense = np.zeros((len(members), width), np.float32)
-        dense[row[lo:hi], col[lo:hi] - s] = 1
-        product += dense @ dense.T
-    return product[a, b].astype(np.int64)
+    for i, (x, y) in enumerate(zip(a, b)):
+        p, q = members[x], members[y]
+        if len(p) > len(q):
+            p, q = q, p
+        at = np.searchsorted(q, p)
+        out[i] = int((q[np.minimum(at, len(q) - 1)] == p).sum())
+    return out
 
 
 def verifier(n: int, t: float, as_pairs: bool):
     def verify(group: pa.Table) -> pa.Table:
-        """group: fp, fp2, doc, copies, partners (fp of some), text; a row for each set, or more where ids repeat."""
+        """group: fp, fp2, doc, copies, partners (fp of some), side, star, stars, text; a row for each set, or more where ids repeat.
+
+        In a neighbourhood (star is null) each set is compared with its partners, in a star with all sets, or all of the other side.
+        """
         own = list(zip(group.column("fp").to_pylist(), group.column("fp2").to_pylist()))
         lists = group.column("partners").to_pylist()
         members: dict[tuple[int, int], np.ndarray] = {}
@@ -436,16 +390,29 @@ def verifier(n: int, t: float, as_pairs: bool):
         place: dict[int, list[int]] = {}
         for i, key in enumerate(keys):
             place.setdefault(key[0], []).append(i)
-        ends = [(i, j) for i in range(len(keys)) for p in set(lists[row[i]] or ()) for j in place.get(p, ())]
-        a, b = np.asarray([e[0] for e in ends], np.int64), np.asarray([e[1] for e in ends], np.int64)
+        star, stars = group.column("star")[0].as_py(), group.column("stars").to_pylist()
+        stars = [set(stars[i] or ()) for i in row]
         sized = np.asarray([len(members[k]) for k in keys], np.int64)
-        both = intersections([members[k] for k in keys], a, b) if len(a) else np.empty(0, np.int64)
+        if star is None:
+            ends = [(i, j) for i in range(len(keys)) for p in set(lists[row[i]] or ()) for j in place.get(p, ()) if stars[i].isdisjoint(stars[j])]
+            a, b = np.asarray([e[0] for e in ends], np.int64), np.asarray([e[1] for e in ends], np.int64)
+            both = intersections([members[k] for k in keys], a, b) if len(a) else np.empty(0, np.int64)
+        elif len(keys) > 1:
+            side = group.column("side").to_numpy()[row]
+            product = products([members[k] for k in keys])
+            near = np.triu(product >= t * (sized[:, None] + sized[None, :] - product) - EPS, 1)
+            a, b = np.nonzero(near & ((side[:, None] != side[None, :]) | (side[:, None] == 0)))
+            first = np.asarray([min(stars[i] & stars[j]) == star for i, j in zip(a.tolist(), b.tolist())], bool)
+            a, b = a[first], b[first]
+            both = product[a, b].astype(np.int64)
+        else:
+            a = b = both = np.empty(0, np.int64)
         union = sized[a] + sized[b] - both if len(a) else both
         keep = both >= t * union - EPS
-        a, b = a[keep], b[keep]
+        both, union, a, b = both[keep], union[keep], a[keep], b[keep]
         doc = group.column("doc").take(pa.array(row, pa.int64()))
         if as_pairs:
-            return pa.table([doc.take(pa.array(a)), doc.take(pa.array(b)), pa.array(both[keep] / union[keep])], names=["a", "b", "jaccard"])
+            return pa.table([doc.take(pa.array(a)), doc.take(pa.array(b)), pa.array(both / union)], names=["a", "b", "jaccard"])
         copies = group.column("copies").to_numpy()[row]
         links = np.zeros(len(keys), np.int64)
         np.add.at(links, a, copies[b])
@@ -489,24 +456,35 @@ def verified(docs: DataFrame, classes: DataFrame, n: int, t: float, as_pairs: bo
     docs = docs.where("text is not null")
     rows = classes.agg(F.sum(F.col("size") * ((1 - t) + 1 / 32) + 5)).first()[0] or 0
     parts = min(1 << 19, max(math.ceil(rows / TASK_ROWS), sc.defaultParallelism))
-    pairs = blocks(docs, n, t, frequent_ngrams(docs, n), parts).mapInArrow(pairing(t), "a long, b long, n long")
-    pairs = pairs.groupBy("a", "b").agg(F.sum("n").alias("n")).where(enough(F.col("a"), F.col("b"), F.col("n"), t)).select("a", "b").checkpoint()
-
-    # a set's neighbourhood is that of its least neighbour; large ones are cut into buckets
-    both = pairs.union(pairs.select("b", "a")).toDF("a", "o")
-    label = both.groupBy("a").agg(F.least("a", F.min("o")).alias("label"))
-    grams = F.pow(F.lit(2.0), (F.shiftright("a", 52) + 1) / CODES)
-    large = label.groupBy("label").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BUCKET), F.ceil(F.sum(grams) / BUCKET_GRAMS)).alias("buckets")).where("buckets > 1")
-    node = label.join(large, "label", "left").select("a", F.xxhash64("label", F.pmod(F.xxhash64("a"), F.coalesce("buckets", F.lit(1)))).alias("g")).checkpoint()
+    found = blocks(docs, n, t, frequent_ngrams(docs, n), parts).mapInArrow(meeting(t), "a long, b long, n long, star boolean")
+    found = found.groupBy("a", "b", "star").agg(F.sum("n").alias("n")).withColumn("near", enough(F.col("a"), F.col("b"), F.col("n"), t)).where("star or near").checkpoint()
+    grams = F.pow(F.lit(2.0), (F.shiftright("fp", 52) + 1) / CODES)
+    buckets = F.greatest(F.ceil(F.count(F.lit(1)) / BUCKET), F.ceil(F.sum(grams) / BUCKET_GRAMS)).cast("int").alias("buckets")
+
+    # stars, merged into the first star of which their centre is a candidate
+    first = found.where("star and near and a <> b").groupBy(F.col("b").alias("a")).agg(F.min("a").alias("first"))
+    star = found.where("star").join(first, "a", "left").select(F.coalesce("first", "a").alias("star"), F.col("b").alias("fp")).distinct().checkpoint()
+    stars = star.groupBy("fp").agg(F.collect_list("star").alias("stars"))
+    cut = star.join(star.groupBy("star").agg(buckets), "star").withColumn("u", F.pmod(F.xxhash64("fp"), "buckets")).withColumn("v", F.explode(F.sequence(F.lit(0), F.col("buckets") - 1)))
+    side = F.when(F.col("u") == F.col("v"), 0).when(F.col("u") < F.col("v"), 1).otherwise(2)
+    in_stars = cut.select(F.xxhash64("star", F.least("u", "v")).alias("g"), F.xxhash64("star", F.greatest("u", "v")).alias("h"), "fp", F.lit(None).cast("array<long>").alias("partners"), side.alias("side"), "star")
+
+    # pairs: a set's neighbourhood is that of its least neighbour; large ones are cut into buckets
+    pairs = found.where("not star").select("a", "b")
+    both = pairs.union(pairs.select("b", "a")).toDF("fp", "o")
+    label = both.groupBy("fp").agg(F.least("fp", F.min("o")).alias("label"))
+    large = label.groupBy("label").agg(buckets).where("buckets > 1")
+    node = label.join(large, "label", "left").select("fp", F.xxhash64("label", F.pmod(F.xxhash64("fp"), F.coalesce("buckets", F.lit(1)))).alias("g")).checkpoint()
     grouped = pairs.join(node.toDF("a", "ga"), "a").join(node.toDF("b", "gb"), "b").select(F.least("ga", "gb").alias("g"), F.greatest("ga", "gb").alias("h"), "a", "b")
     ends = grouped.select("g", "h", F.col("a").alias("fp"), "b").union(grouped.select("g", "h", F.col("b"), F.lit(None).cast("long")))
-    member = ends.groupBy("g", "h", "fp").agg(F.collect_list("b").alias("partners"))
-    member = member.join(classes.select("fp", "fp2", "doc", "copies"), "fp").checkpoint()
-    n_rows, n_ids = member.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("partners")), F.lit(0))).first()
-    fits = n_rows * 100 + n_ids * 8 <= BROADCAST_MB * 1_000_000
-    texts = docs.join(F.broadcast(member) if fits else member, "doc").select("g", "h", "fp", "fp2", "doc", "copies", "partners", "text")
+    in_pairs = ends.groupBy("g", "h", "fp").agg(F.collect_list("b").alias("partners")).select("*", F.lit(0).alias("side"), F.lit(None).cast("long").alias("star"))
+
+    member = in_stars.unionByName(in_pairs).join(stars, "fp", "left").join(classes.select("fp", "fp2", "doc", "copies"), "fp").checkpoint()
+    n_rows, n_ids = member.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.coalesce(F.size("partners"), F.lit(0)) + F.coalesce(F.size("stars"), F.lit(0))), F.lit(0))).first()
+    fits = n_rows * 150 + n_ids * 8 <= BROADCAST_MB * 1_000_000
+    texts = docs.join(F.broadcast(member) if fits else member, "doc").select("g", "h", "star", "fp", "fp2", "doc", "copies", "partners", "side", "stars", "text")
     kind = docs.schema["doc"].dataType.simpleString()
-    return texts.groupBy("g", "h").applyInArrow(verifier(n, t, as_pairs), f"a {kind}, b {kind}, jaccard double" if as_pairs else f"fp long, fp2 long, doc {kind}, root {kind}, links long")
+    return texts.groupBy("g", "h", "star").applyInArrow(verifier(n, t, as_pairs), f"a {kind}, b {kind}, jaccard double" if as_pairs else f"fp long, fp2 long, doc {kind}, root {kind}, links long")
 
 
 def jaccard_pairs(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = N, t: float = THRESHOLD) -> DataFrame:
@@ -531,25 +509,6 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n:
     return out.groupBy(F.col("doc").alias("doc_id")).agg(F.min(F.coalesce("class_id", "doc")).alias("class_id"), F.sum(F.coalesce("links", F.lit(0))).alias("links"))
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """node, root (the component's least node) of an edge list: large-star and small-star rounds until nothing changes."""
-    ensure_checkpoint_dir(edges.sparkSession)
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct().checkpoint()
-    before = None
-    while True:
-        both = e.union(e.select("v", "u")).toDF("u", "v")
-        # large star: every larger neighbour is linked to the least of the neighbourhood
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        e = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        # small star: every smaller neighbour and the node itself are linked to the least
-        least = e.groupBy("u").agg(F.min("v").alias("m"))
-        e = e.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.toDF("u", "v")).distinct().checkpoint()
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            return e.toDF("node", "root").union(e.select("v", "v").distinct())
-        before = now
-
-
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = N, t: float = THRESHOLD) -> DataFrame:
     """docs without the documents whose class has a document of smaller id (rows of null id or text stay)."""
     (node,) = fresh(docs, "jaccard_node")

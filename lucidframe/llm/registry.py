@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from lucidframe.llm import bpe, htmltext, jaccard, licenses, media, mixing, pii, quality, vectors, warc
 from lucidframe.llm.common import table
 
@@ -51,8 +49,8 @@ def op8_poisson_mix(spark, sf_dir):
 
 
 def op9_subspace_near_vectors(spark, sf_dir):
-    """All pairs of embeddings with cosine 0.975 or more."""
-    return vectors.near_vectors(table(spark, sf_dir, "embeddings")).withColumn("cosine", F.round("cosine", 6))
+    """Class and number of links of every embedding, over links of cosine 0.975 or more."""
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
 def op10_jaccard_join(spark, sf_dir):

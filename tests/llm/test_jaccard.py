@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 
 from lucidframe.llm import jaccard as J
+from lucidframe.llm.common import components
 from lucidframe.llm.tokens import words
 
 SCHEMA = "doc_id long, text string, node string, a long"
@@ -96,21 +97,23 @@ def test_every_ratio_of_sizes(spark, t):
 def test_what_changes_the_plan_changes_no_result(spark, monkeypatch):
     rows = corpus(5)
     df, want = spark.createDataFrame(rows, SCHEMA), joined(rows)
-    for name, value in (("BROADCAST_MB", 0), ("BUCKET", 3), ("BUCKET_GRAMS", 500), ("HOT", 2), ("OFTEN", 1), ("CHUNK", 300), ("TASK_ROWS", 1000)):
+    for name, value in (("BROADCAST_MB", 0), ("BUCKET", 3), ("BUCKET_GRAMS", 500), ("SMALL", 3), ("HOT", 2), ("OFTEN", 1), ("CHUNK", 300), ("TASK_ROWS", 1000)):
         monkeypatch.setattr(J, name, value)
     assert result(df) == want
     monkeypatch.setattr(J, "frequent_ngrams", lambda docs, n: J.Frequent(np.empty(0, np.uint64), np.empty(0, np.int64)))
     assert result(df) == want
 
 
-def test_cells_of_a_hot_ngram_meet_once():
+def test_cells_of_a_hot_ngram_meet_in_pairs(monkeypatch):
+    monkeypatch.setattr(J, "HOT", 40)
     fp = np.sort(np.random.default_rng(4).integers(0, 2**50, 300))
     g, at = np.tile(np.array([7 << 50], np.uint64), 300), np.arange(301)
-    key, who = J.block_keys(g, at, fp, 0.5, J.Frequent(g[:1], np.array([300 * J.HOT // 40])), 9)
-    assert len(key) > 300 * 7
-    order = np.lexsort((who, key))
-    got = [p for b in J.pairing(0.5)(iter([pa.RecordBatch.from_arrays([pa.array(key[order]), pa.array(who[order])], ["key", "fp"])])) for p in zip(*(c.to_pylist() for c in b.columns))]
-    assert sorted(got) == [(int(fp[i]), int(fp[j]), 1) for i in range(300) for j in range(i + 1, 300)]
+    key, who = J.block_keys(g, at, fp, 0.5, J.Frequent(g[:1], np.array([300])), 9)
+    assert len(key) == 300 * 7
+    met = {(x, y) for k in set(key) for x in who[key == k].tolist() for y in who[key == k].tolist()}
+    assert met == {(x, y) for x in fp.tolist() for y in fp.tolist()}
+    stars = [r for b in J.candidates(key, who, 0.5) for r in b.to_pylist()]
+    assert all(r["star"] for r in stars) and {r["b"] for r in stars} == set(fp.tolist())
 
 
 def test_nulls_empty_texts_ties_and_repeated_rows(spark):
@@ -175,28 +178,35 @@ def test_components(spark):
         if a != b:
             root[max(a, b)] = min(a, b)
     want = {x: find(x) for e in edges if e[0] != e[1] for x in e}
-    got = dict(tuple(r) for r in J.components(spark.createDataFrame(edges, "a long, b long")).collect())
+    got = dict(tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert got == want
 
 
-def test_pairs_are_summed_over_batches():
+def test_pairs_and_stars_of_blocks():
     rng = np.random.default_rng(1)
-    key = np.sort(rng.integers(0, 3000, 20_000)) * 4
-    fp = rng.integers(-50, 50, 20_000)
-    order = np.lexsort((fp, key))
-    key, fp = key[order], fp[order]
-    want = {}
+    key, fp = rng.integers(0, 3000, 20_000), rng.integers(0, 50, 20_000)
+    key = np.concatenate((key, np.full(40, 5000), np.full(30, 5001)))
+    fp = np.concatenate((fp, np.arange(40), np.arange(7, 37)))
+    pairs, stars = {}, {}
     for k in np.unique(key):
         u = np.unique(fp[key == k]).tolist()
-        for i in range(len(u)):
+        for x in u if len(u) > J.SMALL else ():
+            stars[u[0], x] = stars.get((u[0], x), 0) + 1
+        for i in range(len(u) if len(u) <= J.SMALL else 0):
             for j in range(i):
-                want[u[j], u[i]] = want.get((u[j], u[i]), 0) + 1
-    batches = [pa.RecordBatch.from_arrays([pa.array(key[i : i + 700]), pa.array(fp[i : i + 700])], ["key", "fp"]) for i in range(0, 20_000, 700)]
-    got = {}
-    for b in J.pairing(0.5)(iter(batches)):
-        for x, y, n in zip(*(col.to_pylist() for col in b.columns)):
-            got[x, y] = got.get((x, y), 0) + n
-    assert got == want
+                pairs[u[j], u[i]] = pairs.get((u[j], u[i]), 0) + 1
+    got = [r for b in J.candidates(key, fp, 0.5) for r in b.to_pylist()]
+    assert {(r["a"], r["b"]): r["n"] for r in got if not r["star"]} == pairs
+    assert {(r["a"], r["b"]): r["n"] for r in got if r["star"]} == stars and len(stars) == 70
+
+
+def test_products_and_intersections():
+    rng = np.random.default_rng(2)
+    members = [np.unique(rng.integers(0, 300, rng.integers(1, 90))).astype(np.uint64) for _ in range(40)]
+    want = np.array([[len(np.intersect1d(x, y)) for y in members] for x in members])
+    assert (J.products(members) * (1 - np.eye(40)) == want * (1 - np.eye(40))).all()
+    a, b = rng.integers(0, 20, 30), rng.integers(20, 40, 30)
+    assert (J.intersections(members, a, b) == want[a, b]).all()
 
 
 def test_equal_words_have_equal_hashes_wherever_they_stand():

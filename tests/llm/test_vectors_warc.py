@@ -22,29 +22,86 @@ def brute(rows, t):
     return out
 
 
-@pytest.mark.parametrize("dim,t,cell", [(64, 0.975, 4000), (64, 0.9, 20), (16, 0.95, 30), (3, 0.99, 10), (1, 0.9, 4000), (70, 0.5, 50)])
-def test_all_pairs_as_by_brute_force(spark, monkeypatch, dim, t, cell):
-    monkeypatch.setattr(V, "CELL_ROWS", cell)
-    rng = np.random.default_rng(dim)
-    rows = []
-    for k in range(60):
+def joined(rows, t):
+    ids = {i for i, _ in rows if i is not None}
+    root, links = {i: i for i in ids}, dict.fromkeys(ids, 0)
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in brute(rows, t):
+        links[a] += 1
+        links[b] += 1
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {i: (find(i), links[i]) for i in ids}
+
+
+def clustered(dim, seed, n=60):
+    rng, rows = np.random.default_rng(seed), []
+    for _ in range(n):
         base = rng.normal(size=dim)
         for _ in range(rng.integers(1, 6)):
             rows.append((len(rows), [float(np.float32(v)) for v in base * rng.choice([1, 3]) + rng.normal(size=dim) * rng.choice([0, 0.1, 0.3, 0.6])]))
+    return rows
+
+
+def result(df, **how):
+    out = V.near_vectors(df, **how)
+    assert out.columns == ["vec_id", "class_id", "links"]
+    rows = out.collect()
+    assert len(rows) == len({r.vec_id for r in rows})
+    return {r.vec_id: (r.class_id, r.links) for r in rows}
+
+
+@pytest.mark.parametrize("dim,t,cell,most", [(64, 0.975, 3000, 16000), (64, 0.9, 20, 16000), (64, 0.95, 20, 4), (16, 0.95, 30, 9), (3, 0.99, 10, 16000), (1, 0.9, 3000, 16000), (70, 0.5, 50, 12)])
+def test_classes_links_and_pairs_as_by_brute_force(spark, monkeypatch, dim, t, cell, most):
+    monkeypatch.setattr(V, "CELL_ROWS", cell)
+    monkeypatch.setattr(V, "CELL_MOST", most)
+    rows = clustered(dim, dim)
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = {(r.vec_a, r.vec_b): r.cosine for r in V.near_vectors(df, t=t).collect()}
-    want = brute(rows, t)
-    assert got.keys() == want.keys()
-    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert result(df, t=t) == joined(rows, t)
+    got, want = {(r.vec_a, r.vec_b): r.cosine for r in V.near_pairs(df, t=t).collect()}, brute(rows, t)
+    least = {}
+    for i, v in rows:
+        least.setdefault(tuple(v), i)
+    assert got == pytest.approx({k: x for k, x in want.items() if set(k) <= set(least.values())})
+
+
+def test_its_sql_on_near_vectors(spark):
+    import duckdb
+    import pyarrow as pa
+
+    rows = clustered(64, 5)
+    con = duckdb.connect()
+    con.register("embeddings", pa.table({"vec_id": pa.array([i for i, _ in rows]), "embedding": pa.array([v for _, v in rows], pa.list_(pa.float32()))}))
+    want = {r[0]: r[1:] for r in con.sql(V.ORACLE_SQL).fetchall()}
+    assert want == result(spark.createDataFrame(rows, "vec_id long, embedding array<float>")) and sum(n for _, n in want.values()) > 40
+
+
+def test_copies_of_a_vector_by_number_of_vectors():
+    rng = np.random.default_rng(1)
+    x = V.unit(rng.normal(size=(2000, 64)), 64)
+    copies = [sum(len(r) for _, r, _ in V.placed(x, V.cuts(64), 64, 0.975, V.grid(n, 64, 0.975))) / 2000 for n in (50_000, 500_000, 5_000_000, 500_000_000)]
+    assert copies[0] < 25 and copies[2] < 110 and copies[3] < 220
 
 
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 2.0]), (2, [2.0, 4.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [inf, 1.0]), (None, [1.0, 2.0]), (1, [1.0, 2.0]), (8, [1.0, 2.0, 0.0]), (9, [1.0, 2.0, 0.0]), (10, [-1.0, -2.0])]
+    rows += [(12, [1e200, 2e200]), (13, [1e-200, 2e-200]), (14, [1e308, -1e308]), (15, [5e-310, -5e-310])]
     df = spark.createDataFrame([(i, v, "c", 0) for i, v in rows] + [(11, [None, 1.0], "c", 0)], "vec_id long, embedding array<double>, cell string, a int")
-    assert {(r.vec_a, r.vec_b, round(r.cosine, 9)) for r in V.near_vectors(df).collect()} == {(1, 2, 1.0), (8, 9, 1.0)}
-    empty = V.near_vectors(df.limit(0))
-    assert empty.columns == ["vec_a", "vec_b", "cosine"] and empty.count() == 0
+    alone = {i: (i, 0) for i in (3, 4, 5, 6, 7, 10, 11)}
+    assert result(df) == alone | {1: (1, 3), 2: (1, 3), 12: (1, 3), 13: (1, 3), 8: (8, 1), 9: (8, 1), 14: (14, 1), 15: (14, 1)}
+    assert sorted((r.vec_a, r.vec_b, round(r.cosine, 9)) for r in V.near_pairs(df).collect()) == [(1, 2, 1.0), (1, 12, 1.0), (1, 13, 1.0), (2, 12, 1.0), (2, 13, 1.0), (12, 13, 1.0), (14, 15, 1.0)]
+    assert result(df.limit(0)) == {} and V.near_pairs(df.limit(0)).count() == 0
+
+
+def test_an_id_with_two_vectors(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 3.0]), (3, [2.0, 0.0])], "vec_id long, embedding array<double>")
+    assert result(df) == {1: (1, 2), 2: (1, 1), 3: (1, 1)}
 
 
 def random_origin(rng, page):
