@@ -53,9 +53,9 @@ N = 3
 THRESHOLD = 0.5
 BLOCK_BITS = 40
 BROADCAST_MB = 32  # candidate members up to this size are broadcast to the documents; beyond, both are shuffled
-FREQUENT = 300_000  # n-grams whose blocks come last
-CHUNK = 2_000_000  # n-grams counted at a time
-OFTEN = 4  # sets of a chunk that an n-gram must occur in to be counted
+FREQUENT = 2_000_000  # n-grams whose blocks come last, 16 MB of them
+CHUNK = 4_000_000  # n-grams counted at a time
+OFTEN = 2  # sets of a chunk that an n-gram must occur in to be counted
 SMALL = 16  # sets of a block up to which it gives pairs
 HOT = 1_000_000  # sets of a cell of a frequent n-gram
 TASK_ROWS = 2_000_000  # emitted blocks of a task
@@ -125,22 +125,29 @@ def prints(g: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Frequent:
-    """Sorted hashes of the frequent n-grams, and into how many cells the sets of each are dealt."""
+    """Sorted hashes of the frequent n-grams; of those that more than HOT sets hold, into how many cells the sets are dealt."""
 
     def __init__(self, grams: np.ndarray, counts: np.ndarray):
         order = np.argsort(grams)
-        self.grams, self.cells = grams[order], np.maximum(1, -(-counts[order] // HOT))
-        self.near = np.zeros(1 << 22, bool)
-        self.near[self.grams >> U(42)] = True
+        self.grams, cells = grams[order], -(-counts[order] // HOT)
+        self.hot, self.cells = self.grams[cells > 1], cells[cells > 1]
+        self.near = np.zeros(1 << 23, np.uint8)  # bits: whether any begins with these 26 bits
+        h = self.grams >> U(38)
+        np.bitwise_or.at(self.near, (h >> U(3)).astype(np.int64), (U(1) << (h & U(7))).astype(np.uint8))
 
     def find(self, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in g of frequent n-grams, and their cells."""
-        at = np.flatnonzero(self.near[g >> U(42)])
+        h = g >> U(38)
+        at = np.flatnonzero((self.near[(h >> U(3)).astype(np.int64)] >> (h & U(7)).astype(np.uint8)) & 1)
         if not len(at):
             return at, at
         where = np.minimum(np.searchsorted(self.grams, g[at]), len(self.grams) - 1)
-        ok = self.grams[where] == g[at]
-        return at[ok], self.cells[where[ok]]
+        at = at[self.grams[where] == g[at]]
+        cells = np.ones(len(at), np.int64)
+        if len(self.hot):
+            where = np.minimum(np.searchsorted(self.hot, g[at]), len(self.hot) - 1)
+            cells[self.hot[where] == g[at]] = self.cells[where][self.hot[where] == g[at]]
+        return at, cells
 
 
 def block_keys(g: np.ndarray, at: np.ndarray, fp: np.ndarray, t: float, frequent: Frequent | None, parts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -246,8 +253,16 @@ def frequent_ngrams(docs: DataFrame, n: int) -> Frequent:
         if held:
             yield often()
 
-    counts = docs.mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
-    rows = counts.orderBy(F.desc("n"), "g").limit(FREQUENT).toArrow()
+    counts = docs.mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).checkpoint()
+    # the least count that so many n-grams reach; counts above 10,000 are one step
+    steps = counts.groupBy(F.least("n", F.lit(10_000)).alias("n")).agg(F.count(F.lit(1)).alias("grams")).collect()
+    cut, total = 10_000, 0
+    for r in sorted(steps, key=lambda r: -r.n):
+        total += r.grams
+        if total > FREQUENT:
+            break
+        cut = r.n
+    rows = counts.where(F.col("n") >= cut).limit(FREQUENT).toArrow()
     return Frequent(rows.column("g").to_numpy().view(np.uint64), rows.column("n").to_numpy())
 
 
