@@ -8,8 +8,10 @@ from the body to the node of greatest density sum; from the body down, in every
 node of greatest density sum is content, with all it holds, if that sum is not zero (a leaf alone, such as a notice, is no subtree of text).
 
 Defined results: null HTML has null content; HTML without text has the empty content; a page without a body element is its own
-body; tags that are left open end with their parent; scripts, styles, templates and comments have no text; ties go to the node that begins first; pages of
-any length and depth are taken whole; repeated rows and null ids pass through; an empty table gives an empty table.
+body; tags that are left open end with their parent; a quoted attribute may hold "<" and ">"; scripts, styles, templates and comments have no text, up to their
+end or, without one, the page's; ties go to the node that begins first; pages of
+any length and depth are taken whole; in time linear in their length; repeated rows and null ids pass through; an empty table gives an
+empty table; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,7 +19,6 @@ from __future__ import annotations
 import html as entities
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,8 +26,9 @@ from pyspark.sql import DataFrame
 
 from lucidframe.llm.common import c, ensure_workers
 
-# no tag holds a "<", so that an open quote costs no more than its own tag
-_tag = re.compile(r"<(?:!--.*?(?:-->|\Z)|(/?)([A-Za-z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+'|[\"'])*+)>|[!?][^<>]*+>)", re.S)
+# tags whose quotes are closed and hold no "<"; the others go through tag_end()
+_tag = re.compile(r"<(?:(!--)|[!?][^<>]*+>|(/?)([A-Za-z][^\s/<>]*+)(?:((?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+')*+)>)?)")
+_stop = re.compile("[<>\"']")
 _space = re.compile(r"\s+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("script style template noscript textarea title".split())
@@ -35,34 +37,70 @@ CLOSES = {"li": {"li"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"
 SCOPE = frozenset("ul ol table tbody thead tfoot select dl body article section div".split())
 
 
+def tag_end(page: str, at: int, last: dict[str, int]) -> tuple[int, int] | None:
+    """(end of the attributes, end of the tag) of a tag whose name ends at at; None if it is no tag. last: places of the last quotes.
+
+    A quote after "=" runs to the next of its kind, over anything; a quote elsewhere, or one that is never closed, is a character. A tag
+    must end before a "<" outside quotes, unless its quotes hold a "<" too: it then ends there, so that no text is read twice.
+    """
+    i, over = at, False
+    while m := _stop.search(page, i):
+        sign, k = m[0], m.start()
+        if sign == ">":
+            return k, k + 1
+        if sign == "<":
+            return (k, k) if over else None
+        i = k + 1
+        if i <= last[sign] and page[max(at, k - 16) : k].rstrip().endswith("="):
+            end = page.index(sign, i)
+            over = over or page.find("<", i, end) >= 0
+            i = end + 1
+    return (len(page), len(page)) if over else None
+
+
 class Tree:
     """Parallel lists by node, in order of their start; texts: (node, text)."""
 
     def __init__(self, page: str):
         self.tag, self.parent, self.texts = ["#root"], [-1], []
-        self.body = 0
+        self.body, self.title = 0, None
         stack = [0]
-        opened: Counter = Counter()  # elements of each name on the stack
-        at = 0
+        opened: dict[str, list[int]] = {}  # places on the stack of the elements of each name
+        blocks: list[int] = []  # and of those that are blocks
+        at = start = 0  # from where to look for tags; where the text before begins
+        last = {q: page.rfind(q) for q in "\"'"}
 
         def cut(i: int) -> None:
             for x in stack[i:]:
-                opened[self.tag[x]] -= 1
+                opened[self.tag[x]].pop()
+            while blocks and blocks[-1] >= i:
+                blocks.pop()
             del stack[i:]
 
-        for m in _tag.finditer(page):
-            if m.start() < at:
-                continue
-            if m.start() > at:
-                self.texts.append((stack[-1], page[at : m.start()]))
-            at = m.end()
-            name = m[2]
+        def top(names: frozenset[str] | set[str]) -> int:
+            return max((opened[x][-1] for x in names if opened.get(x)), default=0)
+
+        while m := _tag.search(page, at):
+            name, attributes, end = m[3], m[4] or "", m.end()
+            if name is not None and m[4] is None:
+                found = tag_end(page, end, last)
+                if not found:
+                    at = m.start() + 1
+                    continue
+                attributes, end = page[end : found[0]], found[1]
+            if m[1]:
+                end = page.find("-->", m.start() + 2) + 3
+                if end < 3:
+                    end = len(page)
+            if m.start() > start:
+                self.texts.append((stack[-1], page[start : m.start()]))
+            at = start = end
             if name is None:
                 continue
             name = name.lower()
-            if m[1]:
-                if opened[name]:
-                    cut(next(i for i in range(len(stack) - 1, 0, -1) if self.tag[stack[i]] == name))
+            if m[2]:
+                if opened.get(name):
+                    cut(opened[name][-1])
                 continue
             if name == "html":
                 continue
@@ -70,35 +108,28 @@ class Tree:
                 if self.body:
                     continue
                 cut(1)
-            elif name == "p" or name in BLOCK and name not in ("br", "html"):
-                for i in range(len(stack) - 1, 0, -1):
-                    t = self.tag[stack[i]]
-                    if t == "p":
-                        cut(i)
-                        break
-                    if t in BLOCK:
-                        break
-                if name in CLOSES:
-                    for i in range(len(stack) - 1, 0, -1):
-                        t = self.tag[stack[i]]
-                        if t in CLOSES[name]:
-                            cut(i)
-                            break
-                        if t in SCOPE:
-                            break
+            elif name in BLOCK and name != "br":
+                if blocks and self.tag[stack[blocks[-1]]] == "p":
+                    cut(blocks[-1])
+                if name in CLOSES and (i := top(CLOSES[name])) > top(SCOPE):
+                    cut(i)
             node = len(self.tag)
             self.tag.append(name)
             self.parent.append(stack[-1])
             if name == "body":
                 self.body = node
             if name in SILENT:
-                end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
-            elif name not in VOID and not m[3].endswith("/"):
+                close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+                if name == "title" and self.title is None:
+                    self.title = page[at : close.start() if close else len(page)]
+                at = start = close.end() if close else len(page)
+            elif name not in VOID and not attributes.endswith("/"):
+                opened.setdefault(name, []).append(len(stack))
+                if name in BLOCK:
+                    blocks.append(len(stack))
                 stack.append(node)
-                opened[name] += 1
-        if at < len(page):
-            self.texts.append((stack[-1], page[at:]))
+        if start < len(page):
+            self.texts.append((stack[-1], page[start:]))
 
 
 def density(c: int, t: int, lc: int, lt: int, lcb: int, cb: int) -> float:
@@ -168,10 +199,9 @@ def extract(page: str) -> dict:
             parts.append("" if last < 0 else "\n" if block[node] != last else " ")
             parts.append(text.strip())
             last = block[node]
-    title = re.search(r"<title[^>]*>(.*?)</title", page, re.S | re.I)
     return {
         "content": "".join(parts),
-        "title": entities.unescape(_space.sub(" ", title[1]).strip()) if title else None,
+        "title": entities.unescape(_space.sub(" ", tree.title).strip()) if tree.title is not None else None,
         "top_tag": tag[top],
         "density_sum": total[top],
         "threshold": threshold,

@@ -7,7 +7,7 @@ compares neighbours of the grey image resized to 9 x 8, row by row, 64 bits.
 Result: width, height, channels, tile (the bytes of an NPY file, uint8, rows x columns x 3), dhash (64 bits as a signed number), error.
 
 Defined results: null bytes give nulls and the error "null"; empty, truncated or unknown images give nulls and a reason; samples of more than 8
-bits are scaled to 8; BMP alpha is dropped, and palettes are applied; images of any size count whole; ties of neighbours give the bit 0;
+bits are scaled to 8; numbers of more than 9 digits are errors; BMP alpha is dropped, and palettes are applied; images of any size count whole; ties of neighbours give the bit 0;
 repeated rows are treated alike; an empty table gives an empty table; other columns pass through.
 """
 
@@ -40,7 +40,7 @@ def netpbm(data: bytes) -> np.ndarray:
     numbers = []
     for _ in range(2 if bits else 3):
         m = _token.match(data, at)
-        if not m or not m[1].isdigit():
+        if not m or not m[1].isdigit() or len(m[1]) > 9:
             raise BadImage("no header")
         numbers.append(int(m[1]))
         at = m.end()
@@ -55,8 +55,11 @@ def netpbm(data: bytes) -> np.ndarray:
             if kind == b"1":
                 a = np.frombuffer(re.sub(rb"\s+", b"", body), np.uint8)[:n].astype(np.int64) - 48
             else:
-                a = np.array(body.split()[:n], np.int64)
-        except ValueError:
+                words = body.split(None, min(n, len(body)))[:n]
+                if not all(x.isdigit() and len(x) < 10 for x in words):
+                    raise BadImage("sample out of range")
+                a = np.array(words, np.int64)
+        except (ValueError, OverflowError):
             raise BadImage("no number") from None
     elif kind == b"4":
         row = (w + 7) // 8
@@ -110,6 +113,8 @@ def bmp(data: bytes) -> np.ndarray:
         a = palette[index]
     elif packing == 3:
         pixel = a.reshape(h, -1).view("<u4")[:, :w]
+        if len(data) < 66:
+            raise BadImage("truncated")
         masks = struct.unpack_from("<III", data, 54)
         if not all(masks):
             raise BadImage("bad masks")

@@ -104,6 +104,23 @@ def test_broken_images():
     assert M.process(None)[5] == "null" and M.process(b"")[5] == "empty" and M.process(b"GIF89a")[5] == "unknown format"
 
 
+def test_numbers_and_headers_that_no_image_has():
+    wide = (1 << 31) - 1
+    odd = [b"P2\n2 1\n255\n1 " + b"9" * 23, b"P2\n" + b"9" * 5000 + b" 1\n255\n1", b"P5\n999999999 999999999\n255\nxx", b"P3\n1 1\n255\n1 -2 3", b"P2\n1 1\n255\n1_0", b"P1\n2 1\n1 \xff", b"P4\n999999999 999999999\nx", b"P6\n1 1\n99999\nabc", b"P2\n3 1\n255\n1 2"]
+    head = lambda size, w, h, depth, packing: b"BM" + struct.pack("<IHHIIiiHHIIiiII", 58, 0, 0, 54, size, w, h, 1, depth, packing, 0, 0, 0, 0, 0)
+    odd += [head(40, 1, 1, 32, 3) + b"abcd", head(40, wide, wide, 24, 0) + b"abcd", head(40, 1, -wide - 1, 32, 3) + b"abcd", head(40, 1, 1, 8, 0) + b"abcd", head(40, -5, 1, 24, 0), head(13, 1, 1, 24, 0) + b"abcd"]
+    for data in odd:
+        assert M.process(data)[:5] == (None,) * 5 and M.process(data)[5], data[:40]
+    rng = random.Random(7)
+    good = [pnm(k, np.zeros((3, 5, 3 if k in (3, 6) else 1), int)) for k in range(1, 7)] + [head(40, 1, 1, 32, 3) + struct.pack("<III", 255, 65280, 1 << 31) + b"abcd"]
+    for data in good:
+        for _ in range(300):
+            b = bytearray(data)
+            for _ in range(rng.randint(1, 4)):
+                b[rng.randrange(min(70, len(b)))] = rng.choice([0, 45, 48, 57, 57, 57, 255, rng.randrange(256)])
+            M.process(bytes(b))
+
+
 def test_media_table(spark):
     a = np.random.default_rng(4).integers(0, 256, (9, 9, 3))
     rows = [(1, bytearray(pnm(6, a)), "t"), (2, None, "t"), (3, bytearray(b""), "t"), (None, bytearray(bmp(a)), None), (1, bytearray(pnm(6, a)), "t")]
