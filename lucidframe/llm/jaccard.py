@@ -6,7 +6,7 @@ are materialised. An n-gram that only one of two sets has changes one block, so
 from below, and split by side: a block of a that differs from b's holds one of a's own n-grams or was hit by one of b's.
 
 Pigeonhole. J >= t leaves a at most A = (|a| - t |b|) / (1 + t) n-grams that b lacks, and b at most B, likewise; A <= (1 - t) |a| for every
-partner. Each set emits its non-empty blocks in one order for all sets until it has p = (1 - t) s + s / 32 + X + 1 of them
+partner. Each set emits its non-empty blocks in one order for all sets until it has p = (1 - t) s + s / 16 + X + 1 of them
 (all, if s <= 32), X bounding the blocks of one set that the other's n-grams hit (more are less likely than 1e-11). Whichever of two similar sets stops
 first has at most A + X (or B + X) blocks that differ, so they share min(p_a - A, p_b - B) - X emitted blocks at least; pairs that share
 fewer are no candidates.
@@ -18,7 +18,8 @@ n-grams do. What counts as frequent changes cost only.
 
 Candidates. A block of up to SMALL sets gives its pairs, whose shared blocks are counted. A block of more gives a star: each set with the block's first set,
 so that a large group costs rows in proportion to its sets. Stars whose centres are candidates of each other are merged, and all pairs within
-a merged star are candidates. A block that more than HOT sets hold is dealt to cells, of which each two meet in a task of their own.
+a merged star are candidates. Of each set the stars that hold the fewest of its blocks are left out, as long as all their blocks are
+fewer than E s / (1 + t) - 2 (E = 1 / 16); the count that a pair's small blocks must reach is less by as many as its sets leave out, so that none is lost. A block that more than HOT sets hold is dealt to cells, of which each two meet in a task of their own.
 
 Verification is exact: the candidates of a neighbourhood, or the sets of a star, are brought together in buckets of bounded numbers and sizes, two buckets at
 a time, and their n-grams intersected. A pair that meets in several stars counts in the first. A bucket pair gives sums of links and a local
@@ -43,7 +44,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lucidframe.llm.common import c, components, ensure_checkpoint_dir, ensure_workers, fresh
@@ -59,7 +60,8 @@ OFTEN = 2  # sets of a chunk that an n-gram must occur in to be counted
 SMALL = 16  # sets of a block up to which it gives pairs
 HOT = 1_000_000  # sets of a cell of a frequent n-gram
 TASK_ROWS = 2_000_000  # emitted blocks of a task
-BUCKET, BUCKET_GRAMS = 256, 1_000_000  # sets and n-grams of a bucket that verification loads
+BUCKET, BUCKET_GRAMS = 1000, 1_000_000  # sets and n-grams of a bucket that verification loads
+EXTRA = 16  # a set emits one n-gram of so many more than it must
 CODES = 64  # size classes of a doubling
 PART = 44  # low bits of a key, of content
 EPS = 1e-9
@@ -77,21 +79,29 @@ def emitted(s: np.ndarray, t: float) -> np.ndarray:
     """p: blocks that sets of sizes s emit."""
     mean = s.astype(float) ** 2 / t / 2**BLOCK_BITS
     x = np.where(s <= 64, 1, np.ceil(mean + 10 * np.sqrt(mean)) + 2)
-    return np.where(s <= 32, s, np.floor((1 - t) * s + EPS) + s // 32 + x + 1).astype(np.int64)
+    return np.where(s <= 32, s, np.floor((1 - t) * s + EPS) + s // EXTRA + x + 1).astype(np.int64)
+
+
+def bounds(fp: Column) -> tuple[Column, Column]:
+    """Least and largest size of a set, by its fingerprint."""
+    code = F.shiftright(fp, 52).cast("double")
+    low, high = (F.ceil(F.pow(F.lit(2.0), (code + k) / CODES) - 1e-6).cast("double") for k in (0, 1))
+    return low, F.greatest(low, high - 1)
+
+
+def spare(fp: Column, t: float) -> Column:
+    """Blocks of a set that may go unseen."""
+    low = bounds(fp)[0]
+    return F.when(low <= 32, 0.0).otherwise(F.greatest(low / (EXTRA * (1 + t)) - 2, F.lit(0.0)))
 
 
 def enough(a: Column, b: Column, shared: Column, t: float) -> Column:
     """Whether two sets, known by fingerprints, share as many emitted blocks as similar ones must."""
 
-    def bounds(fp: Column) -> tuple[Column, Column]:
-        code = F.shiftright(fp, 52).cast("double")
-        low, high = (F.ceil(F.pow(F.lit(2.0), (code + k) / CODES) - 1e-6).cast("double") for k in (0, 1))
-        return low, F.greatest(low, high - 1)
-
     def least(low: Column, high: Column) -> Column:
         mean = high * high / (t * 2**BLOCK_BITS)
         x = F.when(high <= 64, 1.0).otherwise(F.ceil(mean + 10 * F.sqrt(mean)) + 2.0)
-        return F.when(high <= 32, low - 2).otherwise(F.least((1 - t) * low + low / 32 - 1, low - 2 * x))
+        return F.when(high <= 32, low - 2).otherwise(F.least((1 - t) * low + low / EXTRA - 1, low - 2 * x))
 
     (la, ha), (lb, hb) = bounds(a), bounds(b)
     need = F.least(least(la, ha) - (ha - t * lb) / (1 + t), least(lb, hb) - (hb - t * la) / (1 + t))
@@ -469,23 +479,31 @@ def verified(docs: DataFrame, classes: DataFrame, n: int, t: float, as_pairs: bo
     """fp, fp2, doc, root, links (a part of each) of the linked classes; or their pairs. docs: doc, text."""
     sc = docs.sparkSession.sparkContext
     docs = docs.where("text is not null")
-    rows = classes.agg(F.sum(F.col("size") * ((1 - t) + 1 / 32) + 5)).first()[0] or 0
+    rows = classes.agg(F.sum(F.col("size") * ((1 - t) + 1 / EXTRA) + 5)).first()[0] or 0
     parts = min(1 << 19, max(math.ceil(rows / TASK_ROWS), sc.defaultParallelism))
     found = blocks(docs, n, t, frequent_ngrams(docs, n), parts).mapInArrow(meeting(t), "a long, b long, n long, star boolean")
-    found = found.groupBy("a", "b", "star").agg(F.sum("n").alias("n")).withColumn("near", enough(F.col("a"), F.col("b"), F.col("n"), t)).where("star or near").checkpoint()
+    found = found.groupBy("a", "b", "star").agg(F.sum("n").alias("n"))
+    seen = F.col("n") + F.when(F.col("star"), 0.0).otherwise(spare(F.col("a"), t) + spare(F.col("b"), t))
+    found = found.withColumn("near", enough(F.col("a"), F.col("b"), seen, t)).where("star or near").checkpoint()
     grams = F.pow(F.lit(2.0), (F.shiftright("fp", 52) + 1) / CODES)
     buckets = F.greatest(F.ceil(F.count(F.lit(1)) / BUCKET), F.ceil(F.sum(grams) / BUCKET_GRAMS)).cast("int").alias("buckets")
 
     # stars, merged into the first star of which their centre is a candidate
     first = found.where("star and near and a <> b").groupBy(F.col("b").alias("a")).agg(F.min("a").alias("first"))
-    star = found.where("star").join(first, "a", "left").select(F.coalesce("first", "a").alias("star"), F.col("b").alias("fp")).distinct().checkpoint()
+    star = found.where("star").join(first, "a", "left").groupBy(F.coalesce("first", "a").alias("star"), F.col("b").alias("fp")).agg(F.sum("n").alias("n"))
+    weakest = F.sum("n").over(Window.partitionBy("fp").orderBy("n", "star").rowsBetween(Window.unboundedPreceding, 0))
+    star = star.withColumn("unseen", weakest).withColumn("left", F.col("unseen") <= spare(F.col("fp"), t)).checkpoint()
+    unseen = star.where("left").groupBy("fp").agg(F.max("unseen").alias("unseen"))
+    star = star.where("not left").select("star", "fp")
     stars = star.groupBy("fp").agg(F.collect_list("star").alias("stars"))
-    cut = star.join(star.groupBy("star").agg(buckets), "star").withColumn("u", F.pmod(F.xxhash64("fp"), "buckets")).withColumn("v", F.explode(F.sequence(F.lit(0), F.col("buckets") - 1)))
+    several = star.groupBy("star").agg(buckets, F.count(F.lit(1)).alias("n")).where("n > 1").select("star", "buckets")
+    cut = star.join(several, "star").withColumn("u", F.pmod(F.xxhash64("fp"), "buckets")).withColumn("v", F.explode(F.sequence(F.lit(0), F.col("buckets") - 1)))
     side = F.when(F.col("u") == F.col("v"), 0).when(F.col("u") < F.col("v"), 1).otherwise(2)
     in_stars = cut.select(F.xxhash64("star", F.least("u", "v")).alias("g"), F.xxhash64("star", F.greatest("u", "v")).alias("h"), "fp", F.lit(None).cast("array<long>").alias("partners"), side.alias("side"), "star")
 
     # pairs: a set's neighbourhood is that of its least neighbour; large ones are cut into buckets
-    pairs = found.where("not star").select("a", "b")
+    pairs = found.where("not star").join(unseen.toDF("a", "ua"), "a", "left").join(unseen.toDF("b", "ub"), "b", "left")
+    pairs = pairs.where(enough(F.col("a"), F.col("b"), F.col("n") + F.coalesce("ua", F.lit(0)) + F.coalesce("ub", F.lit(0)), t)).select("a", "b").checkpoint()
     both = pairs.union(pairs.select("b", "a")).toDF("fp", "o")
     label = both.groupBy("fp").agg(F.least("fp", F.min("o")).alias("label"))
     large = label.groupBy("label").agg(buckets).where("buckets > 1")
