@@ -68,6 +68,24 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, dot(a, b) / norm).otherwise(F.lit(0.0))
 
 
+def cosine_to(v: Column, query: list[float]) -> Column:
+    """Cosine similarity of vectors to one vector, by batches; 0 where a norm is 0, null for null."""
+    q = np.asarray(query, np.float64)
+    length = float(np.linalg.norm(q))
+
+    @F.pandas_udf("double")
+    def run(vectors: pd.Series) -> pd.Series:
+        there = vectors.notna().to_numpy()
+        out = np.full(len(vectors), np.nan)
+        if there.any():
+            x = np.stack(vectors[there].to_numpy()).astype(np.float64)
+            norm = np.sqrt((x * x).sum(axis=1)) * length
+            out[there] = np.divide((x * q).sum(axis=1), norm, out=np.zeros(len(x)), where=norm > 0)
+        return pd.Series(out).where(there, None)
+
+    return run(v)
+
+
 def normalise(v: Column) -> Column:
     norm = F.sqrt(dot(v, v))
     return F.when(norm > 0, F.transform(v, lambda x: (x / norm).cast("float"))).otherwise(v)
@@ -75,9 +93,12 @@ def normalise(v: Column) -> Column:
 
 def chunks(text: Column, words: int = CHUNK_WORDS, overlap: int = OVERLAP_WORDS) -> Column:
     """Windows of words, each overlapping the one before; none for a text of white space."""
-    w = F.filter(F.split(text, r"\s+"), lambda x: x != "")
-    n = F.size(w)
     step = words - overlap
-    last = F.greatest(F.ceil((n - words) / F.lit(step)).cast("int"), F.lit(0))
-    windows = F.transform(F.sequence(F.lit(0), last), lambda k: F.array_join(F.slice(w, k * step + 1, words), " "))
-    return F.when(n > 0, windows).otherwise(F.array().cast("array<string>"))
+
+    def windows(w: Column) -> Column:  # w is bound: a text is split once, however many windows it has
+        last = F.greatest(F.ceil((F.size(w) - words) / F.lit(step)).cast("int"), F.lit(0))
+        return F.transform(F.sequence(F.lit(0), last), lambda k: F.array_join(F.slice(w, k * step + 1, words), " "))
+
+    split = F.filter(F.split(text, r"\s+"), lambda x: x != "")
+    whole = F.filter(F.array(split), lambda w: F.size(w) > 0)
+    return F.coalesce(F.flatten(F.transform(whole, windows)), F.array().cast("array<string>"))

@@ -7,16 +7,16 @@ from __future__ import annotations
 
 import itertools
 import json
-import os
-import shutil
 import threading
 import time
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, fields
 
 from pyspark.sql import DataFrame
 
 from lucidframe.errors import SemanticError
+from lucidframe.operators.context import Ticker
 from lucidframe.sql.desugar import plain
 from lucidframe.sql.tokens import closing, tokenize, value_of
 
@@ -47,44 +47,87 @@ class Job:
 SCHEMA = "job_id string, status string, sql string, submitted_at timestamp, started_at timestamp, finished_at timestamp, rows long, command_tag string, error string, progress string, index_hits long, rows_pruned long, model_calls long, cache_hits long, extract_model_calls long, result_path string"
 
 
+class Folder:
+    """Small files below a path, on whatever file system Hadoop finds it."""
+
+    def __init__(self, spark, path: str):
+        self.jvm, self.gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+        self.conf = spark.sparkContext._jsc.hadoopConfiguration()
+        base = self.jvm.org.apache.hadoop.fs.Path(path)
+        self.fs = base.getFileSystem(self.conf)
+        self.path = self.fs.makeQualified(base).toString()
+        self.fs.mkdirs(base)
+
+    def at(self, name: str):
+        return self.jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+
+    def names(self) -> list[str]:
+        return sorted(x.getPath().getName() for x in self.fs.listStatus(self.at(".")))
+
+    def read(self, name: str) -> str | None:
+        if not self.fs.exists(self.at(name)):
+            return None
+        source = self.fs.open(self.at(name))
+        try:
+            return bytes(source.readAllBytes()).decode()
+        finally:
+            source.close()
+
+    def write(self, name: str, text: str) -> None:
+        """Written aside and renamed, so that no reader sees a part."""
+        new = self.at(f"{name}.{uuid.uuid4().hex[:8]}.new")
+        out = self.fs.create(new, True)
+        try:
+            out.write(bytearray(text.encode()))
+        finally:
+            out.close()
+        rename = self.jvm.org.apache.hadoop.fs.Options.Rename
+        how = self.gateway.new_array(rename, 1)
+        how[0] = rename.OVERWRITE
+        self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), self.conf).rename(new, self.at(name), how)
+
+    def drop(self, name: str) -> None:
+        self.fs.delete(self.at(name), True)
+
+
 class Jobs:
     """make(): an engine for one job; folder: where jobs live, on a file system all executors see."""
 
     def __init__(self, spark, make, folder: str, most: int = 4):
-        self.spark, self.make, self.folder = spark, make, folder
+        self.spark, self.make = spark, make
+        self.files = Folder(spark, folder)
+        self.folder = self.files.path
+        self.logs: dict[str, list[str]] = {}
         self.jobs: dict[str, Job] = {}
         self.lock = threading.RLock()
         self.pool = ThreadPoolExecutor(most)
         self.numbers = itertools.count(1)
-        os.makedirs(folder, exist_ok=True)
         self.recover()
 
     def recover(self) -> None:
         known = {f.name for f in fields(Job)}
-        for name in sorted(os.listdir(self.folder)):
-            path = f"{self.folder}/{name}/job.json"
-            if not os.path.exists(path):
+        for name in self.files.names():
+            text = self.files.read(f"{name}/job.json")
+            if text is None:
                 continue
-            with open(path) as f:
-                job = Job(**{k: v for k, v in json.load(f).items() if k in known})
+            job = Job(**{k: v for k, v in json.loads(text).items() if k in known})
             if job.status not in FINAL:
                 job.status, job.error, job.result_path = "interrupted", "the server stopped while the job ran", None
                 job.finished_at = time.time()
-                shutil.rmtree(f"{self.folder}/{name}/result", ignore_errors=True)
+                self.files.drop(f"{name}/result")
                 self.save(job)
             self.jobs[job.job_id] = job
 
     def save(self, job: Job) -> None:
-        path = f"{self.folder}/{job.job_id}"
-        os.makedirs(path, exist_ok=True)
-        with open(f"{path}/job.json.new", "w") as f:
-            json.dump(asdict(job), f)
-        os.replace(f"{path}/job.json.new", f"{path}/job.json")
+        self.files.write(f"{job.job_id}/job.json", json.dumps(asdict(job)))
 
     def note(self, job: Job, line: str) -> None:
-        job.progress = line
-        with open(f"{self.folder}/{job.job_id}/progress.log", "a") as f:
-            f.write(line + "\n")
+        with self.lock:
+            if line == job.progress:
+                return
+            job.progress = line
+            self.logs.setdefault(job.job_id, []).append(line)
+            self.files.write(f"{job.job_id}/progress.log", "".join(x + "\n" for x in self.logs[job.job_id]))
 
     def submit(self, sql: str) -> str:
         with self.lock:
@@ -107,26 +150,25 @@ class Jobs:
         try:
             engine = self.make()
             self.note(job, "started")
-            df = engine.sql(job.sql)
-            if tokenize(job.sql)[0].word not in DDL:
-                path = f"{self.folder}/{job.job_id}/result"
-                df.write.parquet(path)
-                rows = self.spark.read.schema(df.schema).parquet(path).count()
+            with Ticker(engine.ctx, lambda line: job.status == "running" and self.note(job, line)):
+                df = engine.sql(job.sql)
+                if tokenize(job.sql)[0].word not in DDL:
+                    path = f"{self.folder}/{job.job_id}/result"
+                    df.write.parquet(path)
+                    rows = self.spark.read.schema(df.schema).parquet(path).count()
             counters = dict(engine.ctx.counters)
         except Exception as e:
             error = str(e)[:2000] or type(e).__name__
         with self.lock:
             if job.status == "cancelled":  # a cancel beats the end
-                shutil.rmtree(f"{self.folder}/{job.job_id}/result", ignore_errors=True)
+                self.files.drop(f"{job.job_id}/result")
                 return
             job.status, job.error, job.finished_at = ("failed" if error else "succeeded"), error, time.time()
             if not error:
                 job.rows, job.result_path = rows, path
                 job.command_tag = f"SELECT {rows}" if path else " ".join(t.word for t in tokenize(job.sql)[:2])
-            extract = "CAST" in job.sql.upper() or "EXTRACT" in job.sql.upper()
-            job.index_hits, job.rows_pruned, job.cache_hits = (int(counters.get(k, 0)) for k in ("index_hits", "rows_pruned", "cache_hits"))
-            job.extract_model_calls = int(counters.get("model_calls", 0)) if extract else 0
-            job.model_calls = 0 if extract else int(counters.get("model_calls", 0))
+            for k in ("index_hits", "rows_pruned", "model_calls", "cache_hits", "extract_model_calls"):
+                setattr(job, k, int(counters.get(k, 0)))
             self.note(job, job.status)
             self.save(job)
 
@@ -143,7 +185,10 @@ class Jobs:
 
     def wait(self, job_id: str, seconds: float = 120) -> Job:
         end = time.time() + seconds
-        while self.jobs[job_id].status not in FINAL and time.time() < end:
+        while time.time() < end:
+            with self.lock:  # a status is seen when it is saved
+                if self.jobs[job_id].status in FINAL:
+                    break
             time.sleep(0.05)
         return self.jobs[job_id]
 

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import logging
 import os
+import threading
+import time
 import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -17,6 +20,7 @@ from pyspark.sql import functions as F
 from lucidframe.model.base import Failure, Provider, Request
 from lucidframe.operators.types import TypeRegistry
 
+PLAN, STAGE, MODEL = (logging.getLogger(f"lucidframe.{x}") for x in ("plan", "stage", "model"))
 IN_BATCH = 64
 _ids = itertools.count(1)
 
@@ -46,7 +50,7 @@ class Semantic:
     spark: SparkSession
     model: Provider
     root: str | None = None
-    parallel: int = 8  # tasks that call the model at a time
+    parallel: int | None = None  # tasks that call the model at a time; the cluster's cores where not given
     types: TypeRegistry = field(default_factory=TypeRegistry)
     indexes: dict = field(default_factory=dict)
     counters: Counter = field(default_factory=Counter)
@@ -55,8 +59,25 @@ class Semantic:
 
     def __post_init__(self):
         share_package(self.spark)
+        self.parallel = self.parallel or max(1, self.spark.sparkContext.defaultParallelism)
+        self.answered = self.spark.sparkContext.accumulator(0)
         self.root = (self.root or f"{shared_folder(self.spark)}/semantic-{uuid.uuid4().hex}").rstrip("/")
 
+    def planned(self, line: str) -> None:
+        """A semantic stage of the statement's plan."""
+        PLAN.info(line)
+        self.plan.append(line)
+
+    def progress(self) -> str:
+        """What the running statement has done so far; tasks report their calls when they end."""
+        done = {k: v for k, v in self.counters.items() if v}
+        answered = int(self.answered.value)
+        tracker = self.spark.sparkContext.statusTracker()
+        running = [i for i in map(tracker.getStageInfo, tracker.getActiveStageIds()) if i]
+        parts = [f"{answered} calls answered"] * bool(answered) + [f"{k} {v:g}" for k, v in done.items()]
+        tasks = f"tasks {sum(i.numCompletedTasks for i in running)} of {sum(i.numTasks for i in running)}"
+        return ", ".join(parts + [tasks] * bool(running and self.plan))
+
     def path_exists(self, path: str) -> bool:
         jvm = self.spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
@@ -65,10 +86,37 @@ class Semantic:
     def stored(self, df: DataFrame, name: str) -> DataFrame:
         """df written once and read back: models are not called again by retries or second uses."""
         path = f"{self.root}/stages/{next(_ids)}-{name}-{uuid.uuid4().hex[:8]}"
+        begun = time.perf_counter()
         df.write.parquet(path)
+        STAGE.info("%s written in %.2f s", name, time.perf_counter() - begun)
         return self.spark.read.schema(df.schema).parquet(path)
 
 
+class Ticker:
+    """Tells the progress of a context's statement every half second, while it changes."""
+
+    def __init__(self, ctx: Semantic, tell: Callable[[str], object], seconds: float = 0.5):
+        self.ctx, self.tell, self.seconds = ctx, tell, seconds
+        self.over = threading.Event()
+        self.thread = threading.Thread(target=self.run, daemon=True)
+
+    def run(self) -> None:
+        last = ""
+        while not self.over.wait(self.seconds):
+            line = self.ctx.progress() if self.ctx.plan else ""
+            if line and line != last:
+                self.tell(line)
+                last = line
+
+    def __enter__(self) -> Ticker:
+        self.thread.start()
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.over.set()
+        self.thread.join()
+
+
 VERDICT = "h long, value string"
 
 
@@ -96,7 +144,7 @@ class Verdicts:
 def ask(ctx: Semantic, requests: DataFrame, build: Callable[[str, object], Request], parse: Callable[[str], str | None], extra: str | None = None, name: str = "answers") -> DataFrame:
     """h, value: a model call for each row of requests (h, input and perhaps one column more, given to build()); value is null where
     the call failed or its answer is unusable. Stored before it is used."""
-    model = ctx.model
+    model, answered = ctx.model, ctx.answered
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,7 +152,12 @@ def ask(ctx: Semantic, requests: DataFrame, build: Callable[[str, object], Reque
                 part = batch.slice(at, IN_BATCH)
                 more = part.column(2).to_pylist() if extra else [None] * part.num_rows
                 asked = [build(t, m) for t, m in zip(part.column(1).to_pylist(), more)]
-                values = [None if isinstance(a, Failure) else parse(a) for a in model.complete(asked)]
+                answers = model.complete(asked)
+                answered.add(len(answers))
+                for a in answers:
+                    if isinstance(a, Failure):
+                        MODEL.warning("%s: %s", model.model_id, a.reason)
+                values = [None if isinstance(a, Failure) else parse(a) for a in answers]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(values, pa.string())], ["h", "value"])
 
     columns = ["h", "input"] + ([extra] if extra else [])

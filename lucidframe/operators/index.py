@@ -6,12 +6,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lucidframe.errors import SemanticError
-from lucidframe.functions.columns import CHUNK_WORDS, OVERLAP_WORDS, chunks, cosine, doc_hash, normalise
+from lucidframe.functions.columns import CHUNK_WORDS, OVERLAP_WORDS, chunks, cosine_to, doc_hash, normalise
 from lucidframe.operators.context import Semantic
 
 FETCH = 256  # chunks that a pre-filter considers
@@ -101,9 +103,9 @@ def refresh_index(ctx: Semantic, df: DataFrame, table: str, column: str) -> int:
 
 def search(ctx: Semantic, index: Index, query: str, fetch: int | None = FETCH, floor: float | None = FLOOR) -> DataFrame:
     """h, chunk, text, score of the nearest chunks."""
-    vector = F.array(*[F.lit(float(x)) for x in ctx.model.embed([query])[0]])
+    vector = ctx.model.embed([query])[0]
     ctx.counters["embed_calls"] += 1
-    hits = index.chunks(ctx).select("h", "chunk", "text", cosine(F.col("vector"), vector).alias("score"))
+    hits = index.chunks(ctx).select("h", "chunk", "text", cosine_to(F.col("vector"), vector).alias("score"))
     if floor is not None:
         hits = hits.where(F.col("score") >= floor)
     if fetch is not None:
@@ -124,6 +126,21 @@ def doc_vectors(ctx: Semantic, index: Index) -> DataFrame:
 
 
 def mean_vectors(rows: DataFrame, key: str = "h", vector: str = "vector") -> DataFrame:
-    each = rows.select(key, F.posexplode(vector).alias("p", "x")).groupBy(key, "p").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    v = F.transform(F.array_sort(F.collect_list(F.struct("p", "x"))), lambda s: s["x"])
-    return each.groupBy(key).agg(v.alias("v")).select(key, normalise(F.col("v")).alias("v"))
+    mean = Summarizer.mean(array_to_vector(F.col(vector).cast("array<double>")))
+    return rows.where(F.col(vector).isNotNull()).groupBy(key).agg(vector_to_array(mean).alias("v")).select(key, normalise(F.col("v")).alias("v"))
+
+
+def open_indexes(ctx: Semantic) -> list[str]:
+    """Open every index below the root that the session's model can use; their names."""
+    jvm, sc = ctx.spark.sparkContext._jvm, ctx.spark.sparkContext
+    base = jvm.org.apache.hadoop.fs.Path(f"{ctx.root}/index")
+    fs = base.getFileSystem(sc._jsc.hadoopConfiguration())
+    found = []
+    for status in fs.listStatus(base) if fs.exists(base) else []:
+        name = status.getPath().getName()
+        table, _, column = name.rpartition(".")
+        meta = _meta(ctx, f"{ctx.root}/index/{name}") if table else None
+        if meta and meta["embed_id"] == ctx.model.embed_id:
+            open_index(ctx, table, column)
+            found.append(name)
+    return sorted(found)

@@ -6,6 +6,7 @@ row whose call fails gets the operator's failure value; the query goes on.
 
 from __future__ import annotations
 
+import functools
 import json
 import math
 import uuid
@@ -28,6 +29,7 @@ PER_MISS = 4
 MEANS, CLASSIFY, RELEVANCE, CLUSTER, EXTRACT = "means-v2", "classify-v1", "relevance-v1", "cluster-v1", "extract-v1"
 SIMILARITY = 0.9
 CENTRAL = 5
+PREFIX = 4096  # vectors that the driver groups at a time, and representatives that are sent to tasks at a time
 
 
 def _means_request(condition: str, excerpts: bool = False):
@@ -67,7 +69,7 @@ def _decided(ctx: Semantic, requests: DataFrame, condition: str, excerpts: bool
 
 def sem_filter(ctx: Semantic, df: DataFrame, text: Column, condition: str, index: Index | None = None, recall: float | None = None) -> DataFrame:
     """Rows whose text satisfies the condition. With an index, only texts with near chunks or unknown to it are asked."""
-    ctx.plan.append(f"SemanticFilter [{condition}]" + (f" <- IndexScan {index.table}({index.column})" + (f" recall >= {recall:g}" if recall else f" floor {FLOOR:g}") if index else ""))
+    ctx.planned(f"SemanticFilter [{condition}]" + (f" <- IndexScan {index.table}({index.column})" + (f" recall >= {recall:g}" if recall else f" floor {FLOOR:g}") if index else ""))
     if ctx.dry:
         return df
     rows, h = _hashed(df, text)
@@ -145,7 +147,7 @@ def sem_classify(ctx: Semantic, df: DataFrame, text: Column, conditions: list[st
     False where the guard isn't true or the text is null; null where the answer failed.
     """
     conditions_once = list(dict.fromkeys(conditions))
-    ctx.plan.append(f"SemanticClassify {conditions_once}")
+    ctx.planned(f"SemanticClassify {conditions_once}")
     if ctx.dry:
         return df.withColumns({n: F.lit(None).cast("boolean") for n in names})
     on = text.isNotNull() if guard is None else text.isNotNull() & F.coalesce(guard, F.lit(False))
@@ -199,7 +201,7 @@ def sem_classify(ctx: Semantic, df: DataFrame, text: Column, conditions: list[st
 
 def sem_rank(ctx: Semantic, df: DataFrame, text: Column, query: str, index: Index, name: str = "score") -> DataFrame:
     """Rows whose text the index has, with the model's score in [0, 1] of its nearest excerpts; null where it failed."""
-    ctx.plan.append(f"SemanticRank [{query}] every indexed text of the rows is scored")
+    ctx.planned(f"SemanticRank [{query}] every indexed text of the rows is scored")
     if ctx.dry:
         return df.withColumn(name, F.lit(None).cast("double"))
     rows, h = _hashed(df, text)
@@ -225,7 +227,7 @@ def sem_cluster(ctx: Semantic, df: DataFrame, text: Column, index: Index, k: int
     """df with the name of each text's group by meaning; null for null texts and texts that the index lacks."""
     if k is not None and k < 1:
         raise SemanticError("MEANING OF ... INTO needs a positive number of groups")
-    ctx.plan.append(f"SemanticCluster <= {k or 32} model calls")
+    ctx.planned(f"SemanticCluster <= {k or 32} model calls")
     if ctx.dry:
         return df.withColumn(name, F.lit(None).cast("string"))
     rows, h = _hashed(df, text)
@@ -306,17 +308,26 @@ def kmeans(ctx: Semantic, vectors: DataFrame, k: int | None, seed: int = 1) -> D
         data.unpersist()
 
 
+def units(vectors: np.ndarray) -> np.ndarray:
+    norm = np.linalg.norm(vectors, axis=1, keepdims=True)
+    return np.divide(vectors, norm, out=np.zeros_like(vectors), where=norm > 0)
+
+
+def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Similarities of unit vectors, to nine places, so that ties don't depend on how they are computed."""
+    return np.round(a @ b.T, 9)
+
+
 def greedy_groups(vectors: np.ndarray, similarity: float) -> np.ndarray:
     """Place of each vector's representative: the most similar one so far, if similar enough, else itself."""
-    norm = np.linalg.norm(vectors, axis=1, keepdims=True)
-    unit = np.divide(vectors, norm, out=np.zeros_like(vectors), where=norm > 0)
+    unit = units(vectors)
     reps = np.empty_like(unit)
     who = np.empty(len(unit), np.int64)
     out = np.empty(len(unit), np.int64)
     n = 0
     for i, v in enumerate(unit):
         if n:
-            s = reps[:n] @ v
+            s = likeness(v[None], reps[:n])[0]
             best = n - 1 - int(np.argmax(s[::-1]))  # the last of equals
             if s[best] >= similarity - 1e-9:
                 out[i] = who[best]
@@ -326,6 +337,51 @@ def greedy_groups(vectors: np.ndarray, similarity: float) -> np.ndarray:
     return out
 
 
+def greedy_representatives(ctx: Semantic, vectors: DataFrame, similarity: float) -> DataFrame:
+    """h, rep of every vector (h, f, v) that has a representative: greedy_groups() in the order of h, over the cluster.
+
+    Round by round, the first PREFIX vectors that no representative covers are grouped on the driver; those of them that are representatives are sent to
+    all tasks, where every later vector remembers its most similar one and covered vectors leave the rest. A vector can become a representative only before
+    it is covered, so that a round's choice is final: results are those of one sequential pass. No task holds more than PREFIX vectors besides its own batch.
+    """
+    left, parts = vectors, []
+    while True:
+        first = left.orderBy("h").limit(PREFIX).toArrow()
+        if not first.num_rows:
+            break
+        h, v = first.column("h").to_numpy(), np.stack(first.column("v").to_numpy()).astype(np.float64)
+        chosen = np.unique(greedy_groups(v, similarity))
+        last = int(h[-1])
+        shared = ctx.spark.sparkContext.broadcast((h[chosen], first.column("f").to_numpy()[chosen], units(v[chosen])))
+
+        def scored(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+            at, _, reps = shared.value
+            for batch in batches:
+                for k in range(0, batch.num_rows, 1000):
+                    part = batch.slice(k, 1000)
+                    s = likeness(units(np.stack(part.column("v").to_numpy(zero_copy_only=False)).astype(np.float64)), reps)
+                    s[at[None, :] > part.column("h").to_numpy()[:, None]] = -2  # representatives that come later
+                    best = s.shape[1] - 1 - np.argmax(s[:, ::-1], axis=1)
+                    yield part, best, s[np.arange(len(s)), best]
+
+        def remembered(batches: Iterator[pa.RecordBatch], shared=shared, scored=scored) -> Iterator[pa.RecordBatch]:
+            for part, best, s in scored(batches):
+                near = pa.array(np.flatnonzero(s >= similarity - 1e-9))
+                best = best[near.to_numpy()]
+                yield pa.RecordBatch.from_arrays([part.column("h").take(near), pa.array(s[near.to_numpy()]), pa.array(shared.value[0][best]), pa.array(shared.value[1][best])], ["h", "s", "at", "rep"])
+
+        def uncovered(batches: Iterator[pa.RecordBatch], scored=scored) -> Iterator[pa.RecordBatch]:
+            for part, _, s in scored(batches):
+                yield part.filter(pa.array(s < similarity - 1e-9))
+
+        parts.append(ctx.stored(vectors.mapInArrow(remembered, "h long, s double, at long, rep long"), "near"))
+        left = ctx.stored(left.where(F.col("h") > last).mapInArrow(uncovered, left.schema), "uncovered")
+    if not parts:
+        return vectors.select("h", F.col("f").alias("rep")).limit(0)
+    every = functools.reduce(DataFrame.unionByName, parts)
+    return every.groupBy("h").agg(F.max(F.struct("s", "at", "rep"))["rep"].alias("rep"))
+
+
 def sem_distinct_key(ctx: Semantic, df: DataFrame, text: Column, index: Index, similarity: float = SIMILARITY, name: str = "key") -> DataFrame:
     """df with a key that near-duplicate texts share: the hash of their group's representative, texts taken in order of their hash.
 
@@ -333,24 +389,14 @@ def sem_distinct_key(ctx: Semantic, df: DataFrame, text: Column, index: Index, s
     """
     if not 0 < similarity <= 1:
         raise SemanticError("SIMILARITY must be in (0, 1]")
-    ctx.plan.append(f"SemanticDistinct similarity >= {similarity:g}, no model calls")
+    ctx.planned(f"SemanticDistinct similarity >= {similarity:g}, no model calls")
     if ctx.dry:
         return df.withColumn(name, F.lit(None).cast("string"))
     rows, h = _hashed(df, text)
     asked = ctx.stored(_requests(rows, text, h).withColumn("f", fnv1a64(F.col("input"))).select("h", "f"), "texts")
-    vectors = asked.join(doc_vectors(ctx, index), "h").select("h", "f", "v")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [b for b in batches if b.num_rows]
-        if not parts:
-            return
-        table = pa.Table.from_batches(parts)
-        v = np.stack(table.column("v").to_numpy()).astype(np.float64)
-        f = table.column("f").to_numpy()
-        yield pa.RecordBatch.from_arrays([table.column("h").combine_chunks(), pa.array(f[greedy_groups(v, similarity)])], ["h", "rep"])
-
-    # greedy choice is sequential: the distinct texts' vectors, not the rows, pass through one task
-    groups = ctx.stored(vectors.repartition(1).sortWithinPartitions("h").mapInArrow(run, "h long, rep long"), "distinct")
+    vectors = ctx.stored(asked.join(doc_vectors(ctx, index), "h").select("h", "f", "v"), "vectors")
+    groups = vectors.select("h", "f").join(greedy_representatives(ctx, vectors, similarity), "h", "left").select("h", F.coalesce("rep", "f").alias("rep"))
+    groups = ctx.stored(groups, "distinct")
     ctx.counters.update({"groups": groups.select("rep").distinct().count(), "unindexed_rows": asked.count() - groups.count()})
     keys = asked.join(groups, "h", "left").select(F.col("h").alias(f"{h}v"), hex16(F.coalesce("rep", "f")).alias(name))
     return rows.join(keys, F.col(h) == F.col(f"{h}v"), "left").drop(h, f"{h}v")
@@ -365,7 +411,7 @@ def sem_extract(ctx: Semantic, df: DataFrame, text: Column, kind: SemanticType,
         kind.named(f)
     units = kind.units(list(names))
     fields = [f for u in units for f in u]
-    ctx.plan.append(f"SemanticExtract {kind.name} [{', '.join(f.name for f in fields)}]")
+    ctx.planned(f"SemanticExtract {kind.name} [{', '.join(f.name for f in fields)}]")
     if ctx.dry:
         return df.withColumns({n: F.lit(None).cast(kind.named(f).type.spark()) for f, n in names.items()})
     rows, h = _hashed(df, text)
@@ -398,7 +444,7 @@ def sem_extract(ctx: Semantic, df: DataFrame, text: Column, kind: SemanticType,
         return json.dumps(out)
 
     answers = ask(ctx, known.where(F.size("pending") > 0), build, parse, "pending", "extract")
-    ctx.counters["model_calls"] += answers.count()
+    ctx.counters["extract_model_calls"] += answers.count()
     ctx.counters["rows_failed"] += answers.where("value is null").count()
     given = answers.withColumn("given", F.from_json("value", "map<string,string>")).drop("value")
     unit = lambda i: F.when(F.array_contains("pending", i), F.element_at("given", str(i)))

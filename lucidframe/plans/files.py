@@ -83,8 +83,7 @@ def _jobs(spark, d) -> JobEngine:
     def make() -> Engine:
         return Engine(Semantic(spark, e.ctx.model, e.ctx.root, types=e.ctx.types, indexes=e.ctx.indexes))
 
-    folder = _folder(spark)
-    return JobEngine(e, Jobs(spark, make, folder.removeprefix("file:").replace("///", "/")))
+    return JobEngine(e, Jobs(spark, make, _folder(spark)))
 
 
 def job_result(spark, d):

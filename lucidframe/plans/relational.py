@@ -45,7 +45,7 @@ SQL: dict[str, str] = {
     "join_right": "SELECT c_custkey, o_orderkey FROM orders RIGHT JOIN customer ON o_custkey = c_custkey AND o_totalprice > 300000",
     "join_full": "SELECT s.s_suppkey, c.c_custkey FROM supplier s FULL JOIN customer c ON s.s_suppkey = c.c_custkey AND c.c_nationkey = s.s_nationkey",
     "join_semi": "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)",
-    "join_anti": "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+    "join_anti": "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 250000)",
     "join_cross": "SELECT r_name, n_name FROM region CROSS JOIN nation",
     "join_theta": "SELECT a.s_suppkey AS low, b.s_suppkey AS high FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_acctbal < b.s_acctbal",
     "join_range": "SELECT e.event_id, b.lo FROM events e JOIN (VALUES (0, 10), (10, 50), (50, 1000)) AS b(lo, hi) ON e.value >= b.lo AND e.value < b.hi",
@@ -80,7 +80,7 @@ SQL: dict[str, str] = {
     "union_all": "SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier",
     "union": "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier",
     "intersect": "SELECT c_custkey AS k FROM customer INTERSECT SELECT s_suppkey FROM supplier",
-    "except": "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders",
+    "except": "SELECT o_custkey AS k FROM orders EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 250000",
     "intersect_all": "SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier",
     "except_all": "SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier",
     "str_funcs": "SELECT c_custkey, upper(c_name) AS u, lower(c_name) AS l, CAST(length(c_name) AS BIGINT) AS n, substr(c_name, 1, 4) AS s, replace(c_name, 'Customer', 'C') AS r, trim(concat('  ', c_name, ' ')) AS t, reverse(c_name) AS v, repeat('ab', 2) AS p, lpad(CAST(c_nationkey AS STRING), 4, '0') AS z, c_name || '!' AS x, concat_ws('-', c_name, 'q') AS w, left(c_name, 3) AS f, CAST(instr(c_name, '0') AS BIGINT) AS i FROM customer",
@@ -110,7 +110,9 @@ def array_agg_sorted(spark, d):
 
 
 def approx_distinct(spark, d):
-    return _t(spark, d, "orders").agg(F.approx_count_distinct("o_custkey", 0.01).alias("customers"))
+    """Whether the estimate is within five of its standard errors of the count."""
+    n, m = F.approx_count_distinct("o_custkey", 0.01), F.count_distinct("o_custkey")
+    return _t(spark, d, "orders").agg((F.abs(n - m) <= 0.05 * m).alias("close"), m.alias("customers"))
 
 
 def join_broadcast(spark, d):
@@ -125,7 +127,7 @@ def distinct_on(spark, d):
 
 def array_funcs(spark, d):
     e = _t(spark, d, "embeddings")
-    return e.select("vec_id", F.size("embedding").cast("long").alias("n"), F.round(F.element_at("embedding", 1).cast("double"), 6).alias("first"), F.array_contains(F.transform(F.slice("embedding", 1, 4), lambda x: x > 0), True).alias("any_positive"))
+    return e.select("vec_id", F.size("embedding").cast("long").alias("n"), F.round(F.element_at("embedding", 1).cast("double"), 6).alias("first"), F.size(F.filter("embedding", lambda x: x > 0)).cast("long").alias("positive"), F.round(F.array_max("embedding").cast("double"), 6).alias("top"), F.array_position(F.transform("embedding", lambda x: x > 0), True).alias("place"))
 
 
 def explode(spark, d):
@@ -138,12 +140,17 @@ def map_funcs(spark, d):
 
 
 def json_extract(spark, d):
-    return _t(spark, d, "events").select("event_id", F.length("props").cast("long").alias("n"), F.size(F.json_object_keys("props")).cast("long").alias("keys"))
+    return _t(spark, d, "events").select("event_id", F.length("props").cast("long").alias("n"), F.size(F.json_object_keys("props")).cast("long").alias("keys"), F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
 def qualify(spark, d):
-    w = W.partitionBy("n_regionkey").orderBy("n_name")
-    return _t(spark, d, "nation").select("n_nationkey", "n_regionkey", F.row_number().over(w).alias("r")).where("r <= 2").select("n_regionkey", "n_nationkey")
+    """By the engine, which rewrites QUALIFY."""
+    from lucidframe.model.base import Mock
+    from lucidframe.operators.context import Semantic
+    from lucidframe.sql.engine import Engine
+
+    _t(spark, d, "nation").createOrReplaceTempView("nation")
+    return Engine(Semantic(spark, Mock())).sql("SELECT n_regionkey, n_nationkey FROM nation QUALIFY row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) <= 2")
 
 
 def pivot(spark, d):
@@ -157,13 +164,13 @@ def unpivot(spark, d):
 PYTHON = {
     "percentile": (percentile, "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.9), 6) AS p90 FROM events GROUP BY event_type"),
     "array_agg_sorted": (array_agg_sorted, "SELECT n_regionkey, array_to_string(list_sort(list(n_name)), ',') AS names FROM nation GROUP BY n_regionkey"),
-    "approx_distinct": (approx_distinct, None),
+    "approx_distinct": (approx_distinct, "SELECT true AS close, count(DISTINCT o_custkey) AS customers FROM orders"),
     "join_broadcast": (join_broadcast, "SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey"),
     "distinct_on": (distinct_on, "SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey FROM orders ORDER BY o_custkey, o_totalprice DESC, o_orderkey"),
-    "array_funcs": (array_funcs, "SELECT vec_id, len(embedding) AS n, round(embedding[1]::DOUBLE, 6) AS first, list_contains(list_transform(embedding[1:4], lambda x: x > 0), true) AS any_positive FROM embeddings"),
+    "array_funcs": (array_funcs, "SELECT vec_id, len(embedding) AS n, round(embedding[1]::DOUBLE, 6) AS first, len(list_filter(embedding, lambda x: x > 0)) AS positive, round(list_max(embedding)::DOUBLE, 6) AS top, coalesce(list_position(list_transform(embedding, lambda x: x > 0), true), 0)::BIGINT AS place FROM embeddings"),
     "explode": (explode, "SELECT doc_id, unnest(string_split(source, 'c')) AS part FROM documents"),
     "map_funcs": (map_funcs, "SELECT n_nationkey, n_regionkey::BIGINT AS r, 2::BIGINT AS n FROM nation"),
-    "json_extract": (json_extract, "SELECT event_id, length(props)::BIGINT AS n, len(json_keys(props))::BIGINT AS keys FROM events"),
+    "json_extract": (json_extract, "SELECT event_id, length(props)::BIGINT AS n, len(json_keys(props))::BIGINT AS keys, (props ->> '$.k')::BIGINT AS k FROM events"),
     "qualify": (qualify, "SELECT n_regionkey, n_nationkey FROM nation QUALIFY row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) <= 2"),
     "pivot": (pivot, "SELECT o_custkey AS k, count(*) FILTER (WHERE o_orderstatus = 'F') AS F, count(*) FILTER (WHERE o_orderstatus = 'O') AS O, count(*) FILTER (WHERE o_orderstatus = 'P') AS P FROM orders GROUP BY o_custkey"),
     "unpivot": (unpivot, "SELECT c_custkey, 'nation' AS what, c_nationkey::BIGINT AS value FROM customer UNION ALL SELECT c_custkey, 'size', length(c_name)::BIGINT FROM customer"),

@@ -93,12 +93,12 @@ def vector_topk(spark, d):
 def doc_vectors(spark, d):
     e = spark.read.parquet(f"{d}/embeddings.parquet")
     v = mean_vectors(e.select(F.col("label").cast("long").alias("h"), "embedding"), "h", "embedding")
-    return v.select(F.col("h").alias("label"), F.round(v["v"][0].cast("double"), 5).alias("x0"), F.round(v["v"][63].cast("double"), 5).alias("x63"))
+    return v.select(F.col("h").alias("label"), F.posexplode("v").alias("p", "x")).select("label", (F.col("p") + 1).cast("long").alias("p"), F.round(F.col("x").cast("double"), 5).alias("x"))
 
 
 def prefilter_keep(spark, d):
-    """Texts with a chunk near the query's theme, by exact search over the whole index."""
-    e = engine(spark, d, index=True, words=200_000)
+    """Texts with a chunk near the query's theme, by exact search over all chunks of the index."""
+    e = engine(spark, d, index=True)
     hits = search(e.ctx, e.ctx.indexes["documents", "text"], "token", fetch=None, floor=0.35)
     docs = spark.read.parquet(f"{d}/documents.parquet")
     return docs.join(hits.select("h").distinct(), F.xxhash64("text") == F.col("h"), "left_semi").select("doc_id")
@@ -122,8 +122,28 @@ def index_refresh(spark, d):
     return index.members(e.ctx).agg(F.count(F.lit(1)).alias("docs"))
 
 
+GROUPED = "SELECT min(doc_id) AS first, count(*) AS n FROM documents GROUP BY {}"
+
+
 def meaning_auto_k(spark, d):
-    return engine(spark, d, True).sql("SELECT count(*) AS n FROM documents GROUP BY MEANING OF text AS topic")
+    """The number of groups by silhouette: the texts lie on one point a theme."""
+    return engine(spark, d, True, 200_000).sql(GROUPED.format("MEANING OF text AS topic"))
+
+
+def means_multi_chunk(spark, d):
+    """Long texts of several chunks: the index finds those with a chunk near the condition, the model reads their nearest three."""
+    return engine(spark, d, True, 32).sql("SELECT doc_id FROM documents WHERE n_chars > 2000 AND text MEANS 'token'")
+
+
+def recall_threshold(spark, d):
+    """Threshold and estimated recall by target, for the positives' scores of a labelled sample: some lost, some not indexed."""
+    from lucidframe.operators.semantic import threshold_for
+
+    rows = spark.read.parquet(f"{d}/labels.parquet").where("quality = 1").select(F.col("doc_id") % 50).collect()  # a labelled sample is read by the driver
+    lost, unindexed = (sum(r[0] == k for r in rows) for k in (7, 11))
+    scored = [0.35 + r[0] / 100 for r in rows if r[0] not in (7, 11)]
+    found = [(t, *threshold_for(t, scored, unindexed, lost)) for t in (0.5, 0.8, 0.9, 0.97, 1.0)]
+    return spark.createDataFrame([(t, round(x, 6), round(r, 6)) for t, x, r in found], "target double, threshold double, recall double")
 
 
 def semantic_key_groups(spark, d):
@@ -133,7 +153,7 @@ def semantic_key_groups(spark, d):
 
 
 def recall_calibrated(spark, d):
-    return engine(spark, d, True, 200_000).sql("SELECT doc_id FROM documents WHERE text MEANS 'token' WITH RECALL 1.0")
+    return engine(spark, d, True).sql("SELECT doc_id FROM documents WHERE text MEANS 'token' WITH RECALL 1.0")
 
 
 def means_cached_repeat(spark, d):
@@ -177,22 +197,27 @@ ALL: dict[str, tuple] = {
     "vector_topk": (vector_topk, "WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0) SELECT vec_id, round(list_cosine_similarity(list_transform(embedding, lambda x: x::DOUBLE), list_transform(q, lambda x: x::DOUBLE)), 6) AS score FROM embeddings, q ORDER BY score DESC, vec_id LIMIT 10"),
     "doc_vectors": (
         doc_vectors,
-        "WITH e AS (SELECT label::BIGINT AS label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS p FROM embeddings), m AS (SELECT label, p, avg(x) AS x FROM e GROUP BY ALL), n AS (SELECT label, sqrt(sum(x * x)) AS norm FROM m GROUP BY label) SELECT label, round(max(x) FILTER (WHERE p = 1) / any_value(norm), 5) AS x0, round(max(x) FILTER (WHERE p = 64) / any_value(norm), 5) AS x63 FROM m JOIN n USING (label) GROUP BY label",
+        "WITH e AS (SELECT label::BIGINT AS label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS p FROM embeddings), m AS (SELECT label, p, avg(x) AS x FROM e GROUP BY ALL), n AS (SELECT label, sqrt(sum(x * x)) AS norm FROM m GROUP BY label) SELECT label, p, round((x / norm)::FLOAT::DOUBLE, 5) AS x FROM m JOIN n USING (label)",
     ),
     "prefilter_keep": (prefilter_keep, "SELECT doc_id FROM documents WHERE contains(text, 'token')"),
     "unindexed_passthrough": (unindexed_passthrough, "SELECT doc_id FROM documents WHERE lang <> 'de' AND contains(text, 'token') AND text NOT IN (SELECT text FROM documents WHERE lang = 'de')"),
     "index_refresh": (index_refresh, "SELECT count(DISTINCT text) AS docs FROM documents"),
+    "recall_threshold": (
+        recall_threshold,
+        "WITH l AS (SELECT doc_id % 50 AS m FROM labels WHERE quality = 1), s AS (SELECT 0.35::DOUBLE + m / 100.0::DOUBLE AS x, row_number() OVER (ORDER BY m DESC) AS place FROM l WHERE m NOT IN (7, 11)), c AS (SELECT count(*) AS total, count(*) FILTER (WHERE m = 11) AS unindexed FROM l), t AS (SELECT unnest([0.5, 0.8, 0.9, 0.97, 1.0])::DOUBLE AS target), n AS (SELECT target, total, unindexed, least(greatest(0, ceil(target * total - 1e-9)::BIGINT - unindexed), (SELECT count(*) FROM s)) AS needed FROM t, c), h AS (SELECT n.*, CASE WHEN needed = 0 THEN 0.35::DOUBLE ELSE x END AS threshold FROM n LEFT JOIN s ON place = needed) SELECT target, round(threshold, 6) AS threshold, round(((SELECT count(*) FROM s WHERE x >= threshold) + unindexed) / total::DOUBLE, 6) AS recall FROM h",
+    ),
+    "means_multi_chunk": (means_multi_chunk, "SELECT doc_id FROM documents WHERE n_chars > 2000 AND contains(text, 'token')"),
     "recall_calibrated": (recall_calibrated, "SELECT doc_id FROM documents WHERE contains(text, 'token')"),
     "relevance_topk": (
-        by_sql("SELECT doc_id, text RELEVANCE TO 'token' AS score FROM documents WHERE text LIKE '%token%' ORDER BY score DESC, doc_id LIMIT 5", True, words=200_000),
+        by_sql("SELECT doc_id, text RELEVANCE TO 'token' AS score FROM documents WHERE text LIKE '%token%' ORDER BY text RELEVANCE TO 'token', doc_id LIMIT 5", True),
         "SELECT doc_id, 1.0::DOUBLE AS score FROM documents WHERE contains(text, 'token') ORDER BY doc_id LIMIT 5",
     ),
     "relevance_score_column": (
         by_sql("SELECT doc_id, relevance(text, 'token') AS score FROM documents ORDER BY relevance(text, 'token') DESC, doc_id LIMIT 3", True, words=200_000),
         "SELECT doc_id, 1.0::DOUBLE AS score FROM documents WHERE contains(text, 'token') ORDER BY doc_id LIMIT 3",
     ),
-    "meaning_group_by": (by_sql("SELECT topic, count(*) AS n FROM documents GROUP BY MEANING OF text INTO 5 AS topic", True, words=200_000), None),
-    "meaning_auto_k": (meaning_auto_k, None),
+    "meaning_group_by": (by_sql(GROUPED.format("MEANING OF text INTO 16 AS topic"), True, words=200_000), GROUPED.format(THEME)),
+    "meaning_auto_k": (meaning_auto_k, GROUPED.format(THEME)),
     "semantic_distinct": (by_sql("SELECT SEMANTIC DISTINCT ON (text) doc_id FROM documents ORDER BY doc_id WITH SIMILARITY 0.95", True, words=200_000), f"SELECT min(doc_id) AS doc_id FROM documents GROUP BY {THEME}"),
     "semantic_key_column": (semantic_key_groups, f"SELECT min(doc_id) AS first, count(*) AS n FROM documents GROUP BY {THEME}"),
     "unindexed_distinct": (by_sql("SELECT DISTINCT ON (text) doc_id FROM documents ORDER BY text, doc_id"), "SELECT min(doc_id) AS doc_id FROM documents GROUP BY text"),

@@ -13,11 +13,11 @@ import logging
 import re
 import socketserver
 import struct
-import threading
 
 from pyspark.sql import types as T
 
 from lucidframe.errors import SemanticError
+from lucidframe.operators.context import Semantic, Ticker
 from lucidframe.sql.tokens import split_statements, tokenize
 
 log = logging.getLogger("lucidframe.server")
@@ -137,17 +137,20 @@ class Handler(socketserver.StreamRequestHandler):
             return
         if re.search(r"\bpg_catalog\b", sql):
             raise SemanticError("pg_catalog is not available; use SHOW TABLES or DESCRIBE")
-        engine = self.server.engine
-        ctx = getattr(engine, "engine", engine).ctx
-        before = dict(ctx.counters)
-        with self.server.lock:
-            ctx.plan.clear()
+        engine, ctx = self.server.fresh()
+        told = 0
+
+        def tell(line: str) -> None:
+            nonlocal told
+            for x in [*ctx.plan[told:], line]:
+                self.notice(x)
+            told = len(ctx.plan)
+
+        with Ticker(ctx, tell):
             df = engine.sql(sql)
-            for line in ctx.plan:
-                self.notice(line)
-        changed = {k: v - before.get(k, 0) for k, v in ctx.counters.items() if v != before.get(k, 0)}
-        if changed:
-            self.notice(", ".join(f"{k} {v:g}" for k, v in changed.items()))
+        changed = [f"{k} {v:g}" for k, v in ctx.counters.items() if v]
+        for line in [*ctx.plan[told:], *([", ".join(changed)] if changed else [])]:
+            self.notice(line)
         n = 0
         if words[0] not in ("CREATE", "CANCEL", "DROP", "INSERT", "ALTER"):
             self.describe([(f.name, OIDS.get(type(f.dataType), 25)) for f in df.schema])
@@ -176,16 +179,29 @@ class Server(socketserver.ThreadingTCPServer):
 
     def __init__(self, address: tuple[str, int], engine):
         self.engine = engine
-        self.lock = threading.Lock()  # statements change the session's views and types: one is planned at a time
         super().__init__(address, Handler)
 
+    def fresh(self):
+        """(engine, context) of one statement: plan and counters are its own; types, indexes and the Spark session are shared, so clients run side by side."""
+        given = getattr(self.engine, "engine", self.engine)
+        old = given.ctx
+        ctx = Semantic(old.spark, old.model, old.root, old.parallel, types=old.types, indexes=old.indexes)
+        own = type(given)(ctx)
+        return (type(self.engine)(own, self.engine.jobs) if own is not given and given is not self.engine else own), ctx
+
 
-def provider(name: str, model: str | None, embed_model: str | None):
+def provider(name: str, model: str | None, embed_model: str | None, embedder: str = "ollama"):
     from lucidframe.model import http
     from lucidframe.model.base import Mock
 
     if name == "mock":
         return Mock()
+    if embedder == "voyage":
+        http.key_from("VOYAGE_API_KEY")
+        if name == "anthropic":
+            http.key_from("ANTHROPIC_API_KEY")
+        asked = (http.Anthropic if name == "anthropic" else http.Ollama)(*[x for x in (model,) if x])
+        return http.Paired(asked, http.Voyage(*[x for x in (embed_model,) if x]))
     if name == "ollama":
         return http.Ollama(*[x for x in (model,) if x]) if not embed_model else http.Ollama(model or "qwen3:4b", embed_model)
     if name == "anthropic":
@@ -200,25 +216,27 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--port", type=int, default=5433)
     p.add_argument("--provider", default="ollama", choices=("ollama", "anthropic", "mock"))
     p.add_argument("--model")
+    p.add_argument("--embed-provider", default="ollama", choices=("ollama", "voyage"))
     p.add_argument("--embed-model")
     p.add_argument("--root", help="shared folder of verdicts and indexes")
-    p.add_argument("--jobs-dir", default="jobs")
+    p.add_argument("--jobs-dir", help="shared folder of jobs; by default below the root")
     p.add_argument("--max-jobs", type=int, default=4)
     a = p.parse_args(argv)
     logging.basicConfig(level=logging.INFO)
     from pyspark.sql import SparkSession
 
     from lucidframe.jobs.registry import JobEngine, Jobs
-    from lucidframe.operators.context import Semantic
+    from lucidframe.operators.index import open_indexes
     from lucidframe.sql.engine import Engine
 
     spark = SparkSession.builder.appName("lucidframe").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    ctx = Semantic(spark, provider(a.provider, a.model, a.embed_model), a.root)
+    ctx = Semantic(spark, provider(a.provider, a.model, a.embed_model, a.embed_provider), a.root)
+    log.info("indexes opened: %s", ", ".join(open_indexes(ctx)) or "none")
 
     def make() -> Engine:
         return Engine(Semantic(spark, ctx.model, ctx.root, types=ctx.types, indexes=ctx.indexes))
 
-    engine = JobEngine(Engine(ctx), Jobs(spark, make, a.jobs_dir, a.max_jobs))
+    engine = JobEngine(Engine(ctx), Jobs(spark, make, a.jobs_dir or f"{ctx.root}/jobs", a.max_jobs))
     with Server((a.host, a.port), engine) as server:
         log.info("listening on %s:%s", *server.server_address)
         server.serve_forever()

@@ -1,5 +1,4 @@
 import json
-import os
 import socket
 import struct
 import threading
@@ -58,13 +57,12 @@ def test_cancelled_while_queued_never_starts(made):
 def test_restart_interrupts_what_was_running(made):
     job = made.jobs.submit("SELECT 1 AS x")
     made.jobs.wait(job)
-    path = f"{made.jobs.folder}/{job}"
-    with open(f"{path}/job.json") as f:
-        state = json.load(f) | {"status": "running"}
-    with open(f"{path}/job.json", "w") as f:
-        json.dump(state, f)
+    files = made.jobs.files
+    assert files.fs.exists(files.at(f"{job}/result"))
+    files.write(f"{job}/job.json", json.dumps(json.loads(files.read(f"{job}/job.json")) | {"status": "running"}))
     again = Jobs(made.engine.spark, made.jobs.make, made.jobs.folder)
-    assert again.jobs[job].status == "interrupted" and not os.path.exists(f"{path}/result") and os.path.exists(f"{path}/progress.log")
+    assert again.jobs[job].status == "interrupted" and not files.fs.exists(files.at(f"{job}/result"))
+    assert files.read(f"{job}/progress.log").splitlines()[0] == "started" and files.read(f"{job}/none") is None
 
 
 class Client:
@@ -133,3 +131,62 @@ def test_cells():
 
     assert rendered(datetime.datetime(2024, 1, 2, 3, 4, 5, 6)) == b"2024-01-02 03:04:05.000006"
     assert rendered([1, "é"]) == '[1, "é"]'.encode() and rendered(None) is None and rendered(True) == b"t"
+
+
+class Slow(Mock):
+    def complete(self, requests):
+        time.sleep(0.4)
+        return super().complete(requests)
+
+
+def slow_engine(spark, tmp_path):
+    spark.createDataFrame([(i, f"text {i}") for i in range(40)], "id long, body string").createOrReplaceTempView("slowly")
+    ctx = Semantic(spark, Slow(), parallel=20)
+
+    def make():
+        return Engine(Semantic(spark, ctx.model, ctx.root, 20, types=ctx.types, indexes=ctx.indexes))
+
+    return JobEngine(Engine(ctx), Jobs(spark, make, str(tmp_path / "jobs")))
+
+
+def test_progress_while_a_statement_runs_and_clients_side_by_side(spark, tmp_path):
+    made = slow_engine(spark, tmp_path)
+    with Server(("127.0.0.1", 0), made) as server:
+        threading.Thread(target=server.serve_forever, daemon=True).start()
+        slow, quick = Client(server.server_address[1]), Client(server.server_address[1])
+        took = {}
+
+        def run(name, client, sql):
+            begun = time.time()
+            took[name] = (client.query(sql), time.time() - begun, time.time())
+
+        first = threading.Thread(target=run, args=("slow", slow, "SELECT count(*) AS n FROM slowly WHERE body MEANS 'text 1'"))
+        first.start()
+        time.sleep(0.3)
+        run("quick", quick, "SELECT 1 AS x")
+        first.join()
+        server.shutdown()
+    notices = [body.decode(errors="replace") for kind, body in took["slow"][0] if kind == "N"]
+    assert any("tasks " in x for x in notices) and any("model_calls 40" in x for x in notices)
+    assert took["quick"][2] < took["slow"][2]
+    job = made.jobs.submit("SELECT EXTRACT(a TEXT 'x' FROM body) AS a, CAST(id AS INT) AS b FROM slowly WHERE body MEANS 'text 2'")
+    done = made.jobs.wait(job)
+    assert done.status == "succeeded" and done.model_calls == 40 and done.extract_model_calls == 11, done
+    assert len(made.jobs.files.read(f"{job}/progress.log").splitlines()) > 2
+
+
+def test_indexes_are_reopened(spark):
+    from lucidframe.operators.index import create_index, open_indexes
+
+    ctx = Semantic(spark, Mock())
+    create_index(ctx, spark.createDataFrame([("a",)], "body string"), "some_notes", "body")
+    again = Semantic(spark, Mock(), ctx.root)
+    assert open_indexes(again) == ["some_notes.body"] and list(again.indexes) == [("some_notes", "body")]
+    assert open_indexes(Semantic(spark, Mock(embed_id="other"), ctx.root)) == []
+
+
+def test_providers_of_the_command_line(monkeypatch):
+    from lucidframe.server.wire import provider
+
+    monkeypatch.setenv("VOYAGE_API_KEY", "k")
+    assert provider("ollama", None, None, "voyage").embed_id == "voyage-3.5"

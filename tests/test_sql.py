@@ -25,7 +25,7 @@ def rows(e, sql):
 
 
 def calls(e):
-    n = e.ctx.counters["model_calls"]
+    n = e.ctx.counters["model_calls"] + e.ctx.counters["extract_model_calls"]
     e.ctx.counters.clear()
     return n
 

@@ -157,3 +157,52 @@ def test_http_retries_and_failures(monkeypatch):
 def test_mock_embeddings():
     assert Mock().embed(["\x01" * 17])[0][:2] == pytest.approx([2 / 255, 1 / 255])
     assert Mock(themes=["a", "b"]).embed(["b", "x"]) == [[0.0, 1.0] + [0.0] * 14, [0.0] * 15 + [1.0]]
+
+
+def test_greedy_representatives_in_rounds_equal_one_pass(spark, monkeypatch):
+    from lucidframe.model.base import Mock
+    from lucidframe.operators import semantic as S
+    from lucidframe.operators.context import Semantic
+
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(25, 6))
+    v = np.concatenate([base[rng.integers(0, 25, 300)] + rng.normal(size=(300, 6)) * rng.choice([0, 0.05, 0.2, 0.5], (300, 1)), np.zeros((2, 6))])
+    h = sorted(rng.choice(2**40, len(v), replace=False).tolist())
+    df = spark.createDataFrame([(int(x), i, [float(y) for y in row]) for i, (x, row) in enumerate(zip(h, v))], "h long, f long, v array<double>").repartition(5)
+    for similarity in (0.8, 0.95):
+        want = S.greedy_groups(v, similarity)
+        for prefix in (4096, 40, 7):
+            monkeypatch.setattr(S, "PREFIX", prefix)
+            got = dict(tuple(r) for r in S.greedy_representatives(Semantic(spark, Mock()), df, similarity).collect())
+            assert [got.get(x, i) for i, x in enumerate(h)] == want.tolist()
+    assert S.greedy_representatives(Semantic(spark, Mock()), df.limit(0), 0.9).count() == 0
+
+
+def test_chunks_of_a_long_text_cost_linear_time(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from lucidframe.functions.columns import chunks
+
+    def seconds(n):
+        df = spark.createDataFrame([("word " * n,)], "t string")
+        begun = time.perf_counter()
+        assert len(df.select(chunks(F.col("t")).alias("c")).first().c) == -(-(n - 384) // 336) + 1
+        return time.perf_counter() - begun
+
+    seconds(10_000)
+    assert seconds(160_000) < 8 * max(0.5, seconds(20_000))
+    odd = spark.createDataFrame([(None,), ("",), ("  \n",), ("a",)], "t string").select(chunks(F.col("t")).alias("c")).collect()
+    assert [r.c for r in odd] == [[], [], [], ["a"]]
+
+
+def test_information_schema(spark):
+    from lucidframe.model.base import Mock
+    from lucidframe.operators.context import Semantic
+    from lucidframe.sql.engine import Engine
+
+    spark.createDataFrame([(1, "x")], "id long, body string").createOrReplaceTempView("listed")
+    e = Engine(Semantic(spark, Mock()))
+    assert [tuple(r) for r in e.sql("SELECT table_type FROM information_schema.tables WHERE table_name = 'listed'").collect()] == [("VIEW",)]
+    assert [tuple(r) for r in e.sql("SELECT column_name, ordinal_position, data_type FROM information_schema.columns WHERE table_name = 'listed' ORDER BY 2").collect()] == [("id", 1, "bigint"), ("body", 2, "string")]
