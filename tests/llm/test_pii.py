@@ -27,11 +27,52 @@ def test_entities_and_clean_texts():
         assert found(text) == []
 
 
+def test_what_plain_tokens_hold():
+    secret = lambda x: [(x, "SECRET")]
+    assert found("password=correcthorsebatterystaple") == secret("correcthorsebatterystaple")
+    assert found("token = abcdefghijklmnop") == secret("abcdefghijklmnop")
+    assert found('and token: "abcdefghijk" then') == secret("abcdefghijk")
+    assert found("card 4111 1111 1111 1111 ok") == [("4111 1111 1111 1111", "CARD")]
+    assert found("host 2001:db8::1 up") == [("2001:db8::1", "IP")]
+    assert found("He lives at 221 Baker Street in London") == [("221 Baker Street", "ADDRESS")]
+    assert found("Dear Anna Miller, we met. Later Anna said that Miller left.") == [("Anna Miller", "NAME"), ("Anna", "NAME"), ("Miller", "NAME")]
+    assert found("Later Anna said that Miller left 12 times.") == []
+    assert found("the secret: nobody knows, password: required, key figures") == []
+
+
+def test_a_number_is_found_whole_or_not_at_all():
+    assert found("call 020 7946 0958 now") == [("020 7946 0958", "PHONE")]
+    rng = random.Random(2)
+    for _ in range(200):
+        t = " ".join("".join(rng.choice("0123456789") for _ in range(rng.randint(2, 5))) for _ in range(3))
+        f = found(f"a number {t} here")
+        assert f in ([], [(t, "PHONE")]), f
+
+
+def test_tokens_without_blanks_between():
+    assert found("a@x.org,b@y.org") == [("a@x.org", "EMAIL"), ("b@y.org", "EMAIL")]
+    assert found('{"mail":"a@x.org","ip":"1.2.3.4"}') == [("a@x.org", "EMAIL"), ("1.2.3.4", "IP")]
+    assert found("<a@x.org>;(10.1.2.3)|10.1.2.4") == [("a@x.org", "EMAIL"), ("10.1.2.3", "IP"), ("10.1.2.4", "IP")]
+
+
+def test_one_clear_mention_decides_a_hundred_bare_ones():
+    bare = "and later 9f8e7d6c5b4a39281706 again "
+    assert found(bare * 100) == []
+    assert [k for _, k in found(bare * 50 + "password=9f8e7d6c5b4a39281706 " + bare * 50)] == ["SECRET"] * 101
+
+
+def test_tokens_of_any_length():
+    long = "x" * 200_000
+    assert found(f"{long} a@x.org token={long}1") [:1] == [("a@x.org", "EMAIL")]
+    assert found("1" * 200_000) == [] and found("a." * 50_000 + "@b") is not None
+
+
 def test_held_out_accuracy():
     nodes, y = P.labelled(P._generated(random.Random(4321), 400))
     p = P.trained().label(nodes)
     assert (p == y).mean() > 0.985
     assert ((p > 0) == (y > 0)).mean() > 0.985
+    assert (p[y > 0] == y[y > 0]).mean() > 0.985 and set(y.tolist()) == set(range(len(P.KINDS)))
 
 
 def test_a_repeated_mention_takes_the_label_of_the_clear_one():
@@ -65,11 +106,17 @@ def test_message_passing_against_enumeration():
 
 
 def test_skip_edges_join_repeated_and_similar_mentions():
-    nodes, _, _ = P.candidates(pa.array(["a1@x.org words 555-1234567 more b2@x.org then 555-1234567 10.1.2.3 no 10.1.2.9", "555-1234567"]))
-    a, b, kind = P.edges(nodes)
-    named = {(nodes[i].core, nodes[j].core, int(k)) for i, j, k in zip(a, b, kind)}
-    assert ("555-1234567", "555-1234567", 1) in named and ("a1@x.org", "b2@x.org", 2) in named and ("10.1.2.3", "10.1.2.9", 2) in named
-    assert all(nodes[i].doc == nodes[j].doc for i, j in zip(a, b))
+    nodes, _, _ = P.candidates(pa.array(["a1@x.org words 555-1234567 more b2@x.org then 555-1234567 10.1.2.3 no 10.1.2.9 and (555)1234567", "555-1234567"]))
+    a, b, kind, shared = P.edges(nodes)
+    groups = {}
+    for i, j, k in zip(a, b, kind):
+        if k:
+            assert j >= len(nodes) and shared[j - len(nodes)] == k
+            groups.setdefault((int(k), int(j)), []).append(nodes[i].core)
+        else:
+            assert nodes[i].doc == nodes[j].doc and nodes[j].at == nodes[i].at + 1
+    assert sorted(groups.values()) == [["10.1.2.3", "10.1.2.9"], ["555-1234567", "555-1234567", "(555)1234567"], ["a1@x.org", "b2@x.org"]]
+    assert len(a) - sum(kind == 0) == sum(map(len, groups.values())) and len(shared) == 3
 
 
 def test_table(spark):
