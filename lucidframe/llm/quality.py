@@ -6,13 +6,13 @@ r = log((a + p) / |a + p|) - log((a + q) / |a + q|), p and q counting the good a
 divided by its norm. A linear model with hinge loss is fitted by dual coordinate descent, and its weights are interpolated
 with their mean magnitude.
 
-The model is fitted on at most SAMPLE labelled rows, taken by hash of their id, and SAMPLE_FEATURES features of theirs (the bounds are parameters); every row is scored, on
-its whole text.
+The model is fitted on at most SAMPLE labelled ids, taken by hash (the bound is the parameter sample), on their whole texts; every row is scored, on
+its whole text. The driver holds 4 bytes a distinct feature of the sample's texts.
 
 Defined results: a null or empty text has no feature and the model's intercept as score; a null id is scored and never
 trained on; repeated rows are scored alike; labels without documents, null labels and repeated label rows with the
-same label don't count more; an id labelled both 0 and 1 isn't trained on; with fewer than two classes of labels all rows get score 0 and are kept; an empty table gives an empty table; other
-columns pass through.
+same label don't count more; an id labelled both 0 and 1 isn't trained on; with fewer than two classes of labels all rows get score 0 and are kept; a score of exactly 0 (a tie) is
+kept; texts of any length count whole; an empty table gives an empty table; other columns pass through, and new columns that would clash take a leading underscore.
 """
 
 from __future__ import annotations
@@ -29,7 +29,6 @@ from lucidframe.llm.common import c, ensure_workers, fresh
 from lucidframe.llm.tokens import CODE, STEP, U, IS_WORD, mix, pieces, powers, raw
 
 SAMPLE = 4_000
-SAMPLE_FEATURES = 20_000_000  # the sample ends early where its texts have more features than this together
 BITS = 21  # word features are hashed to 2 ** BITS buckets
 SHAPES = 1 << 12  # shape features to these
 SMOOTH = 1.0
@@ -199,17 +198,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text: str, la
             for _, part in pieces(batch.column(2)):
                 row, f = features(part)
                 out += np.split(f, np.searchsorted(row, np.arange(1, len(part))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.astype(np.int32).tobytes() for x in out], pa.binary())], ["id", "y", "f"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.astype(np.int32).tobytes() for x in out], pa.binary())], ["h", "y", "f"])
 
-    kind = texts.schema["id"].dataType.simpleString()
-    found, good, total = [], [], 0
-    for r in texts.mapInArrow(run, f"id {kind}, y int, f binary").orderBy(F.xxhash64("id"), "id", "f").toLocalIterator():
-        total += len(r.f) // 4
-        if found and total > SAMPLE_FEATURES:
-            break
-        found.append(np.frombuffer(r.f, np.int32))
-        good.append(r.y == 1)
-    return found, np.array(good, bool)
+    found = texts.select(F.xxhash64("id").alias("h"), "y", "text").mapInArrow(run, "h long, y int, f binary")
+    # features are made once, in parallel; a few of these partitions at a time come to the driver
+    rows = sorted((r.h, r.f, r.y) for r in found.repartition(16, "h").toLocalIterator(prefetchPartitions=True))
+    return [np.frombuffer(f, np.int32) for _, f, _ in rows], np.array([y == 1 for _, _, y in rows], bool)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Model | None:
@@ -242,6 +236,7 @@ def classify(docs: DataFrame, model: Model | None, text: str = "text", score: st
             s = score_texts(model, batch.column(batch.num_columns - 1), table)
             columns = batch.columns[:-1] + [pa.array(s, pa.float64()), pa.array(s >= 0)]
             yield pa.RecordBatch.from_arrays(columns, names)
+        pa.default_memory_pool().release_unused()
 
     names = [*docs.columns, score, keep]
     schema = docs.schema

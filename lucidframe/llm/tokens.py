@@ -46,8 +46,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def pieces(texts: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, pa.Array]]:
-    """(first row, slice) of texts, of about size bytes each; a longer text is a slice of its own."""
+def pieces(texts: pa.Array, size: int = 1 << 20, rows: int = 4096) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, slice) of texts, of about size bytes and at most so many rows each; a longer text is a slice of its own."""
     n = len(texts)
     if not n:
         return
@@ -56,7 +56,7 @@ def pieces(texts: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, pa.Array
     a = 0
     while a < n:
         b = int(np.searchsorted(total, (total[a - 1] if a else 0) + size, "right"))
-        b = min(n, max(b, a + 1))
+        b = min(n, max(b, a + 1), a + rows)
         yield a, texts.slice(a, b - a)
         a = b
 
