@@ -54,7 +54,7 @@ N = 3
 THRESHOLD = 0.5
 BLOCK_BITS = 40
 BROADCAST_MB = 32  # candidate members up to this size are broadcast to the documents; beyond, both are shuffled
-FREQUENT = 2_000_000  # n-grams whose blocks come last, 16 MB of them
+FREQUENT = 1_000_000  # n-grams whose blocks come last, 8 MB of them
 CHUNK = 4_000_000  # n-grams counted at a time
 OFTEN = 2  # sets of a chunk that an n-gram must occur in to be counted
 SMALL = 16  # sets of a block up to which it gives pairs

@@ -256,7 +256,7 @@ def members(data: bytes) -> Iterator[bytes]:
         except zlib.error:
             yield b"broken"
             return
-        yield out
+        yield out if out or z.eof else b"broken"
         data = z.unused_data if z.eof else b""
 
 

@@ -50,7 +50,7 @@ def test_spans_and_edits_as_by_matching_without_seeds():
     patterns = [regex.compile(f"(?e)(?:{regex.escape(L.fold(t))}){{e<={L.edits(t)}}}") for _, t in L.NOTICES]
     words = lambda: " ".join(rng.choice(["the", "license", "under", "version", "free", "of", "terms"]) for _ in range(rng.randint(0, 8)))
     hits = 0
-    for _ in range(60):
+    for _ in range(24):
         text = words()
         for _ in range(rng.randint(1, 3)):
             notice = rng.choice(L.NOTICES)[1]
@@ -58,7 +58,7 @@ def test_spans_and_edits_as_by_matching_without_seeds():
         got = sorted(SCAN.scan(text))
         assert got == without_seeds(text, patterns), text
         hits += len(got)
-    assert hits > 60
+    assert hits > 24
 
 
 def test_many_notices_and_ties_in_one_text():
