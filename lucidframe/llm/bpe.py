@@ -6,23 +6,26 @@ changed since they were pushed are stale and skipped. That is O(n log n) however
 Pretokens seen before are looked up in a bounded table of the worker. Decoding concatenates the
 vocabulary's byte strings.
 
-The vocabulary is a file of lines "base64 rank"; its path is a parameter, and every executor must see it.
+The vocabulary is a file of lines "base64 rank"; its path on the driver is a parameter, and Spark sends the file to the executors.
 
 Defined results: a null text has null tokens, n_tokens and text; the empty text has no tokens; text of any length is
 encoded whole; rows repeat as given; an empty table gives an empty table; ids that the vocabulary
-lacks raise ValueError when decoding. Special tokens' strings are ordinary text.
+lacks raise ValueError when decoding. Equal merges (a tie of rank) are made from the left; special tokens' strings are ordinary text; other columns,
+whatever their names, are left out of the result.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
+import os
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
 from lucidframe.llm.common import c, ensure_workers, list_array
@@ -110,13 +113,19 @@ _loaded: dict[tuple[str, str], BPE] = {}
 
 def loaded(path: str, pattern: str) -> BPE:
     if (path, pattern) not in _loaded:
-        _loaded[path, pattern] = BPE(path, pattern)
+        sent = SparkFiles.get(os.path.basename(path)) if SparkFiles._is_running_on_worker else path
+        _loaded[path, pattern] = BPE(sent if os.path.exists(sent) else path, pattern)
     return _loaded[path, pattern]
 
 
+def send(docs: DataFrame, path: str) -> None:
+    ensure_workers(docs.sparkSession)
+    docs.sparkSession.sparkContext.addFile(path)
+
+
 def bpe_encode(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path: str = VOCABULARY, pattern: str = PATTERN, decode: bool = False) -> DataFrame:
     """id, tokens array<int>, n_tokens; with decode also text, concatenated again from the tokens."""
-    ensure_workers(docs.sparkSession)
+    send(docs, path)
     kind = docs.select(c(id_col)).schema[0].dataType.simpleString()
     schema = f"doc_id {kind}, tokens array<int>, n_tokens int" + (", text string" if decode else "")
 
@@ -139,7 +148,7 @@ def bpe_encode(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path
 
 def bpe_decode(rows: DataFrame, id_col: str = "doc_id", tokens: str = "tokens", path: str = VOCABULARY) -> DataFrame:
     """id and text of token lists; null tokens give a null text."""
-    ensure_workers(rows.sparkSession)
+    send(rows, path)
     kind = rows.select(c(id_col)).schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

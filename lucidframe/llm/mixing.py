@@ -9,17 +9,21 @@ reading the partitions in order is one random permutation.
 Statistics (rows by source) cover all rows; the per-source table holds one row a source.
 
 Defined results: a null source is a source of its own; a null id hashes like the empty string; rows that
-repeat an id get the same count; null or empty texts are mixed like any other; an empty table gives an
+repeat an id get the same count; null, empty and very long texts are mixed like any other; rows of equal random keys (a tie) lie in any order; an empty table gives an
 empty table; sources missing from given weights, or of weight 0, get rate 0 and leave no rows. Extra columns pass through, and
 internal names are chosen not to clash.
 """
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lucidframe.llm.common import c, fresh, shuffle_partitions
+from lucidframe.llm.common import c, ensure_workers, fresh, shuffle_partitions
 
 SEED = "mix-1"
 BROADCAST_SOURCES = 2_000  # the table of sources is broadcast up to this many rows
@@ -32,18 +36,21 @@ def uniform(seed: str, key) -> F.Column:
     return (bits.cast("double") + F.lit(0.5)) / F.lit(float(2**52))
 
 
-def poisson_cdf(rate: F.Column) -> F.Column:
-    """P(X <= k) for k = 0, 1, ... as far as 12 standard deviations beyond the mean."""
-    last = F.ceil(rate + 12 * F.sqrt(rate) + 20).cast("int")
+def cumulated(rate: float) -> np.ndarray:
+    """P(X <= k) of a Poisson variable for k = 0, 1, ... as far as 12 standard deviations beyond the mean; P(X <= 0) = 1 at rate 0."""
+    if not rate > 0:
+        return np.ones(1)
+    k = np.arange(math.ceil(rate + 12 * math.sqrt(rate) + 20) + 1, dtype=float)
     # log-space terms, so that large means don't underflow
-    start = F.struct(F.lit(0.0).alias("log_fact"), F.lit(0.0).alias("sum"), F.array().cast("array<double>").alias("cdf"))
+    return np.cumsum(np.exp(k * math.log(rate) - rate - np.cumsum(np.log(np.maximum(k, 1)))))
 
-    def step(acc, k):
-        log_fact = F.when(k == 0, F.lit(0.0)).otherwise(acc["log_fact"] + F.log(k.cast("double")))
-        total = acc["sum"] + F.exp(k.cast("double") * F.log(rate) - rate - log_fact)
-        return F.struct(log_fact.alias("log_fact"), total.alias("sum"), F.concat(acc["cdf"], F.array(total)).alias("cdf"))
 
-    return F.aggregate(F.sequence(F.lit(0), last), start, step, lambda acc: acc["cdf"])
+def poisson_cdf(rate: F.Column) -> F.Column:
+    @F.pandas_udf("array<double>")
+    def run(rates: pd.Series) -> pd.Series:  # a row a source
+        return rates.map(cumulated)
+
+    return run(rate)
 
 
 def rates(docs: DataFrame, source: str = "source", weights: dict[str, float] | None = None, size: float = 1.0, alpha: float = ALPHA) -> DataFrame:
@@ -59,12 +66,13 @@ def rates(docs: DataFrame, source: str = "source", weights: dict[str, float] | N
     per = per.crossJoin(F.broadcast(total))  # one row
     rate = F.when(F.col("weight") > 0, F.col("weight") / F.col("w") * F.col("n") * F.lit(float(size)) / F.col("rows")).otherwise(F.lit(0.0))
     per = per.withColumn("rate", rate)
-    return per.select("source", "rows", "rate", F.when(F.col("rate") > 0, poisson_cdf(F.col("rate"))).otherwise(F.array(F.lit(1.0))).alias("cdf"))
+    return per.select("source", "rows", "rate", poisson_cdf(F.col("rate")).alias("cdf"))
 
 
 def poisson_mix(docs: DataFrame, id_col: str = "doc_id", source: str = "source", text: str = "text", weights: dict[str, float] | None = None, size: float = 1.0, alpha: float = ALPHA, seed: str = SEED, copy_col: str | None = "copy") -> DataFrame:
     """docs replicated to the target weights and shuffled; copy_col, if given, numbers a row's copies from 0."""
     spark = docs.sparkSession
+    ensure_workers(spark)
     n_src, n_cdf, n_copy, n_key, n_u = fresh(docs, "mix_source", "mix_cdf", "mix_copy", "mix_key", "mix_u")
     per = rates(docs, source, weights, size, alpha).select(F.col("source").alias(n_src), F.col("cdf").alias(n_cdf))
     known = per.limit(BROADCAST_SOURCES + 1).collect()
