@@ -130,6 +130,9 @@ class Verdicts:
         key = "\x1f".join((kind, what, self.ctx.model.model_id, version))
         return f"{self.ctx.root}/verdicts/{hashlib.md5(key.encode()).hexdigest()}"
 
+    def has(self, kind: str, what: str, version: str) -> bool:
+        return self.ctx.path_exists(self.path(kind, what, version))
+
     def read(self, kind: str, what: str, version: str) -> DataFrame:
         path = self.path(kind, what, version)
         spark = self.ctx.spark

@@ -55,18 +55,31 @@ def _requests(df: DataFrame, text: Column, h: str) -> DataFrame:
 def _decided(ctx: Semantic, requests: DataFrame, condition: str, excerpts: bool = False, counter: str = "model_calls") -> DataFrame:
     """h, value of a yes/no condition for requests (h, input): from the store, else asked and stored."""
     store = Verdicts(ctx)
-    known = store.read(condition, "means", MEANS).join(requests.select("h"), "h", "left_semi")
-    misses = requests.join(known, "h", "left_anti")
+    known, misses = _known(ctx, store, condition, "means", MEANS, requests)
     answers = ask(ctx, misses, _means_request(condition, excerpts), _verdict, name="means")
+    asked, failed = _counted(answers)
+    ctx.counters[counter] += asked
+    ctx.counters["rows_dropped"] += failed
     usable = answers.where("value is not null")
-    ctx.counters["cache_hits"] += known.count()
-    ctx.counters[counter] += answers.count()
-    ctx.counters["rows_dropped"] += answers.where("value is null").count()
-    known = ctx.stored(known, "known")
     store.add(condition, "means", MEANS, usable)
     return known.unionByName(usable)
 
 
+def _known(ctx: Semantic, store: Verdicts, kind: str, what: str, version: str, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(h, value) that the store has for requests, and the requests that it lacks."""
+    known = store.read(kind, what, version)
+    if not store.has(kind, what, version):
+        return known, requests
+    known = ctx.stored(known.join(requests.select("h"), "h", "left_semi"), "known")
+    ctx.counters["cache_hits"] += known.count()
+    return known, requests.join(known, "h", "left_anti")
+
+
+def _counted(answers: DataFrame) -> tuple[int, int]:
+    """Stored answers, and how many of them have no usable value."""
+    return tuple(answers.agg(F.count(F.lit(1)), F.count_if(F.col("value").isNull())).first())
+
+
 def sem_filter(ctx: Semantic, df: DataFrame, text: Column, condition: str, index: Index | None = None, recall: float | None = None) -> DataFrame:
     """Rows whose text satisfies the condition. With an index, only texts with near chunks or unknown to it are asked."""
     ctx.planned(f"SemanticFilter [{condition}]" + (f" <- IndexScan {index.table}({index.column})" + (f" recall >= {recall:g}" if recall else f" floor {FLOOR:g}") if index else ""))
@@ -182,8 +195,8 @@ def sem_classify(ctx: Semantic, df: DataFrame, text: Column, conditions: list[st
         return None if found is None else json.dumps({k: x for k, x in found.items() if isinstance(x, bool)})
 
     answers = ask(ctx, known.where(F.size("pending") > 0), build, parse, "pending", "classify")
-    ctx.counters["model_calls"] += answers.count()
-    ctx.counters["rows_failed"] += answers.where("value is null").count()
+    calls, failed = _counted(answers)
+    ctx.counters.update({"model_calls": calls, "rows_failed": failed})
     given = F.from_json("value", "map<string,boolean>")
     both = known.join(answers.withColumn("given", given).drop("value"), "h", "left")
     place = lambda i: F.element_at("given", F.concat(F.lit("c"), (F.array_position("pending", i) - 1).cast("string")))
@@ -210,13 +223,13 @@ def sem_rank(ctx: Semantic, df: DataFrame, text: Column, query: str, index: Inde
     requests = best.select("h", doc_hash(F.col("excerpts")).alias("e"), F.col("excerpts").alias("input"))
     ctx.counters["unindexed_rows"] += there.join(index.members(ctx), "h", "left_anti").count()
     store = Verdicts(ctx)
-    known = store.read(query, "relevance", RELEVANCE)
     asked = requests.select(F.col("e").alias("h"), "input").dropDuplicates(["h"])
-    known = ctx.stored(known.join(asked.select("h"), "h", "left_semi"), "known")
+    known, misses = _known(ctx, store, query, "relevance", RELEVANCE, asked)
     schema = {"type": "object", "properties": {"score": {"type": "number", "description": "relevance from 0 to 1"}}, "required": ["score"], "additionalProperties": False}
     instruction = f"Score from 0 to 1 how relevant the excerpts are to the query. Answer with a JSON object.\nQuery: {query}\n"
-    answers = ask(ctx, asked.join(known, "h", "left_anti"), lambda t, _: Request(instruction, t, 32, schema), lambda a: None if (s := score_of(a)) is None else repr(s), name="relevance")
-    ctx.counters.update({"candidate_rows": requests.count(), "model_calls": answers.count(), "cache_hits": known.count(), "rows_failed": answers.where("value is null").count()})
+    answers = ask(ctx, misses, lambda t, _: Request(instruction, t, 32, schema), lambda a: None if (s := score_of(a)) is None else repr(s), name="relevance")
+    calls, failed = _counted(answers)
+    ctx.counters.update({"candidate_rows": requests.count(), "model_calls": calls, "rows_failed": failed})
     usable = answers.where("value is not null")
     store.add(query, "relevance", RELEVANCE, usable)
     scores = requests.join(known.unionByName(usable).toDF("e", "value"), "e", "left").select(F.col("h").alias(f"{h}v"), F.col("value").cast("double").alias(name))
@@ -444,8 +457,8 @@ def sem_extract(ctx: Semantic, df: DataFrame, text: Column, kind: SemanticType,
         return json.dumps(out)
 
     answers = ask(ctx, known.where(F.size("pending") > 0), build, parse, "pending", "extract")
-    ctx.counters["extract_model_calls"] += answers.count()
-    ctx.counters["rows_failed"] += answers.where("value is null").count()
+    calls, failed = _counted(answers)
+    ctx.counters.update({"extract_model_calls": calls, "rows_failed": failed})
     given = answers.withColumn("given", F.from_json("value", "map<string,string>")).drop("value")
     unit = lambda i: F.when(F.array_contains("pending", i), F.element_at("given", str(i)))
     both = ctx.stored(known.join(given, "h", "left").select("h", *[F.coalesce(F.col(f"u{i}"), unit(i)).alias(f"u{i}") for i in range(n)], *[unit(i).alias(f"n{i}") for i in range(n)]), "extracted")
