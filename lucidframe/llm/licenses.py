@@ -1,8 +1,8 @@
 """Fuzzy search for short licence notices.
 
-A notice occurs where a text is within k edits of it (k grows with its length). Pigeonhole: cut into k + 1 pieces, one piece at least occurs
-exactly, so an Aho-Corasick automaton of all pieces locates the windows that can hold an occurrence, and the regex library's
-bounded-error matching verifies each window and gives span and edits. Letter case counts as equal, and
+A notice occurs where a text is within k edits of it (k grows with its length). Pigeonhole: cut into p pieces (of 8 characters, k + 2 at least), p - k pieces at least occur
+exactly, at places that k edits can explain, so an Aho-Corasick automaton of all pieces locates the windows that can hold an occurrence, and the regex library's
+bounded-error matching verifies each window and gives span and edits. Windows in which every match would overlap an exact one, which wins, are left out. Letter case counts as equal, and
 any white-space character as a space.
 
 Of overlapping matches the one with the fewest edits per character of its notice stays (then the longer, then the earlier, then the notice that the catalogue names first).
@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 
 from lucidframe.llm.common import c, ensure_workers
 
+PIECE = 8  # characters of a seed
 EDITS_PER = 14  # one edit for so many characters of a notice, two at most a word of it
 _CC = {"CC-BY": "BY", "CC-BY-SA": "BY-SA", "CC-BY-ND": "BY-ND", "CC-BY-NC": "BY-NC", "CC-BY-NC-SA": "BY-NC-SA", "CC-BY-NC-ND": "BY-NC-ND"}
 _CC_LONG = {"CC-BY": "Attribution", "CC-BY-SA": "Attribution-ShareAlike", "CC-BY-ND": "Attribution-NoDerivatives", "CC-BY-NC": "Attribution-NonCommercial", "CC-BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "CC-BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
@@ -165,12 +166,14 @@ class Scanner:
     def __init__(self, notices: list[tuple[str, str]]):
         self.notices = [(name, text, fold(text)) for name, text in notices]
         self.k = [edits(t) for _, _, t in self.notices]
-        seeds: dict[str, list[tuple[int, int]]] = {}
+        self.pieces = [max(k + 2, len(t) // PIECE) for (_, _, t), k in zip(self.notices, self.k)]
+        seeds: dict[str, list[tuple[int, int, int]]] = {}
         for i, (_, _, t) in enumerate(self.notices):
-            if len(t) <= self.k[i]:
+            if len(t) < self.pieces[i]:
                 raise ValueError(f"notice too short: {t!r}")
-            for at, piece in split(t, self.k[i]):
-                seeds.setdefault(piece, []).append((i, at))
+            for n, (at, piece) in enumerate(split(t, self.pieces[i] - 1)):
+                seeds.setdefault(piece, []).append((i, at, n))
+            seeds.setdefault(t, []).append((i, 0, -1))  # all of it
         self.automaton = ahocorasick.Automaton()
         for piece, where in seeds.items():
             self.automaton.add_word(piece, (len(piece), where))
@@ -180,23 +183,43 @@ class Scanner:
     def scan(self, text: str) -> list[tuple[int, int, int, int]]:
         """(notice, start, end, errors) of the matches that stay."""
         low = fold(text)
-        windows: dict[int, list[list[int]]] = {}
-        for last, (n, where) in self.automaton.iter(low):
-            for i, at in where:
-                k = self.k[i]
-                a = max(0, last + 1 - n - at - k)
-                b = min(len(low), last + 1 - n - at + len(self.notices[i][2]) + k)
-                windows.setdefault(i, []).append([a, b])
         found: list[tuple[float, int, int, int, int, int]] = []
-        for i, spans in windows.items():
-            spans.sort()
-            merged = [spans[0]]
-            for a, b in spans[1:]:
-                if a <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], b)
+        seen: dict[int, list[tuple[int, int]]] = {}  # where an occurrence would begin, and the piece that says so
+        for last, (n, where) in self.automaton.iter(low):
+            for i, at, piece in where:
+                if piece < 0:
+                    found.append((0.0, -n, last + 1 - n, i, last + 1, 0))
                 else:
-                    merged.append([a, b])
+                    seen.setdefault(i, []).append((last + 1 - n - at, piece))
+        exact = without_overlaps(found)
+        starts = [s for _, s, _, _ in exact]
+        for i, places in seen.items():
+            k, size = self.k[i], len(self.notices[i][2])
+            need = self.pieces[i] - k
+            if len(places) < need:
+                continue
+            places.sort()
+            merged: list[list[int]] = []
+            held: dict[int, int] = {}
+            m = 0
+            for j, (start, piece) in enumerate(places):
+                while m < len(places) and places[m][0] <= start + k:
+                    held[places[m][1]] = held.get(places[m][1], 0) + 1
+                    m += 1
+                enough = len(held) >= need  # different pieces, at most k apart
+                held[piece] -= 1
+                if not held[piece]:
+                    del held[piece]
+                if enough:
+                    a, b = max(0, start - k), min(len(low), start + 2 * k + size)
+                    if merged and a <= merged[-1][1]:
+                        merged[-1][1] = max(merged[-1][1], b)
+                    else:
+                        merged.append([a, b])
             for a, b in merged:
+                at = bisect.bisect_left(starts, a)
+                if at < len(exact) and exact[at][1] - a < size - k and b - exact[at][2] < size - k:
+                    continue
                 for m in self.patterns[i].finditer(low, a, b):
                     e = sum(m.fuzzy_counts)
                     found.append((e / len(self.notices[i][2]), -(m.end() - m.start()), m.start(), i, m.end(), e))
