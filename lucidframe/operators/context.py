@@ -15,13 +15,13 @@ from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lucidframe.model.base import Failure, Provider, Request
 from lucidframe.operators.types import TypeRegistry
 
 PLAN, STAGE, MODEL = (logging.getLogger(f"lucidframe.{x}") for x in ("plan", "stage", "model"))
 IN_BATCH = 64
+ROWS_A_FILE = 500_000
 _ids = itertools.count(1)
 
 
@@ -133,15 +133,20 @@ class Verdicts:
     def has(self, kind: str, what: str, version: str) -> bool:
         return self.ctx.path_exists(self.path(kind, what, version))
 
-    def read(self, kind: str, what: str, version: str) -> DataFrame:
-        path = self.path(kind, what, version)
+    def read(self, kind: str, what: str, version: str, wanted: DataFrame) -> DataFrame:
+        """h, value of those that are wanted (h)."""
         spark = self.ctx.spark
-        if not self.ctx.path_exists(path):
+        if not self.has(kind, what, version):
             return spark.createDataFrame([], VERDICT)
-        return spark.read.schema(VERDICT).parquet(path).dropDuplicates(["h"])
-
-    def add(self, kind: str, what: str, version: str, rows: DataFrame) -> None:
-        rows.select("h", "value").write.mode("append").parquet(self.path(kind, what, version))
+        stored = spark.read.schema(VERDICT).parquet(self.path(kind, what, version))
+        return stored.join(wanted.select("h"), "h", "left_semi").dropDuplicates(["h"])
+
+    def add(self, kind: str, what: str, version: str, rows: DataFrame, n: int | None = None) -> None:
+        """Store rows; n, if known, bounds the number of files."""
+        rows = rows.select("h", "value")
+        if n is not None:
+            rows = rows.coalesce(max(1, min(self.ctx.parallel, -(-n // ROWS_A_FILE))))
+        rows.write.mode("append").parquet(self.path(kind, what, version))
 
 
 def ask(ctx: Semantic, requests: DataFrame, build: Callable[[str, object], Request], parse: Callable[[str], str | None], extra: str | None = None, name: str = "answers") -> DataFrame:

@@ -21,7 +21,7 @@ from lucidframe.errors import SemanticError
 from lucidframe.functions.columns import doc_hash, fnv1a64, hex16
 from lucidframe.model.base import Request, json_object, score_of, yes_or_no
 from lucidframe.operators.context import Semantic, Verdicts, ask
-from lucidframe.operators.index import FETCH, FLOOR, PER_DOC, SEPARATOR, Index, doc_vectors, evidence, search
+from lucidframe.operators.index import FETCH, FLOOR, SEPARATOR, Index, doc_vectors, evidence, search
 from lucidframe.operators.types import Field, SemanticType, unit_key
 
 SAMPLE = 64
@@ -61,16 +61,16 @@ def _decided(ctx: Semantic, requests: DataFrame, condition: str, excerpts: bool
     ctx.counters[counter] += asked
     ctx.counters["rows_dropped"] += failed
     usable = answers.where("value is not null")
-    store.add(condition, "means", MEANS, usable)
+    store.add(condition, "means", MEANS, usable, asked)
     return known.unionByName(usable)
 
 
 def _known(ctx: Semantic, store: Verdicts, kind: str, what: str, version: str, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(h, value) that the store has for requests, and the requests that it lacks."""
-    known = store.read(kind, what, version)
+    known = store.read(kind, what, version, requests)
     if not store.has(kind, what, version):
         return known, requests
-    known = ctx.stored(known.join(requests.select("h"), "h", "left_semi"), "known")
+    known = ctx.stored(known, "known")
     ctx.counters["cache_hits"] += known.count()
     return known, requests.join(known, "h", "left_anti")
 
@@ -170,8 +170,8 @@ def sem_classify(ctx: Semantic, df: DataFrame, text: Column, conditions: list[st
     store = Verdicts(ctx)
     known = requests
     for i, cond in enumerate(conditions_once):
-        one = store.read(cond, "means", MEANS).select("h", F.col("value").alias(f"s{i}"))
-        many = store.read(cond, "means", CLASSIFY).select("h", F.col("value").alias(f"m{i}"))
+        one = store.read(cond, "means", MEANS, requests).select("h", F.col("value").alias(f"s{i}"))
+        many = store.read(cond, "means", CLASSIFY, requests).select("h", F.col("value").alias(f"m{i}"))
         known = known.join(one, "h", "left").join(many, "h", "left").withColumn(f"k{i}", F.coalesce(f"s{i}", f"m{i}")).drop(f"s{i}", f"m{i}")
     n = len(conditions_once)
     known = ctx.stored(known.withColumn("pending", F.filter(F.array(*[F.when(F.col(f"k{i}").isNull(), F.lit(i)) for i in range(n)]), lambda x: x.isNotNull())), "classify-known")
@@ -203,8 +203,8 @@ def sem_classify(ctx: Semantic, df: DataFrame, text: Column, conditions: list[st
     new = ctx.stored(both.select("h", "pending", *[F.when(F.array_contains("pending", i), F.when(F.col("given").isNotNull(), place(i))).alias(f"n{i}") for i in range(n)], *[f"k{i}" for i in range(n)]), "classified")
     for i, cond in enumerate(conditions_once):
         fresh = new.where(F.col(f"n{i}").isNotNull()).select("h", F.size("pending").alias("p"), F.col(f"n{i}").cast("string").alias("value"))
-        store.add(cond, "means", MEANS, fresh.where("p = 1"))
-        store.add(cond, "means", CLASSIFY, fresh.where("p > 1"))
+        store.add(cond, "means", MEANS, fresh.where("p = 1"), calls)
+        store.add(cond, "means", CLASSIFY, fresh.where("p > 1"), calls)
     ctx.counters["branches_failed"] += new.select(*[F.coalesce(F.sum((F.array_contains("pending", i) & F.col(f"n{i}").isNull()).cast("int")), F.lit(0)).alias(f"b{i}") for i in range(n)]).select(sum(F.col(f"b{i}") for i in range(n))).first()[0]
     verdicts = new.select(F.col("h").alias(f"{h}v"), *[F.coalesce(F.col(f"k{i}").cast("boolean"), F.col(f"n{i}")).alias(f"{h}c{i}") for i in range(n)])
     out = rows.join(verdicts, F.col(h) == F.col(f"{h}v"), "left")
@@ -231,7 +231,7 @@ def sem_rank(ctx: Semantic, df: DataFrame, text: Column, query: str, index: Inde
     calls, failed = _counted(answers)
     ctx.counters.update({"candidate_rows": requests.count(), "model_calls": calls, "rows_failed": failed})
     usable = answers.where("value is not null")
-    store.add(query, "relevance", RELEVANCE, usable)
+    store.add(query, "relevance", RELEVANCE, usable, calls)
     scores = requests.join(known.unionByName(usable).toDF("e", "value"), "e", "left").select(F.col("h").alias(f"{h}v"), F.col("value").cast("double").alias(name))
     return rows.join(scores, F.col(h) == F.col(f"{h}v")).drop(h, f"{h}v")
 
@@ -255,7 +255,7 @@ def sem_cluster(ctx: Semantic, df: DataFrame, text: Column, index: Index, k: int
     identity = groups.groupBy("g").agg(F.xxhash64(F.count(F.lit(1)), F.bit_xor("h"), F.sum(F.xxhash64("h").cast("decimal(38,0)"))).alias("h"))
     requests = ctx.stored(best.groupBy("g").agg(joined.alias("input")).join(identity, "g"), "labels")
     store = Verdicts(ctx)
-    known = ctx.stored(store.read("", "cluster", CLUSTER).join(requests.select("h"), "h", "left_semi"), "known")
+    known = ctx.stored(store.read("", "cluster", CLUSTER, requests), "known")
     schema = {"type": "object", "properties": {"label": {"type": "string", "description": "a short noun phrase"}}, "required": ["label"], "additionalProperties": False}
     build = lambda t, _: Request("Name in a noun phrase of at most five words what these documents share. Answer with a JSON object.\n", t, 64, schema)
 
@@ -433,7 +433,7 @@ def sem_extract(ctx: Semantic, df: DataFrame, text: Column, kind: SemanticType,
     known = requests
     keys = [unit_key(u) for u in units]
     for i, key in enumerate(keys):
-        known = known.join(store.read(f"{kind.name}@{key}", "unit", EXTRACT).toDF("h", f"u{i}"), "h", "left")
+        known = known.join(store.read(f"{kind.name}@{key}", "unit", EXTRACT, requests).toDF("h", f"u{i}"), "h", "left")
     n = len(units)
     known = ctx.stored(known.withColumn("pending", F.filter(F.array(*[F.when(F.col(f"u{i}").isNull(), F.lit(i)) for i in range(n)]), lambda x: x.isNotNull())), "extract-known")
     ctx.counters["cache_hits"] += known.select(F.coalesce(F.sum(F.lit(n) - F.size("pending")), F.lit(0))).first()[0]
@@ -463,7 +463,7 @@ def sem_extract(ctx: Semantic, df: DataFrame, text: Column, kind: SemanticType,
     unit = lambda i: F.when(F.array_contains("pending", i), F.element_at("given", str(i)))
     both = ctx.stored(known.join(given, "h", "left").select("h", *[F.coalesce(F.col(f"u{i}"), unit(i)).alias(f"u{i}") for i in range(n)], *[unit(i).alias(f"n{i}") for i in range(n)]), "extracted")
     for i, key in enumerate(keys):
-        store.add(f"{kind.name}@{key}", "unit", EXTRACT, both.where(F.get_json_object(f"n{i}", "$.ok") == "true").select("h", F.col(f"n{i}").alias("value")))
+        store.add(f"{kind.name}@{key}", "unit", EXTRACT, both.where(F.get_json_object(f"n{i}", "$.ok") == "true").select("h", F.col(f"n{i}").alias("value")), calls)
     failed = F.lit(0)
     for i in range(n):
         failed = failed + F.coalesce((F.get_json_object(f"n{i}", "$.ok") == "false").cast("int"), F.lit(0))

@@ -9,7 +9,7 @@ from lucidframe.model.base import Failure, Mock
 from lucidframe.operators.context import Semantic
 from lucidframe.operators.index import create_index, open_index, refresh_index
 from lucidframe.sql.engine import Engine
-from lucidframe.streaming import filter_stream
+from lucidframe.streaming import classify_stream, filter_stream
 
 ROWS = [(1, "open", "so furious about the price"), (2, "open", "the price is fine"), (3, "closed", "dull text"), (4, "closed", None), (5, "open", "dull text")]
 
@@ -180,6 +180,10 @@ def test_stream(spark, e, tmp_path):
     q = filter_stream(e.ctx, stream, F.col("body"), "angry", f"{tmp_path}/out", f"{tmp_path}/state")
     q.awaitTermination(120)
     assert [r.id for r in spark.read.parquet(f"{tmp_path}/out").collect()] == [1]
+    q = classify_stream(e.ctx, stream, F.col("body"), ["angry", "pricing"], ["a", "p"], f"{tmp_path}/labels", f"{tmp_path}/state2")
+    q.awaitTermination(120)
+    got = {r.id: (r.a, r.p) for r in spark.read.parquet(f"{tmp_path}/labels").collect()}
+    assert got == {r[0]: (bool(r[2]) and "furious" in r[2], bool(r[2]) and "price" in r[2]) for r in ROWS}
 
 
 def test_index_prefilter_has_no_cap_and_calibration_grows(spark, e):
