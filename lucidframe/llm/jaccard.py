@@ -67,16 +67,8 @@ PART = 44  # low bits of a key, of content
 EPS = 1e-9
 
 
-def hits(s: float, t: float) -> int:
-    """X: blocks of a set of size s that n-grams of a partner, or of its own, hit besides."""
-    if s <= 64:
-        return 1
-    mean = s * s / t / 2**BLOCK_BITS
-    return math.ceil(mean + 10 * math.sqrt(mean)) + 2
-
-
 def emitted(s: np.ndarray, t: float) -> np.ndarray:
-    """p: blocks that sets of sizes s emit."""
+    """p: blocks that sets of sizes s emit; x of them may be hit by n-grams of a partner, or by others of the set itself."""
     mean = s.astype(float) ** 2 / t / 2**BLOCK_BITS
     x = np.where(s <= 64, 1, np.ceil(mean + 10 * np.sqrt(mean)) + 2)
     return np.where(s <= 32, s, np.floor((1 - t) * s + EPS) + s // EXTRA + x + 1).astype(np.int64)
