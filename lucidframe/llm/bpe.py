@@ -28,7 +28,7 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
-from lucidframe.llm.common import c, ensure_workers, list_array
+from lucidframe.llm.common import c, ensure_workers, list_array, release
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -141,7 +141,8 @@ def bpe_encode(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path
                 if decode:
                     columns.append(pa.array([None if x is None else bpe.decode(x) for x in found], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tokens", "n_tokens", "text"][: len(columns)])
-        bpe.known = {}  # workers live on: the next stage needs the memory
+        bpe.known = {}
+        release()
 
     return docs.select(c(id_col).alias("doc_id"), c(text).cast("string").alias("text")).mapInArrow(run, schema)
 

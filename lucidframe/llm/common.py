@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
 from pathlib import Path
@@ -22,6 +23,15 @@ def ensure_workers(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
 
 
+def release() -> None:
+    """Give what this worker has freed back to the system: workers live on, and their executor's next stage needs the memory."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder of spark.checkpoint.dir; only where none is named (tests) fall back to the warehouse."""
     sc = spark.sparkContext

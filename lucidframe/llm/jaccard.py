@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lucidframe.llm.common import c, components, ensure_checkpoint_dir, ensure_workers, fresh
+from lucidframe.llm.common import c, components, ensure_checkpoint_dir, ensure_workers, fresh, release
 from lucidframe.llm.tokens import U, mix, ngrams, pieces, words
 
 N = 3
@@ -59,7 +59,7 @@ CHUNK = 4_000_000  # n-grams counted at a time
 OFTEN = 2  # sets of a chunk that an n-gram must occur in to be counted
 SMALL = 16  # sets of a block up to which it gives pairs
 HOT = 1_000_000  # sets of a cell of a frequent n-gram
-TASK_ROWS = 2_000_000  # emitted blocks of a task
+TASK_ROWS = 1_000_000  # emitted blocks of a task
 BUCKET, BUCKET_GRAMS = 1000, 1_000_000  # sets and n-grams of a bucket that verification loads
 EXTRA = 16  # a set emits one n-gram of so many more than it must
 CODES = 64  # size classes of a doubling
@@ -206,6 +206,7 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
                 for x, y in zip(out, prints(g, at)):
                     x[some] = y
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(part)), *(pa.array(x, mask=~some) for x in out), pa.array(size, pa.int64())], ["doc", "fp", "fp2", "size"])
+        release()
 
     kind = docs.schema["doc"].dataType.simpleString()
     return docs.mapInArrow(run, f"doc {kind}, fp long, fp2 long, size long")
@@ -254,6 +255,8 @@ def frequent_ngrams(docs: DataFrame, n: int) -> Frequent:
                 held, total = [], 0
         if held:
             yield often()
+            held.clear()
+        release()
 
     counts = docs.mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).checkpoint()
     # the least count that so many n-grams reach; counts above 10,000 are one step
@@ -277,6 +280,7 @@ def blocks(docs: DataFrame, n: int, t: float, frequent: Frequent, parts: int) ->
             key, who = block_keys(g, at, fp, t, shared.value, parts)
             for s in range(0, len(key), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(key[s : s + 100_000]), pa.array(who[s : s + 100_000])], ["key", "fp"])
+        release()
 
     rows = docs.mapInArrow(run, "key long, fp long")
     return rows.repartitionById(parts, F.shiftrightunsigned("key", PART).cast("int"))
@@ -343,6 +347,8 @@ def meeting(t: float):
             key, fp = (np.concatenate([x[k] for x in parts]) for k in (0, 1))
             parts.clear()
             yield from candidates(key, fp, t)
+            del key, fp
+        release()
 
     return run
 

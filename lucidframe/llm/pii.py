@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from lucidframe.llm.common import c, ensure_workers, fresh
+from lucidframe.llm.common import c, ensure_workers, fresh, release
 from lucidframe.llm.tokens import pieces, raw, spans
 
 KINDS = ["O", "EMAIL", "PHONE", "CARD", "IP", "KEY", "SECRET", "SSN", "IBAN", "NAME", "ADDRESS"]
@@ -614,6 +614,7 @@ def redact(docs: DataFrame, text: str = "text", entities: str | None = "entities
                     else:
                         columns.append(pa.array([None if z else [{"start": s, "end": e, "kind": KINDS[y]} for s, e, y, *_ in f] for f, z in zip(found, null)], pa.list_(struct)))
                 yield pa.RecordBatch.from_arrays(columns, names)
+        release()
 
     names = [f.name for f in schema]
     return docs.withColumn(docs.columns[where], c(text).cast("string")).mapInArrow(run, schema)

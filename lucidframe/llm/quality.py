@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lucidframe.llm.common import c, ensure_workers, fresh
+from lucidframe.llm.common import c, ensure_workers, fresh, release
 from lucidframe.llm.tokens import CODE, STEP, U, IS_WORD, mix, pieces, powers, raw
 
 SAMPLE = 4_000
@@ -199,6 +199,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text: str, la
                 row, f = features(part)
                 out += np.split(f, np.searchsorted(row, np.arange(1, len(part))))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.astype(np.int32).tobytes() for x in out], pa.binary())], ["h", "y", "f"])
+        release()
 
     found = texts.select(F.xxhash64("id").alias("h"), "y", "text").mapInArrow(run, "h long, y int, f binary")
     # features are made once, in parallel; a few of these partitions at a time come to the driver
@@ -236,7 +237,7 @@ def classify(docs: DataFrame, model: Model | None, text: str = "text", score: st
             s = score_texts(model, batch.column(batch.num_columns - 1), table)
             columns = batch.columns[:-1] + [pa.array(s, pa.float64()), pa.array(s >= 0)]
             yield pa.RecordBatch.from_arrays(columns, names)
-        pa.default_memory_pool().release_unused()
+        release()
 
     names = [*docs.columns, score, keep]
     schema = docs.schema
