@@ -1,20 +1,21 @@
 """N-gram Jaccard join by parity sketches: which documents have sets of word n-grams with Jaccard >= t, and their classes.
 
-Sketch. Every n-gram g of a set toggles a parity bit; the bits lie in blocks (2**BLOCK_BITS of them for n-grams that are rare in the
-corpus, as many after these for frequent ones), and a block of 2**64 virtual bits is kept as the XOR of its set bits' codes. Only non-empty blocks
+Sketch. Every n-gram g of a set toggles a parity bit; the bits lie in blocks (2**BLOCK_BITS of them for each of LEVELS levels of how frequent
+n-grams are in the corpus, the rarest first), and a block of 2**64 virtual bits is kept as the XOR of its set bits' codes. Only non-empty blocks
 are materialised. An n-gram that only one of two sets has changes one block, so the blocks that differ bound the symmetric difference
 from below, and split by side: a block of a that differs from b's holds one of a's own n-grams or was hit by one of b's.
 
 Pigeonhole. J >= t leaves a at most A = (|a| - t |b|) / (1 + t) n-grams that b lacks, and b at most B, likewise; A <= (1 - t) |a| for every
 partner. Each set emits its non-empty blocks in one order for all sets until it has p = (1 - t) s + s / 16 + X + 1 of them
-(all, if s <= 32), X bounding the blocks of one set that the other's n-grams hit (more are less likely than 1e-11). Whichever of two similar sets stops
+or all, X bounding the blocks of one set that the other's n-grams hit (more are less likely than 1e-11). Whichever of two similar sets stops
 first has at most A + X (or B + X) blocks that differ, so they share min(p_a - A, p_b - B) - X emitted blocks at least; pairs that share
 fewer are no candidates.
 
 Size bands. A block's sets are ordered by size and a set meets only those of its band, from its own size to 1 / t times that.
 
-Order. Frequent n-grams (counted over all documents) come last, so that passages which many documents share make no candidates while rarer
-n-grams do. What counts as frequent changes cost only.
+Order. Levels rise with the number of sets expected to hold an n-gram: the product of its words' shares (of every SAMPLED-th piece of the texts) times all
+n-grams, so that those with a rare word come first, however many documents there are; of n-grams that are counted often over all documents, at
+least their count, so that passages which many documents share make no candidates while rarer n-grams do. The order changes cost only.
 
 Candidates. A block of up to SMALL sets gives its pairs, whose shared blocks are counted. A block of more gives a star: each set with the block's first set,
 so that a large group costs rows in proportion to its sets. Stars whose centres are candidates of each other are merged, and all pairs within
@@ -48,13 +49,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lucidframe.llm.common import c, components, ensure_checkpoint_dir, ensure_workers, fresh, release
-from lucidframe.llm.tokens import U, mix, ngrams, pieces, words
+from lucidframe.llm.tokens import U, mix, ngram_sums, ngrams, pieces, words
 
 N = 3
 THRESHOLD = 0.5
 BLOCK_BITS = 40
 BROADCAST_MB = 32  # candidate members up to this size are broadcast to the documents; beyond, both are shuffled
-FREQUENT = 1_000_000  # n-grams whose blocks come last, 8 MB of them
+LEVEL_BITS = 4  # low bits of an n-gram's hash that give way to its level
+LEVELS = 2**LEVEL_BITS
+SLOT_BITS = 22  # high bits of a word's hash that tell its share, in a table of 4 MB
+WORDS = 100_000  # most frequent words whose shares are known; the others count as the rarest of them
+SAMPLED = 16  # of so many pieces of the texts the words of one are counted
+FREQUENT = 1_000_000  # n-grams whose counts are known, 8 MB of them
 CHUNK = 4_000_000  # n-grams counted at a time
 OFTEN = 2  # sets of a chunk that an n-gram must occur in to be counted
 SMALL = 16  # sets of a block up to which it gives pairs
@@ -71,7 +77,7 @@ def emitted(s: np.ndarray, t: float) -> np.ndarray:
     """p: blocks that sets of sizes s emit; x of them may be hit by n-grams of a partner, or by others of the set itself."""
     mean = s.astype(float) ** 2 / t / 2**BLOCK_BITS
     x = np.where(s <= 64, 1, np.ceil(mean + 10 * np.sqrt(mean)) + 2)
-    return np.where(s <= 32, s, np.floor((1 - t) * s + EPS) + s // EXTRA + x + 1).astype(np.int64)
+    return np.minimum(s, np.floor((1 - t) * s + EPS) + s // EXTRA + x + 1).astype(np.int64)
 
 
 def bounds(fp: Column) -> tuple[Column, Column]:
@@ -93,16 +99,24 @@ def enough(a: Column, b: Column, shared: Column, t: float) -> Column:
     def least(low: Column, high: Column) -> Column:
         mean = high * high / (t * 2**BLOCK_BITS)
         x = F.when(high <= 64, 1.0).otherwise(F.ceil(mean + 10 * F.sqrt(mean)) + 2.0)
-        return F.when(high <= 32, low - 2).otherwise(F.least((1 - t) * low + low / EXTRA - 1, low - 2 * x))
+        return F.least(F.floor((1 - t) * low + EPS) + F.floor(low / EXTRA) + 1.0, low - 2 * x)
 
     (la, ha), (lb, hb) = bounds(a), bounds(b)
     need = F.least(least(la, ha) - (ha - t * lb) / (1 + t), least(lb, hb) - (hb - t * la) / (1 + t))
     return (shared >= need - EPS) & (F.least(ha, hb) >= t * F.greatest(la, lb) - EPS)
 
 
-def distinct_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct n-gram hashes of each text, one after the other, and where each text's begin (one more for the end)."""
-    g, first = ngrams(words(texts), n)
+def distinct_sets(texts: pa.Array, n: int, frequent: Frequent | None = None, heard: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct n-gram hashes of each text, one after the other, and where each text's begin (one more for the end).
+
+    With frequent, their low bits are their levels by words. heard: gets the hashes of all words.
+    """
+    w = words(texts)
+    if heard is not None:
+        heard.append(w.hash)
+    g, first = ngrams(w, n)
+    if frequent is not None and frequent.shares is not None:
+        g = (g & ~U(LEVELS - 1)) | frequent.steps[ngram_sums(w, n, frequent.shares[w.hash >> U(64 - SLOT_BITS)])]
     for i in np.flatnonzero(np.diff(first) > 1):
         g[first[i] : first[i + 1]].sort()
     new = np.ones(len(g), bool)
@@ -122,55 +136,69 @@ def prints(g: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at, sizes = at[:-1][sizes > 0], sizes[sizes > 0]
     if not len(at):
         return np.empty(0, np.int64), np.empty(0, np.int64)
+    g = g & ~U(LEVELS - 1)
     fp = (size_code(sizes) << U(52)) | (np.add.reduceat(mix(g + U(1)), at) >> U(12))
     return fp.view(np.int64), np.add.reduceat(mix(g ^ U(0x9E3779B97F4A7C15)), at).view(np.int64)
 
 
+def level(sets: np.ndarray) -> np.ndarray:
+    """Level of n-grams that so many sets are expected to hold: from 2**-12 on in steps of 1.6 doublings."""
+    return np.clip(np.floor((np.log2(np.maximum(sets, 1e-300)) + 12) / 1.6) + 1, 0, LEVELS - 1).astype(np.uint64)
+
+
 class Frequent:
-    """Sorted hashes of the frequent n-grams; of those that more than HOT sets hold, into how many cells the sets are dealt."""
+    """Sorted hashes of the frequent n-grams with their levels; of those that more than HOT sets hold, into how many cells the sets are dealt; words' shares.
+
+    shares: by the high bits of a word's hash, how many eighths of a doubling its share is above that of a rare one; steps: level of an n-gram by the sum of its words'.
+    """
 
-    def __init__(self, grams: np.ndarray, counts: np.ndarray):
+    def __init__(self, grams: np.ndarray, counts: np.ndarray, words: np.ndarray | None = None, heard: np.ndarray | None = None, total: int = 0, n: int = N):
+        grams = grams & ~U(LEVELS - 1)
         order = np.argsort(grams)
         self.grams, cells = grams[order], -(-counts[order] // HOT)
+        self.levels = level(counts[order])
         self.hot, self.cells = self.grams[cells > 1], cells[cells > 1]
         self.near = np.zeros(1 << 23, np.uint8)  # bits: whether any begins with these 26 bits
         h = self.grams >> U(38)
         np.bitwise_or.at(self.near, (h >> U(3)).astype(np.int64), (U(1) << (h & U(7))).astype(np.uint8))
-
-    def find(self, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places in g of frequent n-grams, and their cells."""
+        self.shares = self.steps = None
+        if words is not None and len(words):
+            rarest = heard.min() if len(words) >= WORDS else 1
+            self.shares = np.zeros(1 << SLOT_BITS, np.uint8)
+            np.maximum.at(self.shares, (words >> U(64 - SLOT_BITS)).astype(np.int64), np.minimum(255, np.round(8 * np.log2(heard / rarest))).astype(np.uint8))
+            self.steps = level(total * (rarest / heard.sum()) ** n * 2.0 ** (np.arange(255 * n + 1) / 8))
+
+    def find(self, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places in g of frequent n-grams, their cells and levels."""
         h = g >> U(38)
         at = np.flatnonzero((self.near[(h >> U(3)).astype(np.int64)] >> (h & U(7)).astype(np.uint8)) & 1)
         if not len(at):
-            return at, at
-        where = np.minimum(np.searchsorted(self.grams, g[at]), len(self.grams) - 1)
-        at = at[self.grams[where] == g[at]]
+            return at, at, at.astype(np.uint64)
+        own = g[at] & ~U(LEVELS - 1)
+        where = np.minimum(np.searchsorted(self.grams, own), len(self.grams) - 1)
+        met = self.grams[where] == own
+        at, own, levels = at[met], own[met], self.levels[where[met]]
         cells = np.ones(len(at), np.int64)
         if len(self.hot):
-            where = np.minimum(np.searchsorted(self.hot, g[at]), len(self.hot) - 1)
-            cells[self.hot[where] == g[at]] = self.cells[where][self.hot[where] == g[at]]
-        return at, cells
+            where = np.minimum(np.searchsorted(self.hot, own), len(self.hot) - 1)
+            cells[self.hot[where] == own] = self.cells[where][self.hot[where] == own]
+        return at, cells, levels
 
 
 def block_keys(g: np.ndarray, at: np.ndarray, fp: np.ndarray, t: float, frequent: Frequent | None, parts: int) -> tuple[np.ndarray, np.ndarray]:
     """(key, fp) of the blocks that non-empty sets emit: the task in the high bits, then content."""
     sizes = np.diff(at)
     doc = np.repeat(np.arange(len(sizes)), sizes)
-    far, cells = np.zeros(len(g), bool), None
+    rise, cells = g & U(LEVELS - 1), None
     if frequent is not None and len(frequent.grams):
-        where, r = frequent.find(g)
+        where, r, levels = frequent.find(g)
         if len(where):
-            far[where] = True
+            rise[where] = np.maximum(rise[where], levels)
             cells = np.ones(len(g), np.int64)
             cells[where] = r
-            rare = np.cumsum(~far)
-            before = np.concatenate(([0], rare))[at]  # rare ones before each set
-            own = np.diff(before)
-            to = np.where(far, at[doc] + own[doc] + (np.arange(len(g)) - at[doc]) - (rare - before[doc]), at[doc] + rare - before[doc] - 1)
-            g2, far2, cells2 = np.empty_like(g), np.empty_like(far), np.empty_like(cells)
-            g2[to], far2[to], cells2[to] = g, far, cells
-            g, far, cells = g2, far2, cells2
-    block = (g >> U(64 - BLOCK_BITS)) | (far.astype(np.uint64) << U(BLOCK_BITS))
+    order = np.argsort(((doc << LEVEL_BITS) | rise.astype(np.int64)).astype(np.uint16 if len(sizes) <= 1 << (16 - LEVEL_BITS) else np.int64), kind="stable")
+    g, rise, cells = g[order], rise[order], None if cells is None else cells[order]
+    block = (g >> U(64 - BLOCK_BITS)) | (rise << U(BLOCK_BITS))
     new = np.ones(len(g), bool)
     new[1:] = (block[1:] != block[:-1]) | (doc[1:] != doc[:-1])
     rank = np.cumsum(new)
@@ -212,12 +240,14 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, f"doc {kind}, fp long, fp2 long, size long")
 
 
-def different_sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(n-grams, where each set begins, fp) of a task's sets; of equal sets that a task meets, the first only."""
+def different_sets(batches: Iterator[pa.RecordBatch], n: int, frequent: Frequent | None = None, heard: list[np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(n-grams, where each set begins, fp) of a task's sets; of equal sets that a task meets, the first only. heard: gets the words of every SAMPLED-th piece."""
     seen: set[tuple[int, int]] = set()
+    k = 0
     for batch in batches:
         for _, part in pieces(batch.column(1)):
-            g, at = distinct_sets(part, n)
+            g, at = distinct_sets(part, n, frequent, None if k % SAMPLED else heard)
+            k += 1
             fp, fp2 = prints(g, at)
             size = np.diff(at)
             size = size[size > 0]
@@ -231,44 +261,58 @@ def different_sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[
 
 
 def frequent_ngrams(docs: DataFrame, n: int) -> Frequent:
-    """At most FREQUENT n-grams that occur in the most sets.
+    """At most FREQUENT n-grams that occur in the most sets, and shares of at most WORDS words.
 
     Every document is counted, in chunks; what is rare within each chunk is left out, so that little is shuffled.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
+        heard: list[np.ndarray] = []
         total = 0
 
-        def often() -> pa.RecordBatch:
-            g = np.sort(np.concatenate(held))
-            at = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
+        def often(parts: list[np.ndarray], kind: int) -> pa.RecordBatch:
+            """kind: 0 of n-grams, 1 of words; a row of kind 2 has the number of n-grams."""
+            g = np.sort(np.concatenate(parts))
+            at = np.flatnonzero(np.concatenate((np.ones(min(1, len(g)), bool), g[1:] != g[:-1])))
             k = np.diff(np.append(at, len(g)))
-            g, k = g[at[k >= OFTEN]], k[k >= OFTEN]
-            return pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(k.astype(np.int64))], ["g", "n"])
-
-        for g, _, _ in different_sets(batches, n):
+            kinds = np.full(int((k >= OFTEN).sum()), kind)
+            at, k, all_of = at[k >= OFTEN], k[k >= OFTEN], len(g)
+            g = g[at].view(np.int64)
+            if not kind:
+                g, k, kinds = np.append(g, 0), np.append(k, all_of), np.append(kinds, 2)
+            return pa.RecordBatch.from_arrays([pa.array(kinds.astype(np.int32)), pa.array(g), pa.array(k.astype(np.int64))], ["kind", "g", "n"])
+
+        for g, _, _ in different_sets(batches, n, heard=heard):
             held.append(g)
             total += len(g)
             if total >= CHUNK:
-                yield often()
+                yield often(held, 0)
                 held, total = [], 0
+            if sum(map(len, heard)) >= CHUNK:
+                yield often(heard, 1)
+                heard.clear()
         if held:
-            yield often()
+            yield often(held, 0)
             held.clear()
+        if heard:
+            yield often(heard, 1)
+            heard.clear()
         release()
 
-    counts = docs.mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).checkpoint()
+    counts = docs.mapInArrow(run, "kind int, g long, n long").groupBy("kind", "g").agg(F.sum("n").alias("n")).checkpoint()
     # the least count that so many n-grams reach; counts above 10,000 are one step
-    steps = counts.groupBy(F.least("n", F.lit(10_000)).alias("n")).agg(F.count(F.lit(1)).alias("grams")).collect()
+    steps = counts.where("kind = 0").groupBy(F.least("n", F.lit(10_000)).alias("n")).agg(F.count(F.lit(1)).alias("grams")).collect()
     cut, total = 10_000, 0
     for r in sorted(steps, key=lambda r: -r.n):
         total += r.grams
         if total > FREQUENT:
             break
         cut = r.n
-    rows = counts.where(F.col("n") >= cut).limit(FREQUENT).toArrow()
-    return Frequent(rows.column("g").to_numpy().view(np.uint64), rows.column("n").to_numpy())
+    rows = counts.where("kind = 0").where(F.col("n") >= cut).limit(FREQUENT).toArrow()
+    heard = counts.where("kind = 1").orderBy(F.desc("n"), "g").limit(WORDS).toArrow()
+    every = counts.where("kind = 2").agg(F.sum("n")).first()[0] or 0
+    return Frequent(*(x for t in (rows, heard) for x in (t.column("g").to_numpy().view(np.uint64), t.column("n").to_numpy())), every, n)
 
 
 def blocks(docs: DataFrame, n: int, t: float, frequent: Frequent, parts: int) -> DataFrame:
@@ -276,7 +320,7 @@ def blocks(docs: DataFrame, n: int, t: float, frequent: Frequent, parts: int) ->
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g, at, fp in different_sets(batches, n):
+        for g, at, fp in different_sets(batches, n, shared.value):
             key, who = block_keys(g, at, fp, t, shared.value, parts)
             for s in range(0, len(key), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(key[s : s + 100_000]), pa.array(who[s : s + 100_000])], ["key", "fp"])
@@ -388,6 +432,19 @@ def intersections(members: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np
     return out
 
 
+def least_joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of n numbers, the least that each is joined to by pairs a[i], b[i], over any number of them."""
+    root = np.arange(n)
+    while True:
+        before, low = root.copy(), np.minimum(root[a], root[b])
+        # the roots of both ends are joined too, so that a long chain takes few rounds
+        for x in (root[a], root[b], a, b):
+            np.minimum.at(root, x, low)
+        root = root[root]
+        if (root == before).all():
+            return root
+
+
 def verifier(n: int, t: float, as_pairs: bool):
     def verify(group: pa.Table) -> pa.Table:
         """group: fp, fp2, doc, copies, partners (fp of some), side, star, stars, text; a row for each set, or more where ids repeat.
@@ -425,8 +482,13 @@ def verifier(n: int, t: float, as_pairs: bool):
             product = products([members[k] for k in keys])
             near = np.triu(product >= t * (sized[:, None] + sized[None, :] - product) - EPS, 1)
             a, b = np.nonzero(near & ((side[:, None] != side[None, :]) | (side[:, None] == 0)))
-            first = np.asarray([min(stars[i] & stars[j]) == star for i, j in zip(a.tolist(), b.tolist())], bool)
-            a, b = a[first], b[first]
+            kinds = {k: x for x, k in enumerate(dict.fromkeys(map(frozenset, stars)))}
+            if len(kinds) > 1:
+                kind = np.asarray([kinds[frozenset(x)] for x in stars], np.int64)
+                code, back = np.unique(kind[a] * len(kinds) + kind[b], return_inverse=True)
+                kinds = list(kinds)
+                first = np.asarray([min(kinds[x // len(kinds)] & kinds[x % len(kinds)]) == star for x in code.tolist()], bool)[back]
+                a, b = a[first], b[first]
             both = product[a, b].astype(np.int64)
         else:
             a = b = both = np.empty(0, np.int64)
@@ -440,18 +502,7 @@ def verifier(n: int, t: float, as_pairs: bool):
         links = np.zeros(len(keys), np.int64)
         np.add.at(links, a, copies[b])
         np.add.at(links, b, copies[a])
-        root = list(range(len(keys)))
-
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = x = root[root[x]]
-            return x
-
-        for x, y in zip(a.tolist(), b.tolist()):
-            x, y = find(x), find(y)
-            if x != y:
-                root[y] = x
-        roots = pa.array([find(x) for x in range(len(keys))], pa.int64())
+        roots = pa.array(least_joined(len(keys), a, b))
         linked = pa.array(np.flatnonzero(links), pa.int64())
         out = [pa.array([k[x] for k in keys], pa.int64()) for x in (0, 1)] + [doc, doc.take(roots), pa.array(links)]
         return pa.table([x.take(linked) for x in out], names=["fp", "fp2", "doc", "root", "links"])

@@ -134,3 +134,16 @@ def ngrams(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
         part = w.hash[w.first[i] : w.first[i + 1]]
         out[first[i]] = mix((part * STEP[: len(part)]).sum(dtype=np.uint64, keepdims=True) + U(len(part)))[0]
     return out, first
+
+
+def ngram_sums(w: Words, n: int, value: np.ndarray) -> np.ndarray:
+    """Of each n-gram, as ngrams gives them, the sum of value (a number of each word); 0 for texts of fewer than n words."""
+    count = np.diff(w.first)
+    have = np.where(count >= n, count - n + 1, np.minimum(count, 1))
+    out = np.zeros(have.sum(), np.int32)
+    if len(value) >= n:
+        total = value[: len(value) - n + 1].astype(np.int32)
+        for k in range(1, n):
+            total += value[k : len(value) - n + 1 + k]
+        out[np.repeat(count >= n, have)] = total[w.doc[: len(total)] == w.doc[n - 1 :]]
+    return out

@@ -216,3 +216,30 @@ def test_equal_words_have_equal_hashes_wherever_they_stand():
     for i in range(len(spelled)):
         for j in range(i):
             assert (w.hash[i] == w.hash[j]) == (spelled[i] == spelled[j])
+
+
+def test_ngrams_that_meet_by_chance_make_few_candidates(spark, monkeypatch):
+    rng = random.Random(8)
+    common = [f"c{i}" for i in range(12)]
+    rows = [(k, " ".join(f"r{rng.randrange(10**9)}" if rng.random() < 0.4 else rng.choice(common) for _ in range(300)), None, 0) for k in range(150)]
+    rows += [(1000, rows[0][1] + " and more", None, 0)]
+    docs = J.prepared(spark.createDataFrame(rows, SCHEMA), "doc_id", "text", 0.5)
+    monkeypatch.setattr(J, "FREQUENT", 0)  # as in a corpus of more frequent n-grams than are counted
+    found = J.blocks(docs, 3, 0.5, J.frequent_ngrams(docs, 3), 2).mapInArrow(J.meeting(0.5), "a long, b long, n long, star boolean").collect()
+    assert sum(r.n for r in found if r.n > 50) > 100
+    assert len(found) < 500
+    assert result(spark.createDataFrame(rows, SCHEMA)) == joined(rows)
+    assert (J.emitted(np.arange(8, 33), 0.5) < np.arange(8, 33)).all()
+
+
+def test_least_joined():
+    rng = np.random.default_rng(6)
+    for n, m in ((1, 0), (50, 20), (300, 280), (40, 700)):
+        a, b = rng.integers(0, n, m), rng.integers(0, n, m)
+        want = np.arange(n)
+        for _ in range(n):
+            for x, y in zip(a, b):
+                want[x] = want[y] = min(want[x], want[y])
+        assert J.least_joined(n, a, b).tolist() == want.tolist()
+    chain = np.random.default_rng(7).permutation(5000)
+    assert (J.least_joined(5000, chain[1:], chain[:-1]) == 0).all()
