@@ -41,9 +41,10 @@ class Index:
 
 
 def text_chunks(texts: DataFrame, words: int = CHUNK_WORDS, overlap: int = OVERLAP_WORDS) -> DataFrame:
-    """h, chunk, text of every distinct non-null text; texts: text."""
+    """h, chunk, text of every distinct non-null text; one empty chunk for a text of white space. texts: text."""
     docs = texts.where("text is not null").select(doc_hash(F.col("text")).alias("h"), "text").dropDuplicates(["h"])
-    return docs.select("h", F.posexplode(chunks(F.col("text"), words, overlap)).alias("chunk", "text"))
+    parts = docs.select("h", F.posexplode_outer(chunks(F.col("text"), words, overlap)).alias("chunk", "text"))
+    return parts.select("h", F.coalesce("chunk", F.lit(0)).alias("chunk"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def embedded(ctx: Semantic, parts: DataFrame, dim: int) -> DataFrame:
@@ -53,7 +54,7 @@ def embedded(ctx: Semantic, parts: DataFrame, dim: int) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, model.embed_batch):
                 part = batch.slice(at, model.embed_batch)
-                vectors = model.embed(part.column(2).to_pylist())
+                vectors = model.embed([t or " " for t in part.column(2).to_pylist()])  # services refuse an empty text
                 if any(len(v) != dim for v in vectors):
                     raise SemanticError(f"the embedder gave {sorted({len(v) for v in vectors})} dimensions, the index has {dim}")
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(vectors, pa.list_(pa.float32()))], ["h", "chunk", "text", "vector"])
