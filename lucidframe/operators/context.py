@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import itertools
 import logging
@@ -21,8 +22,11 @@ from lucidframe.operators.types import TypeRegistry
 
 PLAN, STAGE, MODEL = (logging.getLogger(f"lucidframe.{x}") for x in ("plan", "stage", "model"))
 IN_BATCH = 64
+BATCH_BYTES = 1 << 20  # of texts that a Python worker is sent at a time
 ROWS_A_FILE = 500_000
 _ids = itertools.count(1)
+_small: dict[int, tuple[int, str | None]] = {}  # by session: how many small_batches() are open, and the setting before them
+_small_lock = threading.Lock()
 
 
 def share_package(spark: SparkSession) -> None:
@@ -34,6 +38,27 @@ def share_package(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([root, *paths])
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """While this is open, batches for Python workers end at BATCH_BYTES, else 10,000 texts come at once. Statements side by side share the setting."""
+    name, key = "spark.sql.execution.arrow.maxBytesPerBatch", id(spark._jsparkSession)
+    with _small_lock:
+        depth, before = _small.get(key, (0, None))
+        if not depth:
+            before = spark.conf.get(name)
+            spark.conf.set(name, str(BATCH_BYTES))
+        _small[key] = depth + 1, before
+    try:
+        yield
+    finally:
+        with _small_lock:
+            depth, before = _small.pop(key)
+            if depth > 1:
+                _small[key] = depth - 1, before
+            else:
+                spark.conf.set(name, before)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which all executors see; the warehouse where none is named (tests)."""
     sc = spark.sparkContext
@@ -87,7 +112,8 @@ class Semantic:
         """df written once and read back: models are not called again by retries or second uses."""
         path = f"{self.root}/stages/{next(_ids)}-{name}-{uuid.uuid4().hex[:8]}"
         begun = time.perf_counter()
-        df.write.parquet(path)
+        with small_batches(self.spark):
+            df.write.parquet(path)
         STAGE.info("%s written in %.2f s", name, time.perf_counter() - begun)
         return self.spark.read.schema(df.schema).parquet(path)
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lucidframe.errors import SemanticError
 from lucidframe.functions.columns import CHUNK_WORDS, OVERLAP_WORDS, chunks, cosine_to, doc_hash, normalise
-from lucidframe.operators.context import Semantic
+from lucidframe.operators.context import Semantic, small_batches
 
 FETCH = 256  # chunks that a pre-filter considers
 FLOOR = 0.35
@@ -72,7 +72,8 @@ def create_index(ctx: Semantic, df: DataFrame, table: str, column: str, words: i
     dim = len(ctx.model.embed(["probe"])[0])
     index = Index(table, column, f"{ctx.root}/index/{table}.{column}", ctx.model.embed_id, dim, words, overlap)
     texts = df.select(F.col(f"`{column}`").cast("string").alias("text"))
-    embedded(ctx, text_chunks(texts, words, overlap), dim).write.mode("overwrite").parquet(index.path + "/chunks")
+    with small_batches(ctx.spark):
+        embedded(ctx, text_chunks(texts, words, overlap), dim).write.mode("overwrite").parquet(index.path + "/chunks")
     meta = [(index.embed_id, dim, words, overlap)]
     ctx.spark.createDataFrame(meta, "embed_id string, dim int, words int, overlap int").coalesce(1).write.mode("overwrite").json(index.path + "/meta")
     ctx.indexes[table, column] = index

@@ -210,3 +210,17 @@ def test_rank_scores_all_rows_that_pass_where(spark, e):
     calls(e)
     assert rows(e, "SELECT id FROM ranked WHERE body LIKE 'dull%' ORDER BY body RELEVANCE TO 'price' DESC, id LIMIT 4") == [(62,), (63,), (64,), (65,)]
     assert calls(e) == 0
+
+
+def test_stages_send_workers_small_batches(spark, e):
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes], pa.int64())], ["n"])
+
+    texts = spark.range(3000).selectExpr("repeat('x', 5000) AS t").coalesce(1)  # 15 MB, fewer rows than Spark puts into a batch
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    got = [r.n for r in e.ctx.stored(texts.mapInArrow(sizes, "n long"), "sizes").collect()]
+    assert max(got) < 2 << 20 and sum(got) > 3000 * 5000 and spark.conf.get(name) == before
