@@ -24,7 +24,7 @@ def tables(tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["index_refresh", "semantic_key_column", "meaning_group_by", "semantic_distinct"])
+@pytest.mark.parametrize("name", ["index_refresh", "semantic_key_column", "meaning_group_by", "semantic_distinct", "meaning_auto_k"])
 def test_blank_texts(spark, tables, name):
     got = [tuple(r) for r in entry.queries()[name](spark, tables).collect()]
     sql = duckdb.connect()
